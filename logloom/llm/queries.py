@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import langid
+from logloom.llm import decontam, langid, license_scan, secret_scan
 from logloom.llm.common import doc_crc, table
 
 
@@ -23,8 +23,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, sample, held_out=fold == 0)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) whose text holds the item within its edit budget."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; a document is the repository, its source the owner."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.secrets(docs, F.col("doc_id").cast("long"), F.col("doc_id"), F.col("source"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_owners_max")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of every document."""
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_license_scan": op7_license_scan,
 }
 
 ORACLE: dict[str, str] = {}
