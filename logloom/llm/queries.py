@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, langid, license_scan, secret_scan
+from logloom.llm import decontam, langid, license_scan, secret_scan, url_filter
 from logloom.llm.common import doc_crc, table
 
 
@@ -40,11 +40,49 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+#: Rules of op9 (verdict, host, path), and the words that put a host on the list.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+LISTED_HOSTS = "spam|pills|bets|casino"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest rule, else membership in the list of hosts."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOSTS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op7_license_scan": op7_license_scan,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_url_filter": f"""
+        WITH parts AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages),
+        ruled AS (
+            SELECT *, regexp_matches(host, '{LISTED_HOSTS}') AS listed,
+                   CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/')
+                             THEN 'www.example.com/en/'
+                        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+            FROM parts)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+        FROM ruled""",
+}
