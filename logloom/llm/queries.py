@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, langid, license_scan, secret_scan, url_filter
+from logloom.llm import chunk_dedup, decontam, langid, license_scan, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
 
 
@@ -40,6 +40,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the lexicon is learned from labelled rows whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(doc_crc() % 4 != 2)
+    lexicon = toxicity.fit_lexicon(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, lexicon, held_out=doc_crc() % 4 == 2)
+
+
 #: Rules of op9 (verdict, host, path), and the words that put a host on the list.
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -56,12 +64,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOSTS))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat within or across documents, by content-defined chunks."""
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
