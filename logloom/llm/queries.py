@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chunk_dedup, decontam, langid, license_scan, secret_scan, toxicity, url_filter
+from logloom.llm import chunk_dedup, decontam, langid, license_scan, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
 
 
@@ -35,6 +35,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_owners_max")
 
 
+def tokenizer_path() -> str:
+    """The production tokenizer's file; installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
     return license_scan.licenses(table(spark, sf_dir, "documents"))
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
