@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chunk_dedup, decontam, langid, license_scan, packing, secret_scan, toxicity, url_filter
+from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
 
 
@@ -47,6 +47,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
     return license_scan.licenses(table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
