@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, packing, secret_scan, toxicity, url_filter
+from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, neardup, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
 
 
@@ -47,6 +47,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: 5-word shingles, weighted Jaccard 0.8 or more."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_kept")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and of its edited text."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
