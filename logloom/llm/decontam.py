@@ -185,3 +185,23 @@ def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
         part = arrow_map(rows, run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no item occurs; no join and no shuffle."""
+    spark, columns = docs.sparkSession, docs.columns
+    numbered = {c: f"_c{i}" for i, c in enumerate(columns)}
+    text = numbered[next(c for c in columns if c == "text")]
+    out = docs.withColumnsRenamed(numbered)
+    kinds = ", ".join(f"{c} {kind}" for c, kind in out.dtypes)
+    for block in item_blocks(items, block_chars):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            m = matcher(shared.value)
+            for b in batches:
+                clean = [next(m.matches(t), None) is None for t in b.column(text).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        out = arrow_map(out, run, kinds)
+    return out.withColumnsRenamed({v: k for k, v in numbered.items()})

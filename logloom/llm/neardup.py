@@ -248,3 +248,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("row", "doc_id", "text_key", "digest").join(by_digest, "digest").select(
         "row", "doc_id", "text_key", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("is_kept")
     )
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one row of each near-duplicate class.
+
+    Rows are found again by doc_id and a hash of the text. The dropped keys
+    are the smaller side of a hash join, so the texts are not sorted.
+    """
+    found = cut(classes(docs.select("doc_id", "text"), threshold).select("doc_id", "text_key", "is_kept"))
+    keys = found.groupBy("doc_id", "text_key").agg(F.bool_or("is_kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    text_key = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    dropped = keys.where("not kept").select("doc_id", "text_key").hint("shuffle_hash").alias("k")
+    same = (text_key == F.col("k.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    out = docs.alias("d").join(dropped, same, "left_anti")
+    repeated = keys.where("kept and n > 1").select("doc_id", "text_key")
+    if repeated.limit(1).count():  # rows that are equal in id and text: one of them stays
+        out = out.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return out
