@@ -541,7 +541,7 @@ def line_levels(spark, sf_dir):
     return document_lines(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("text_reader", f"WITH {DL} SELECT source AS file, count(*) AS n, sum(length(message)) AS chars FROM dl GROUP BY 1")
+@query("text_reader", f"WITH {DL} SELECT source AS file, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars FROM dl GROUP BY 1")
 def text_reader(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"), F.concat(F.lit("/logs/"), "source", F.lit(".log")).alias("path"))
     return lines_to_events(lines).groupBy(F.concat("provider", F.lit(".log")).alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("message")).alias("chars"))

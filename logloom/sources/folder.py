@@ -43,9 +43,11 @@ def filter_source_types(df: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def rebase_source(df: DataFrame, root: str, label: str) -> DataFrame:
-    """Sources below a root (a temporary folder) shown below a label instead."""
-    below = F.startswith("source", F.lit(root))
-    return df.withColumn("source", F.when(below, F.concat(F.lit(label), F.substring("source", len(root) + 1, 2**31 - 1))).otherwise(F.col("source")))
+    """Sources below a root (a temporary folder) shown below a label instead; local paths fit with and without their scheme."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    start = plain(F.lit(root.rstrip("/") + "/"))
+    rest = F.substring(plain(F.col("source")), F.char_length(start), F.lit(2**31 - 1))
+    return df.withColumn("source", F.when(F.startswith(plain(F.col("source")), start), F.concat(F.lit(label), rest)).otherwise(F.col("source")))
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
