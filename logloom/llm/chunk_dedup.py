@@ -1,23 +1,28 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash runs over the folded characters of a text; a chunk ends where its
-top bits are zero, so cuts depend on the last ``WINDOW`` characters alone and come
-back after an insertion. Chunks are keyed by a 128-bit digest. A digest that occurs
-more than once in the corpus is a repeat; neighbouring repeated chunks of a text
-join to runs, and runs of ``MIN_WORDS`` words or more are passages that repeat.
-
-Digests are counted with map-side partial sums, so a chunk in a third of all
-texts is one partial row per task; only repeated digests go back to their
-chunks, in a join whose hot digests AQE splits. A text's chunks are put
-together by the text's own row key: their number is bounded by its length.
+A gear hash runs over the folded characters of a text, and a chunk ends where the
+hash is larger than all others within RADIUS characters. A cut thus depends on
+the characters near it alone: after an insertion, or where a copied passage
+begins, the next cuts are those of the original again. Chunks are keyed by
+a 128-bit digest. A digest that two documents hold is a repeat; neighbouring
+repeated chunks of a text join to runs, and runs of MIN_WORDS words or more
+are passages that repeat. A passage loses about 16 words at its ends, which lie
+in chunks with other text: MIN_WORDS = 28 is for passages of over 50 words.
+
+Digests are counted with map-side partial aggregates of fixed size (smallest and
+largest doc_id and a count), so a chunk in a third of all texts is one partial
+row per task; only repeated digests go back to their chunks, in a join whose
+hot digests AQE splits. A text's hits are put together by the text's own row
+key: their number is bounded by its length.
 
 Texts are chunked folded: lower case, runs of characters that are neither letters
 nor digits one space. Places are reported in the original text, code points,
 end exclusive.
 
-Defined results: null and empty texts have no chunks; equal texts repeat as
-wholes; ties for the first place go to the smallest doc_id, then the row's
-first place; rows with a null doc_id take part and never are first before others.
+Defined results: null and empty texts have no chunks; equal texts of different
+documents repeat as wholes; the document with the smallest doc_id is the first,
+and within it the first place; rows of one doc_id, and all rows without one, count as
+one document, whose own repeats are no repeats across documents.
 """
 
 from __future__ import annotations
@@ -32,16 +37,14 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map, cut
 
-#: Characters that the rolling hash sees; a cut has MASK_BITS zero bits on top: 2**MASK_BITS characters a chunk on average beyond MIN_CHARS.
-WINDOW, MASK_BITS, MIN_CHARS, MAX_CHARS = 32, 5, 24, 1024
+#: Characters that the rolling hash sees; the distance within which a cut has the largest hash (41 characters a chunk on average); most characters of a chunk.
+WINDOW, RADIUS, MAX_CHARS = 16, 20, 1024
 #: Words of a run from which on a passage counts as repeated.
-MIN_WORDS = 25
+MIN_WORDS = 28
 
 #: Gear table: a fixed pseudo-random 32-bit number for each code point modulo 1024.
 GEAR = np.random.RandomState(20_240_101).randint(0, 1 << 32, size=1024, dtype=np.uint32)
 
-SCHEMA = "digest binary, start int, end int, words int"
-
 
 @functools.lru_cache(maxsize=1)
 def _folding() -> np.ndarray:
@@ -63,6 +66,15 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[places], places
 
 
+def _sliding_max(h: np.ndarray, size: int) -> np.ndarray:
+    """Maximum of each run of ``size`` values."""
+    span, m = 1, h
+    while span * 2 <= size:
+        m = np.maximum(m[:-span], m[span:])
+        span *= 2
+    return np.maximum(m[: len(h) - size + 1], m[size - span :]) if size > span else m
+
+
 def cuts(low: np.ndarray) -> list[int]:
     """Ends of the chunks of a folded text."""
     n = len(low)
@@ -74,10 +86,14 @@ def cuts(low: np.ndarray) -> list[int]:
         h2 = h.copy()
         h2[span:] += h[:-span] << np.uint32(span)
         h, span = h2, span * 2
+    h |= np.uint32(1)
+    zeros = np.zeros(RADIUS, dtype=np.uint32)
+    padded = np.concatenate([zeros, h, zeros])
+    left = _sliding_max(padded, RADIUS)[:n]  # of the RADIUS values before each
+    right = _sliding_max(padded, RADIUS)[RADIUS + 1 : RADIUS + 1 + n]  # and behind it
     ends, last = [], 0
-    for e in (np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist():
-        if e - last < MIN_CHARS:
-            continue
+    # Equal values: the first of a run of repeats is the cut, so repetitive text has few.
+    for e in (np.flatnonzero((h > left) & (h >= right)) + 1).tolist():
         while e - last > MAX_CHARS:
             last += MAX_CHARS
             ends.append(last)
@@ -103,70 +119,96 @@ def chunks(text: str | None) -> list[tuple[bytes, int, int, int]]:
     places = np.append(places, len(text))
     raw = low.tobytes()
     return [
-        (hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest(), pa_, pb, w)
-        for a, b, pa_, pb, w in zip(starts, ends, places[starts].tolist(), places[ends].tolist(), (spaces[ends] - spaces[starts]).tolist())
+        (hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest(), start, end, words)
+        for a, b, start, end, words in zip(starts, ends, places[starts].tolist(), places[ends].tolist(), (spaces[ends] - spaces[starts]).tolist())
     ]
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id and one row per chunk (digest, no, start, end, words)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """row, doc_id, high, low (halves of the digests), starts (one more than chunks), words: one row per text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            ids, keys = b.column("doc_id").to_pylist(), b.column("row").to_pylist()
-            out = [(k, d, no, *c) for k, d, t in zip(keys, ids, b.column("text").to_pylist()) for no, c in enumerate(chunks(t))]
-            if out:
-                key, doc, no, digest, start, end, words = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32())],
-                    names=["row", "doc_id", "no", "digest", "start", "end", "words"],
-                )
-
-    return arrow_map(rows, run, "row long, doc_id long, no int, digest binary, start int, end int, words int")
+            high, low, starts, words = [], [], [], []
+            for t in b.column("text").to_pylist():
+                c = chunks(t)
+                halves = np.frombuffer(b"".join(x[0] for x in c), dtype=np.int64).reshape(-1, 2)
+                high.append(halves[:, 0])
+                low.append(halves[:, 1])
+                starts.append([x[1] for x in c] + [c[-1][2]] if c else [])
+                words.append([x[3] for x in c])
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("doc_id"), pa.array(high, longs), pa.array(low, longs), pa.array(starts, ints), pa.array(words, ints)],
+                names=["row", "doc_id", "high", "low", "starts", "words"],
+            )
+
+    return arrow_map(rows, run, "row long, doc_id long, high array<long>, low array<long>, starts array<int>, words array<int>")
+
+
+def _runs(doc_id: int, nos: list[int], keys: list[int], counts: list[int], firsts: list[int], starts: list[int], words: list[int], min_words: int) -> list[tuple]:
+    """(start, end, n_words, n_chunks, n_copies, first_doc, is_first) of the runs of one text's hits."""
+    hits = sorted(zip(nos, keys, counts, firsts))
+    out, run, seen, mine = [], [], set(), []
+    for i, (no, key, n, first) in enumerate(hits):
+        run.append((no, n, first))
+        mine.append(first == doc_id and key not in seen)
+        seen.add(key)
+        if i + 1 == len(hits) or hits[i + 1][0] != no + 1:
+            a, b = run[0][0], run[-1][0]
+            n_words = sum(words[a : b + 1])
+            if n_words >= min_words:
+                out.append((starts[a], starts[b + 1], n_words, len(run), max(r[1] for r in run), min(r[2] for r in run), all(mine)))
+            run, mine = [], []
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat: doc_id, start, end, n_words, n_chunks, n_docs, first_doc, is_first.
+    """Passages that repeat across documents: doc_id, start, end, n_words, n_chunks, n_copies, first_doc, is_first.
 
-    n_docs is the number of occurrences of the passage's most frequent
-    chunk, first_doc the smallest doc_id that holds its chunks. ``is_first``
-    marks the occurrence to keep.
+    n_copies is the number of occurrences of the passage's most frequent
+    chunk, first_doc the smallest doc_id that holds one of its chunks; ``is_first`` marks the
+    occurrence to keep.
     """
     table = cut(chunk_table(docs))
-    far = F.lit(2**63 - 1)
-    first = F.min(F.struct(F.coalesce("doc_id", far).alias("doc"), "row", "no"))
-    repeated = table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
-    hits = table.join(repeated, "digest").select(
-        "row", "doc_id", "no", "start", "end", "words", "n", F.col("first.doc").alias("first_doc"),
-        ((F.col("first.row") == F.col("row")) & (F.col("first.no") == F.col("no"))).alias("mine"),
-    )
-    # Runs of neighbouring chunks: the number minus the rank among the row's hits is constant within a run.
-    chunk = F.struct("no", "start", "end", "words", "n", "first_doc", "mine")
-    per_row = hits.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(chunk)).alias("c"))
-    ranked = per_row.select("row", "doc_id", F.posexplode("c").alias("rank", "c")).withColumn("run", F.col("c.no") - F.col("rank"))
-    return (
-        ranked.groupBy("row", "doc_id", "run")
-        .agg(
-            F.min("c.start").cast("long").alias("start"), F.max("c.end").cast("long").alias("end"), F.sum("c.words").alias("n_words"),
-            F.count(F.lit(1)).alias("n_chunks"), F.max("c.n").alias("n_docs"), F.min("c.first_doc").alias("first_doc"), F.bool_and("c.mine").alias("is_first"),
-        )
-        .where(F.col("n_words") >= min_words)
-        .select("doc_id", "start", "end", "n_words", "n_chunks", "n_docs", F.when(F.col("first_doc") != far, F.col("first_doc")).alias("first_doc"), "is_first")
+    single = table.select("row", "doc_id", F.posexplode(F.arrays_zip("high", "low")).alias("no", "d")).select("row", "doc_id", "no", "d.high", "d.low")
+    repeated = single.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("high", "low", "first", "n")
+    hits = single.select("row", "no", "high", "low").join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "n", "first").alias("hit"))
+    per_row = hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    whole = per_row.join(table.select("row", "doc_id", "starts", "words"), "row").select(
+        "doc_id", F.col("hits.no").alias("nos"), F.col("hits.high").alias("keys"), F.col("hits.n").alias("counts"), F.col("hits.first").alias("firsts"), "starts", "words"
     )
+    names = ["start", "end", "n_words", "n_chunks", "n_copies", "first_doc", "is_first"]
+    kinds = [pa.int64()] * 6 + [pa.bool_()]
+
+    def run(batches):
+        for b in batches:
+            found = [
+                (row[0], *r)
+                for row in zip(*[b.column(c).to_pylist() for c in ("doc_id", "nos", "keys", "counts", "firsts", "starts", "words")])
+                for r in _runs(*row, min_words)
+            ]
+            if found:
+                columns = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds])], names=["doc_id", *names])
+
+    out = arrow_map(whole, run, "doc_id long, start long, end long, n_words long, n_chunks long, n_copies long, first_doc long, is_first boolean")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
 
 
 def dedup_text(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` (doc_id unique, text) with all but the first occurrence of repeated passages cut out."""
     spans = passages.where(~F.col("is_first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    tail = F.lit(2**31 - 1)
     done = F.aggregate(
-        F.coalesce("_spans", F.array().cast("array<struct<start: bigint, end: bigint>>")),
-        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
+        "_spans",
+        F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
-            F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("text"),
-            s["end"].alias("at"),
+            F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))).alias("text"),
+            s["end"].cast("int").alias("at"),
         ),
-        lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
+        lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, tail)),
     )
-    columns = [c for c in docs.columns if c != "text"]
-    return docs.join(spans, "doc_id", "left").select(*columns, F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done).alias("text"))
+    joined = docs.join(spans, "doc_id", "left").withColumn("_done", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
+    return joined.select(*[F.col("_done").alias(c) if c == "text" else F.col(c) for c in docs.columns])
