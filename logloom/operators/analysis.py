@@ -42,10 +42,18 @@ def source_type_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(source_type(F.col("source")).alias("source_type")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_type")
 
 
+def _grouped_ci(df: DataFrame, value: Column) -> DataFrame:
+    """key, value, n: rows per value ignoring case; each group shows the spelling of its first row.
+
+    Spellings are counted first, by hash aggregation with buffers of fixed size; only distinct ones are put together.
+    """
+    spelled = df.select(value.alias("value"), "row_id").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    return spelled.groupBy(F.lower("value").alias("key")).agg(F.min_by("value", "first").alias("value"), F.sum("n").alias("n"))
+
+
 def field_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value, ignoring case; each group shows the spelling of its first row."""
-    grouped = df.groupBy(F.lower(column).alias("key")).agg(F.min_by(column, "row_id").alias("value"), F.count(F.lit(1)).alias("n"))
-    return grouped.select("value", "n").orderBy(F.desc("n"), "value")
+    """value, n: rows per value of a column, ignoring case."""
+    return _grouped_ci(df, F.col(column)).select("value", "n").orderBy(F.desc("n"), "value")
 
 
 def facet_excluding_self(df: DataFrame, spec: FilterSpec, column: str, cap: int = 100) -> DataFrame:
@@ -60,16 +68,19 @@ def facets(df: DataFrame, field: str, limit: int = 20) -> DataFrame:
         raise ValueError(f"unknown facet field '{field}', try one of {', '.join(sorted(set(FACET_FIELDS)))}")
     text = level_name(F.col("level")) if column == "level" else F.col(column)
     value = F.when(F.coalesce(text, F.lit("")) == "", "(none)").otherwise(text)
-    grouped = df.select(value.alias("value"), "row_id").groupBy(F.lower("value").alias("key")).agg(F.min_by("value", "row_id").alias("value"), F.count(F.lit(1)).alias("n"))
-    return grouped.orderBy(F.desc("n"), "key").limit(limit if limit > 0 else 20).select("value", "n")
+    return _grouped_ci(df, value).orderBy(F.desc("n"), "key").limit(limit if limit > 0 else 20).select("value", "n")
 
 
 def top_patterns(df: DataFrame, limit: int = 20) -> DataFrame:
-    """template, n, example: what the messages mostly say."""
-    rows = df.where(F.trim("message") != "").select(template(F.col("message")).alias("template"), "message", "row_id")
-    grouped = rows.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min_by("message", "row_id").alias("first"))
+    """template, n, example: what the messages mostly say.
+
+    Templates are counted with buffers of fixed size; the messages of the few first rows are looked up afterwards.
+    """
+    rows = df.where(F.trim("message") != "")
+    grouped = rows.groupBy(template(F.col("message")).alias("template")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
     top = grouped.orderBy(F.desc("n"), "template").limit(limit if limit > 0 else 20)
-    return top.select("template", "n", cut_text(F.col("first"), EXAMPLE_LENGTH).alias("example"))
+    found = rows.select("row_id", "message").join(F.broadcast(top), "row_id")  # at most ``limit`` rows
+    return found.select("template", "n", cut_text(F.col("message"), EXAMPLE_LENGTH).alias("example")).orderBy(F.desc("n"), "template")
 
 
 def time_range(df: DataFrame) -> DataFrame:
@@ -81,15 +92,12 @@ def _micros(c: Column) -> Column:
 
 
 def _bucketed(df: DataFrame, buckets: int, group: list[str]) -> DataFrame:
-    """Counts per bucket (and group) with the range in every row; bucket edges are whole microseconds."""
+    """lo, hi, bucket, group, n; bucket edges are whole microseconds. The range is a scalar subquery."""
     if not 1 <= buckets <= 200:
         raise ValueError("buckets must be from 1 to 200")
     rows = df.where("log_time is not null").select(_micros(F.col("log_time")).alias("t"), *group)
-    edges = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    # One row of two numbers, whatever the size of the data.
-    placed = rows.join(F.broadcast(edges))
-    span = F.col("hi") - F.col("lo")
-    bucket = F.when(span == 0, 0).otherwise(F.least(F.expr(f"((t - lo) * {buckets}) div (hi - lo)"), F.lit(buckets - 1)))
+    placed = rows.withColumns({"lo": rows.agg(F.min("t").alias("lo")).scalar(), "hi": rows.agg(F.max("t").alias("hi")).scalar()})
+    bucket = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.expr(f"((t - lo) * {buckets}) div (hi - lo)"), F.lit(buckets - 1)))
     return placed.withColumn("bucket", bucket.cast("int")).groupBy("lo", "hi", "bucket", *group).agg(F.count(F.lit(1)).alias("n"))
 
 

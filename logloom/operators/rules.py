@@ -237,32 +237,38 @@ def enrich(df: DataFrame, rules: dict) -> DataFrame:
     return extract(route(tag(df, rules, {"enrichment"}), rules, {"enrichment"}), rules, {"enrichment"})
 
 
-def auto_rules(df: DataFrame, entries: list[dict]) -> DataFrame:
-    """no, rule_file of the auto-rule entries that fit the events' files and providers; all given criteria must hold for one file.
+def auto_rules(df: DataFrame, entries: list[dict], build: int | None = None) -> DataFrame:
+    """no, rule_file of the auto-rule entries that fit what was loaded, each file once.
 
-    Criteria: always, extension, sourceKind, pathGlob, provider. The small side are the
-    distinct (source, provider) pairs; entries are columns over them, so there is no join.
+    An entry has always, or some of extensions, sourceTypes, pathGlobs, providers (lists, any of which
+    must be there) and minBuild, maxBuild; all given criteria must hold. Entries are aggregates
+    over the distinct (source, provider) pairs, so there is no join.
     """
     from logloom.sources.folder import source_type
 
+    if not entries:
+        return df.sparkSession.createDataFrame([], "no int, rule_file string")
     files = df.select("source", "provider").distinct()
+    low = lambda names: [str(x).lower() for x in names]
     tests = []
     for e in entries:
-        parts = []
-        if e.get("extension"):
-            parts.append(F.lower("source").endswith("." + e["extension"].lower().lstrip(".")))
-        if e.get("sourceKind"):
-            parts.append(F.lower(source_type(F.col("source"))) == e["sourceKind"].lower())
-        if e.get("pathGlob"):
-            parts.append(F.col("source").rlike(glob_to_regex(e["pathGlob"])))
-        if e.get("provider"):
-            parts.append(F.lower("provider") == e["provider"].lower())
-        tests.append(F.lit(True) if e.get("always") else reduce(lambda a, b: a & b, parts) if parts else F.lit(False))
-    if not entries:
-        return df.sparkSession.createDataFrame([], "no int, rule_file string")
-    hits = files.agg(*[F.bool_or(t).alias(f"e{i}") for i, t in enumerate(tests)])
-    rows = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(e["ruleFile"]).alias("rule_file"), F.coalesce(F.col(f"e{i}"), F.lit(False)).alias("on")) for i, e in enumerate(entries)])
-    return hits.select(F.inline(rows)).where("on").groupBy("rule_file").agg(F.min("no").alias("no")).select("no", "rule_file").orderBy("no")
+        seen = []
+        if e.get("extensions"):
+            seen.append(_any([F.lower("source").endswith("." + x.lstrip(".")) for x in low(e["extensions"])]))
+        if e.get("sourceTypes"):
+            seen.append(F.lower(source_type(F.col("source"))).isin(low(e["sourceTypes"])))
+        if e.get("pathGlobs"):
+            seen.append(_any([F.col("source").rlike(glob_to_regex(g)) for g in e["pathGlobs"]]))
+        if e.get("providers"):
+            seen.append(F.lower("provider").isin(low(e["providers"])))
+        ranged = e.get("minBuild") is not None or e.get("maxBuild") is not None
+        fits = build is not None and e.get("minBuild", build) <= build <= e.get("maxBuild", build) if ranged else True
+        test = reduce(lambda a, b: a & b, [F.coalesce(F.bool_or(x), F.lit(False)) for x in seen], F.lit(bool(fits)))
+        tests.append(F.lit(True) if e.get("always") else test if seen or ranged else F.lit(False))
+    # One count makes the aggregate have a row even if no test looks at the files.
+    hits = files.agg(F.count(F.lit(1)), *[t.alias(f"e{i}") for i, t in enumerate(tests)])
+    rows = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(e["ruleFile"]).alias("rule_file"), F.col(f"e{i}").alias("fits")) for i, e in enumerate(entries)])
+    return hits.select(F.inline(rows)).where("fits").groupBy("rule_file").agg(F.min("no").alias("no")).select("no", "rule_file").orderBy("no")
 
 
 def collapse_unformatted(df: DataFrame) -> DataFrame:

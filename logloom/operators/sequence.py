@@ -1,7 +1,9 @@
 """Sequences: interactions between actors, collapsed runs, diagram elements and their markup.
 
-Windows are partitioned by the sequence (``group`` columns); orders are by
-time, then row id.
+Orders are by time, then row id. A sequence may hold a large part of all rows, so
+what depends on the row before (``with_previous``) and running sums
+(``running_sum``) are taken within ranges of the order; what crosses from one range to the
+next is carried over by a table with one row for each sequence and range.
 """
 
 from __future__ import annotations
@@ -36,50 +38,95 @@ def label(c: Column) -> Column:
     return F.when(clean == "", "(event)").otherwise(_shortened(clean, LABEL_LENGTH))
 
 
+def ranged(df: DataFrame, by: str) -> DataFrame:
+    """Adds ``_range``, an ascending number of about equally filled ranges of a time or number; 0 for NULL."""
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.unix_micros(F.col(by).cast("timestamp")) if dict(df.dtypes)[by].startswith("timestamp") else F.col(by).cast("long")
+    keyed = df.withColumn("_key", key)
+    bounds = sorted({int(x) for x in keyed.approxQuantile("_key", [i / n for i in range(1, n)], 0.2 / n)})
+    if not bounds:
+        return keyed.withColumn("_range", F.lit(0)).drop("_key")
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length(), -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(array, lo + s - 1) < F.col("_key")), lo + s).otherwise(lo))
+    return keyed.withColumn("_range", F.when(F.col("_key").isNull(), 0).otherwise(below + 1)).drop("_key")
+
+
+def with_previous(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``prev_<column>`` of the row before in the group's order. ``df`` has ``_range`` (see ``ranged``)."""
+    inside = W.partitionBy(*group, "_range").orderBy(*order)
+    near = df.withColumns({f"prev_{c}": F.lag(c).over(inside) for c in columns} | {"_head": F.row_number().over(inside) == 1})
+    last = W.partitionBy(*group, "_range").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    tails = df.withColumn("_no", F.row_number().over(last)).where("_no = 1").select(*group, "_range", *columns)
+    # One row for each range of a group.
+    carried = tails.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"), *[F.lag(c).over(W.partitionBy(*group).orderBy("_range")).alias(f"_c{i}") for i, c in enumerate(columns)])
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    joined = near.join(carried, same, "left")
+    out = joined.withColumns({f"prev_{c}": F.when(F.col("_head"), F.col(f"_c{i}")).otherwise(F.col(f"prev_{c}")) for i, c in enumerate(columns)})
+    return out.select(*df.columns, *[f"prev_{c}" for c in columns])
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], column: str, out: str) -> DataFrame:
+    """Adds the sum of a column over the group's rows up to this one. ``df`` has ``_range``."""
+    inside = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    near = df.withColumn(out, F.sum(column).over(inside))
+    sums = df.groupBy(*group, "_range").agg(F.sum(column).alias("_sum"))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return near.join(offsets, same, "left").select(*df.columns, (F.col(out) + F.col("_before")).alias(out))
+
+
 def interactions(df: DataFrame, actor_col: str, label_col: str, group: list[str], order: list[str] = ("log_time", "row_id")) -> DataFrame:
     """group, seq, kind, from_actor, to_actor, label, n: one row per run of equal (actor, label).
 
     The first of a sequence is a note, the others messages from the actor of
     the run before. Rows without an actor are left out.
     """
+    order = list(order)
     rows = df.where(F.trim(F.coalesce(actor_col, F.lit(""))) != "").select(*group, *order, actor(F.col(actor_col)).alias("a"), label(F.col(label_col)).alias("l"))
-    in_order = W.partitionBy(*group).orderBy(*order)
-    changed = (~F.col("a").eqNullSafe(F.lag("a").over(in_order)) | ~F.col("l").eqNullSafe(F.lag("l").over(in_order))).cast("int")
-    runs = rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(in_order))
-    one = runs.groupBy(*group, "run").agg(F.first("a").alias("a"), F.first("l").alias("l"), F.count(F.lit(1)).alias("n"))
-    by_run = W.partitionBy(*group).orderBy("run")
-    before = F.lag("a").over(by_run)
-    return one.select(*group, F.col("run").cast("long").alias("seq"), F.when(before.isNull(), "note").otherwise("message").alias("kind"), before.alias("from_actor"), F.col("a").alias("to_actor"), F.col("l").alias("label"), "n")
-
-
-def collapse_runs(df: DataFrame, keys: list[str], group: list[str], order: list[str]) -> DataFrame:
-    """Runs of consecutive rows with equal keys: group, keys, seq (from 1), n."""
-    in_order = W.partitionBy(*group).orderBy(*order)
-    same = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.lag(k).over(in_order))
-        same = one if same is None else same & one
-    runs = df.select(*group, *order, *[k for k in keys if k not in group and k not in order], F.when(same & (F.row_number().over(in_order) > 1), 0).otherwise(1).alias("_new"))
-    numbered = runs.withColumn("seq", F.sum("_new").over(in_order))
-    return numbered.groupBy(*group, "seq").agg(*[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias("n"))
+    runs = collapse_runs(rows, ["a", "l"], group, order, carry=["a"])
+    before = F.col("prev_a")
+    return runs.select(*group, "seq", F.when(before.isNull(), "note").otherwise("message").alias("kind"), before.alias("from_actor"), F.col("a").alias("to_actor"), F.col("l").alias("label"), "n")
+
+
+def collapse_runs(df: DataFrame, keys: list[str], group: list[str], order: list[str], carry: list[str] = ()) -> DataFrame:
+    """Runs of consecutive rows with equal keys: group, seq (from 1), keys, n; for ``carry`` also prev_<key> of the run before."""
+    from logloom.plans.durable import cut
+
+    own = [k for k in keys if k not in group and k not in order]
+    rows = ranged(df.select(*group, *order, *own, F.lit(1).alias("_one")), order[0])
+    near = with_previous(rows, group, order, [*own, "_one"])
+    same = F.col("prev__one").isNotNull()
+    for k in own:
+        same = same & F.col(k).eqNullSafe(F.col(f"prev_{k}"))
+    marked = near.withColumn("_new", F.when(same, 0).otherwise(1))
+    numbered = running_sum(cut(marked), group, order, "_new", "seq")
+    kept = [F.max(F.when(F.col("_new") == 1, F.col(f"prev_{k}"))).alias(f"prev_{k}") for k in carry]
+    return numbered.groupBy(*group, "seq", *own).agg(F.count(F.lit(1)).alias("n"), *kept)
 
 
 def actor_alias(df: DataFrame, actor_col: str, group: list[str], order: list[str] = ("log_time", "row_id")) -> DataFrame:
     """group, actor, alias: p0, p1, ... in the order of first appearance within the group."""
-    first = df.groupBy(*group, actor(F.col(actor_col)).alias("actor")).agg(F.min(F.struct(*order)).alias("at"))
+    at = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    first = df.groupBy(*group, actor(F.col(actor_col)).alias("actor")).agg(at.alias("at"))
     number = F.row_number().over(W.partitionBy(*group).orderBy("at", "actor")) - 1
     return first.select(*group, "actor", F.concat(F.lit("p"), number.cast("string")).alias("alias"))
 
 
 def cap_sequence(sequence: DataFrame, group: list[str], cap: int = MAX_ARROWS) -> DataFrame:
     """The first ``cap`` elements of each sequence, and a last note that says how many events more there are."""
-    left = F.sum(F.when(F.col("seq") > cap, F.col("n"))).over(W.partitionBy(*group))
-    more = F.concat(F.lit("… "), left.cast("string"), F.lit(" more events (truncated)"))
-    kept = sequence.withColumn("_more", more).where(F.col("seq") <= cap + 1)
+    rest = sequence.where(F.col("seq") > cap).groupBy(*group).agg(F.sum("n").alias("_rest"))
+    kept = sequence.where(F.col("seq") <= cap + 1).join(rest, group, "left")
+    more = F.concat(F.lit("… "), F.col("_rest").cast("string"), F.lit(" more events (truncated)"))
     last = F.col("seq") > cap
     return kept.select(
         *group, "seq", F.when(last, "note").otherwise(F.col("kind")).alias("kind"), F.when(~last, F.col("from_actor")).alias("from_actor"),
-        F.when(last, F.col("from_actor")).otherwise(F.col("to_actor")).alias("to_actor"), F.when(last, F.col("_more")).otherwise(F.col("label")).alias("label"), F.when(last, 1).otherwise(F.col("n")).alias("n"),
+        F.when(last, F.col("from_actor")).otherwise(F.col("to_actor")).alias("to_actor"), F.when(last, more).otherwise(F.col("label")).alias("label"), F.when(last, 1).otherwise(F.col("n")).alias("n"),
     )
 
 
@@ -142,10 +189,9 @@ def diagram_elements(df: DataFrame, definition: dict, content: str = "message")
     """
     hits = diagram_hits(df, definition, content)
     switch = F.col("type").isin("activate", "deactivate")
-    before = F.lag("type").over(W.partitionBy("from_id").orderBy("log_time", "row_id", "rule_no"))
-    switches = hits.where(switch & (F.col("from_id") != "")).withColumn("_before", before)
-    shown = switches.where((F.col("type") == "activate") | (F.col("_before") == "activate")).drop("_before")
-    return hits.where(~switch).unionByName(shown)
+    switches = with_previous(ranged(hits.where(switch & (F.col("from_id") != "")), "log_time"), ["from_id"], ["log_time", "row_id", "rule_no"], ["type"])
+    shown = switches.where((F.col("type") == "activate") | (F.col("prev_type") == "activate"))
+    return hits.where(~switch).unionByName(shown.select(hits.columns))
 
 
 def diagram_usage(df: DataFrame, definition: dict, content: str = "message") -> DataFrame:
@@ -155,7 +201,9 @@ def diagram_usage(df: DataFrame, definition: dict, content: str = "message") ->
 
 def diagram_rows(df: DataFrame, definition: dict, content: str = "message") -> DataFrame:
     """row_id, rule: rows that feed the diagram, with their first rule."""
-    return diagram_hits(df, definition, content).groupBy("row_id").agg(F.min_by("rule", "rule_no").alias("rule"))
+    names = [(r.get("name") or "").strip() or f"rule {i + 1}" for i, r in enumerate(definition.get("rules", []))]
+    first = diagram_hits(df, definition, content).groupBy("row_id").agg(F.min("rule_no").alias("rule_no"))
+    return first.select("row_id", F.get(F.array(*map(F.lit, names)), F.col("rule_no")).alias("rule"))
 
 
 def mermaid_line() -> Column:

@@ -103,8 +103,8 @@ def filter_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
 
 def last_minutes(df: DataFrame, minutes: int) -> DataFrame:
     """Rows from so many minutes before the newest event on; rows without a time go."""
-    newest = df.agg(F.max("log_time").alias("newest"))
-    return df.join(F.broadcast(newest), F.col("log_time") >= F.col("newest") - F.expr(f"INTERVAL {int(minutes)} MINUTES"), "inner").drop("newest")
+    start = df.agg((F.max("log_time") - F.expr(f"INTERVAL {int(minutes)} MINUTES")).alias("start"))
+    return df.where(F.col("log_time") >= start.scalar())
 
 
 def preset(df: DataFrame, name: str) -> DataFrame:

@@ -493,10 +493,10 @@ def quick_rule(spark, sf_dir):
 @query("auto_rules", f"WITH {DL} SELECT * FROM (VALUES (0, 'always.json'), (1, 'logs.json'), (3, 'german.json')) AS v(no, rule_file)")
 def auto_rules(spark, sf_dir):
     entries = [
-        {"ruleFile": "always.json", "always": True}, {"ruleFile": "logs.json", "extension": "log", "sourceKind": "Text"}, {"ruleFile": "none.json", "pathGlob": "*.etl"},
-        {"ruleFile": "german.json", "pathGlob": "src*.log", "provider": "DE"}, {"ruleFile": "logs.json", "extension": ".log"},
+        {"ruleFile": "always.json", "always": True}, {"ruleFile": "logs.json", "extensions": ["txt", ".LOG"], "sourceTypes": ["Text"]}, {"ruleFile": "none.json", "pathGlobs": ["*.etl"]},
+        {"ruleFile": "german.json", "pathGlobs": ["src*.log"], "providers": ["DE"], "minBuild": 100}, {"ruleFile": "logs.json", "extensions": ["log"]}, {"ruleFile": "old.json", "maxBuild": 99},
     ]
-    return rules.auto_rules(document_lines(spark, sf_dir), entries)
+    return rules.auto_rules(document_lines(spark, sf_dir), entries, build=200)
 
 
 _GUID_OF = "printf('%08x-0000-4000-8000-%012d', {0} % 7, {0} % 7)"
