@@ -16,20 +16,23 @@ BINARY_HEAD = 1024
 def lines_to_events(lines: DataFrame) -> DataFrame:
     """Events of lines (value, path): blank lines go, the provider is the file's base name."""
     rows = lines.where(F.trim("value") != "")
+    ids = [F.col("row_id")] if "row_id" in lines.columns else []
     return as_events(
         rows.select(
-            line_time(F.col("value")).alias("log_time"), line_level(F.col("value")).alias("level"), base_name(F.col("path")).alias("provider"),
+            *ids, line_time(F.col("value")).alias("log_time"), line_level(F.col("value")).alias("level"), base_name(F.col("path")).alias("provider"),
             F.col("path").alias("source"), F.col("value").alias("message"), F.col("value").alias("searchable"),
         )
     )
 
 
 def text_lines(spark: SparkSession, path, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """value, path of every line."""
+    """value, path, block, place of every line; the last two order the lines of a file."""
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
 
 
 def drop_binary(lines: DataFrame) -> DataFrame:
@@ -39,5 +42,14 @@ def drop_binary(lines: DataFrame) -> DataFrame:
     return lines.join(binary, "path", "left_anti")
 
 
-def read_text_logs(spark: SparkSession, path, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    return lines_to_events(drop_binary(text_lines(spark, path, recursive, glob)))
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Lines with ids in load order: by path, place of the block in the file, place of the line in the block."""
+    from logloom.operators.rewrite import with_row_id
+
+    return with_row_id(lines, ["path", "block", "place"]).drop("block", "place")
+
+
+def read_text_logs(spark: SparkSession, path, recursive: bool = False, glob: str | None = None, ids: bool = False) -> DataFrame:
+    """Events of text files; with ``ids`` they have stable ids in load order, for stores (a sort of all lines)."""
+    lines = drop_binary(text_lines(spark, path, recursive, glob))
+    return lines_to_events(number_lines(lines.where(F.trim("value") != "")) if ids else lines.drop("block", "place"))

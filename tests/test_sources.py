@@ -40,6 +40,18 @@ def test_text(spark, tmp_path):
     assert rows[0].log_time == dt.datetime(2024, 1, 2, 3, 4, 5) and rows[0].source.endswith("app.log")
 
 
+def test_row_ids_in_load_order(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for name in "ba":
+            (tmp_path / f"{name}.log").write_text("".join(f"{name} line {i}\n" + "\n" * (i % 3) for i in range(700)))
+        rows = read_text_logs(spark, str(tmp_path), ids=True).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.row_id for r in rows] == list(range(1400))
+    assert [r.message for r in rows] == [f"{name} line {i}" for name in "ab" for i in range(700)]
+
+
 def test_csv(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_text('Timestamp,Level,Provider,ThreadId,Message,Region,\n2024-01-02 03:04:05,warn,Auth,7,"a, b",eu,x\n,E,Auth,,plain,us,\n')
