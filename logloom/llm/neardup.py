@@ -39,7 +39,7 @@ from logloom.llm import bagminhash as bm
 from logloom.llm.common import arrow_map, cut
 
 #: Similarity of near duplicates; members of a tile's block.
-THRESHOLD, TILE = 0.8, 256
+THRESHOLD, TILE = 0.8, 96
 #: Below the threshold by this much an estimate still gets verified: four standard deviations of SLOTS slots.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / bm.SLOTS)
 
@@ -101,14 +101,23 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _bag_bytes(b: tuple[np.ndarray, np.ndarray]) -> bytes:
-    return b[0].tobytes() + b[1].astype(np.uint32).tobytes()
+    """Shingles, and multiplicities behind them where some is not 1."""
+    return b[0].tobytes() + (b[1].astype(np.uint32).tobytes() + b"+" if (b[1] > 1).any() else b"")
 
 
 def _bag_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if len(raw) % 8 == 0:
+        h = np.frombuffer(raw, np.uint64)
+        return h, np.ones(len(h), dtype=np.int64)
     n = len(raw) // 12
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64)
 
 
+def _slots(signature: np.ndarray) -> bytes:
+    """16 bits of each slot: enough to estimate a similarity."""
+    return (bm.mix(signature.view(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def fetch_bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, bag, signature of the ``wanted`` nodes (node, doc_id, text_key); texts come from ``docs`` again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -122,7 +131,7 @@ def fetch_bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out_bags, out_signatures = [], []
             for bags, _ in _steps(b.column("text").to_pylist()):
                 out_bags += [_bag_bytes(x) for x in bags]
-                out_signatures += [s.astype(np.float32).tobytes() for s in bm.signatures(bags)]
+                out_signatures += [_slots(s) for s in bm.signatures(bags)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out_bags, pa.binary()), pa.array(out_signatures, pa.binary())], names=["node", "bag", "signature"])
 
     return arrow_map(joined, run, "node long, bag binary, signature binary").dropDuplicates(["node"])
@@ -150,7 +159,7 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> D
 
 def _tile_links(nodes: list[int], sides: list[int], labels: list[int], bags: list[bytes], signatures: list[bytes], threshold: float) -> list[tuple[int, int]]:
     """Links that join different components within one tile; sides tells the block in a tile of two."""
-    sig = np.frombuffer(b"".join(signatures), np.float32).reshape(len(nodes), -1)
+    sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(nodes), -1)
     parent = {x: x for x in labels}
 
     def find(x: int) -> int:

@@ -78,12 +78,19 @@ def test_tiles_find_what_centres_miss():
     a, b = (bm.bag(bm.word_hashes(" ".join(f"w{i}" for i in range(s, s + 100)))) for s in (0, 5))
     c = bm.bag(bm.word_hashes(" ".join(f"v{i}" for i in range(100))))
     bags = [neardup._bag_bytes(x) for x in (a, b, c)]
-    signatures = [s.astype(np.float32).tobytes() for s in bm.signatures([a, b, c])]
+    signatures = [neardup._slots(s) for s in bm.signatures([a, b, c])]
     assert neardup._tile_links([1, 2, 3], [0, 0, 0], [1, 2, 3], bags, signatures, 0.8) == [(1, 2)]
     assert neardup._tile_links([1, 2, 3], [0, 1, 1], [1, 2, 3], bags, signatures, 0.8) == [(1, 2)]
     assert neardup._tile_links([1, 2, 3], [0, 0, 0], [7, 7, 3], bags, signatures, 0.8) == []
 
 
+def test_bag_bytes():
+    for text in ("a b c d e f g", "a a a a a a a a a", "", "x y", "a b a b a b a b a b " * 5):
+        b = bm.bag(bm.word_hashes(text))
+        again = neardup._bag_of(neardup._bag_bytes(b))
+        assert (again[0] == b[0]).all() and (again[1] == b[1]).all()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 9), (9, 8), (20, 20), (5, 1), (30, 31), (31, 30)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
