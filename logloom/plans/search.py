@@ -65,8 +65,12 @@ def _ordered(column: str, op: str, value: str) -> str:
     return f"CASE WHEN {as_number} IS NOT NULL THEN {as_number} {op} {number!r}D ELSE {text} END"
 
 
-def predicate_sql(field: str, op: str, value: str) -> str:
-    """SQL condition of one ``field OP value``; never NULL."""
+def predicate_sql(field: str, op: str, value: str, negated: bool = False) -> str:
+    """SQL condition of one ``field OP value``; under a NOT it is never NULL.
+
+    Elsewhere a NULL is as good as false, and the bare comparison can reach the scan.
+    """
+    sure = (lambda e: f"coalesce({e}, false)") if negated else (lambda e: e)
     column = FIELD_ALIASES.get(field.lower())
     if column is None:
         raise ValueError(f"unknown field '{field}'")
@@ -81,15 +85,15 @@ def predicate_sql(field: str, op: str, value: str) -> str:
             equal = f"log_time = timestamp_ntz'{when.isoformat(sep=' ')}'"
         else:
             equal = f"lower({name}) = {_quote(value.lower())}"
-        return f"NOT coalesce({equal}, false)" if op == "!=" else f"coalesce({equal}, false)"
+        return f"NOT coalesce({equal}, false)" if op == "!=" else sure(equal)
     if op in ("~", "!~"):
-        hit = f"coalesce(contains(lower({name}), {_quote(value.lower())}), false)"
-        return f"NOT {hit}" if op == "!~" else hit
+        hit = f"contains(lower({name}), {_quote(value.lower())})"
+        return f"NOT coalesce({hit}, false)" if op == "!~" else sure(hit)
     if when is not None:
-        return f"coalesce(log_time {op} timestamp_ntz'{when.isoformat(sep=' ')}', false)"
+        return sure(f"log_time {op} timestamp_ntz'{when.isoformat(sep=' ')}'")
     if level:
         return f"level {op} {known}" if known >= 0 else _ordered("CAST(level AS string)", op, value)
-    return f"coalesce({_ordered(name, op, value)}, false)"
+    return sure(_ordered(name, op, value))
 
 
 def where_sql(text: str) -> str:
@@ -98,6 +102,7 @@ def where_sql(text: str) -> str:
     if not tokens:
         raise ValueError("empty query")
     out: list[str] = []
+    negated = any(kind == "word" and value.lower() == "not" for kind, value in tokens)
     depth, i = 0, 0
     operand_before = False
     while i < len(tokens):
@@ -126,7 +131,7 @@ def where_sql(text: str) -> str:
                 raise ValueError(f"unknown field '{value}'")
             if i + 2 >= len(tokens) or tokens[i + 2][0] not in ("word", "quoted"):
                 raise ValueError(f"expected a value after '{value}'")
-            out.append(f"({predicate_sql(value, tokens[i + 1][1], tokens[i + 2][1])})")
+            out.append(f"({predicate_sql(value, tokens[i + 1][1], tokens[i + 2][1], negated)})")
             operand_before = True
             i += 2
         else:

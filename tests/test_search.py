@@ -44,6 +44,8 @@ def ids(df):
         ("time < '2024-01-01 11:00:00'", [0]),
         ("time ~ 2024-01-03", [4]),
         ("msg !~ read", [2, 3, 4]),
+        ("not time >= 2024-01-02", [0, 1, 3]),
+        ("time != 2024-01-03", [0, 1, 2, 3]),
         ('msg ~ "it\'s"', [3]),
         (r'msg ~ "\"quoted\""', [3]),
         (r"msg ~ 'c:\\temp'", [3]),
@@ -64,6 +66,14 @@ def test_search_errors(spark, text, say):
         where_query(text)
 
 
+def test_time_reaches_the_scan(events, tmp_path, spark):
+    events.write.parquet(str(tmp_path / "e"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = spark.read.parquet(str(tmp_path / "e")).where(where_query("time >= 2024-01-02 and level == Error"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(log_time" in plan and "EqualTo(level,1)" in plan
+
+
 def test_detection():
     assert looks_structured("a == b") and looks_structured("x AND y") and looks_structured("not z")
     assert not looks_structured("plain words") and not looks_structured("") and not looks_structured("'open")
