@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.plans.durable import cut
+
+__all__ = ["arrow_map", "cut", "doc_crc", "small_batches", "table"]
+
 #: Rows of an Arrow batch handed to Python: with texts of a few KB a batch stays at some MB.
 BATCH_ROWS = 1000
 
@@ -17,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it is unset (tests) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named and not current:
-        spark.sparkContext.setCheckpointDir(named)
-    elif not named and not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and go on from there.
-
-    The copy outlives lost executors and keeps later branches from
-    recomputing what is above it.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_ROWS`` rows, so that long texts cannot fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -57,9 +39,3 @@ def arrow_map(
 def doc_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the decimal text of an id."""
     return F.crc32(F.col(doc_id).cast("string"))
-
-
-def record_batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(values, type=kind) for values, kind in columns.values()], names=list(columns)
-    )

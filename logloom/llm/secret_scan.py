@@ -8,8 +8,8 @@ example; one that stays with a few owners looks live.
 
 Candidates are the three base kinds (assign, access, hex) and kinds of this
 operator's own: well-known token shapes, private-key blocks, JSON web tokens
-and credentials in URLs. Values shorter than MIN_LEN or with few
-distinct characters are candidates of no own kind.
+and credentials in URLs. Short values and those with few distinct
+characters are candidates of no own kind.
 
 The aggregation runs in two steps with map-side partial sums: (hash, owner)
 counts repositories once each, then the hash counts owners. A value copied
@@ -35,8 +35,6 @@ from logloom.llm.common import arrow_map, cut
 
 #: Distinct owners from which on a value counts as a widely copied example.
 EXAMPLE_OWNERS = 4
-#: Own kinds: least length of a value, and least distinct characters in it.
-MIN_LEN, MIN_DISTINCT = 16, 8
 
 #: Base kinds in the order of ties; the last element tells which matches stand.
 BASE = [
@@ -44,13 +42,13 @@ BASE = [
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 16, 0),
     ("hex", re.compile(r"[0-9a-f]{32,}"), lambda m: True, 0),
 ]
-#: Kinds of this operator's own, after the base kinds; the group is the value. Publicly documented token shapes.
+#: Kinds of this operator's own, after the base kinds: publicly documented token shapes; the value's group, its least length and least number of distinct characters.
 OWN = [
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----"), 0),
-    ("prefixed", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|ASIA)[A-Za-z0-9_-]{16,}"), 0),
-    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{8,128})@"), 1),
-    ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1),
+    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 16, 8),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----"), 0, 16, 8),
+    ("prefixed", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|ASIA)[A-Za-z0-9_-]{16,}"), 0, 16, 8),
+    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{8,128})@"), 1, 8, 5),
+    ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1, 16, 8),
 ]
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in OWN]
 #: What any own kind needs somewhere in the text.
@@ -68,10 +66,10 @@ def spans(text: str | None) -> list[tuple[int, int, int, str]]:
         if stands(m)
     ]
     if _HINT.search(text):
-        for no, (_, pattern, group) in enumerate(OWN, len(BASE)):
+        for no, (_, pattern, group, least, distinct) in enumerate(OWN, len(BASE)):
             for m in pattern.finditer(text):
                 value = m.group(group)
-                if len(value) >= MIN_LEN and len(set(value)) >= MIN_DISTINCT or no == 6 and len(set(value)) > 4:
+                if len(value) >= least and len(set(value)) >= distinct:
                     found.append((m.start(), no, m.end(), value))
     return sorted(found, key=lambda x: x[:3])
 
