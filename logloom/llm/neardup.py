@@ -40,10 +40,24 @@ from logloom.llm.common import arrow_map, cut
 
 #: Similarity of near duplicates; members of a tile's block.
 THRESHOLD, TILE = 0.8, 96
+#: Share of all links from which on a node is a hub.
+HUB_SHARE = 0.001
 #: Below the threshold by this much an estimate still gets verified: four standard deviations of SLOTS slots.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / bm.SLOTS)
 
 
+def _with_least(rows: DataFrame, keyed: DataFrame, n_edges: int) -> DataFrame:
+    """``rows`` (u, v) with m, the least neighbour of u, which ``keyed`` (u, n, m) has for every u.
+
+    A node with more than a HUB_SHARE of all links is a hub; there are at most
+    2 / HUB_SHARE of them, so they are broadcast and their links stay where they are.
+    """
+    limit = max(1000, int(n_edges * HUB_SHARE))
+    hubs = F.broadcast(keyed.where(F.col("n") > limit).select("u", "m"))
+    others = keyed.where(F.col("n") <= limit).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the smallest node of its component.
 
@@ -52,18 +66,18 @@ def components(links: DataFrame) -> DataFrame:
     and a checksum.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
-    while True:
+    before, n = None, edges.count()
+    while n:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("m")))
+        large = cut(_with_least(both, least, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")))
+        moved = _with_least(large, least, n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-        if tuple(now) == before:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+        if now == before:
             break
-        before = tuple(now)
+        before, n = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from logloom.llm import bagminhash as bm
 from logloom.llm import neardup
 from logloom.llm.queries import op5_near_dedup
@@ -96,6 +98,8 @@ def test_components(spark):
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8, 30: 30, 31: 30}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = spark.range(5, 3000).selectExpr("7 AS a", "id AS b").union(spark.range(4000, 4050).selectExpr("id AS a", "id + 1 AS b"))
+    assert {(r.label, r.n) for r in neardup.components(hub).groupBy("label").agg(F.count("*").alias("n")).collect()} == {(5, 2995), (4000, 51)}
 
 
 def test_odd(odd, empty):
