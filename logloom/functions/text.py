@@ -16,6 +16,8 @@ TEMPLATE_STEPS = [
     (r"\b\d+\b", "{n}"),
     (r"\s+", " "),
 ]
+#: What a text must hold, any of it, for a step to change it; None for steps that look themselves.
+TEMPLATE_SIGNS = [["-"], [":\\"], ['"', "'"], None, None, None]
 TEMPLATE_LENGTH, EXAMPLE_LENGTH = 200, 300
 
 
@@ -40,8 +42,14 @@ def cut_text(column: Column, length: int) -> Column:
 def template(message: Column) -> Column:
     """Message with its variable parts replaced, so that like messages are equal."""
     out = message
-    for pattern, mark in TEMPLATE_STEPS:
-        out = F.regexp_replace(out, pattern, mark)
+    for (pattern, mark), signs in zip(TEMPLATE_STEPS, TEMPLATE_SIGNS):
+        done = F.regexp_replace(out, pattern, mark)
+        if signs:
+            held = out.contains(signs[0])
+            for sign in signs[1:]:
+                held = held | out.contains(sign)
+            done = F.when(held, done).otherwise(out)
+        out = done
     return cut_text(F.trim(out), TEMPLATE_LENGTH)
 
 

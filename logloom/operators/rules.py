@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import glob_to_regex
-from logloom.plans.rules import actions, compiles, enabled, field_column, gated, java_group, java_groups, regex_or_contains, sections
+from logloom.plans.rules import actions, compiles, enabled, field_column, gated, guarded, java_groups, regex_or_contains, sections
 
 # Rule targets and the columns they write; time, level, searchable text and id are never overwritten.
 TARGETS = {
@@ -217,7 +217,7 @@ def redact_column(column: Column, rules: list[dict]) -> Column:
             pattern = "(?iu)" + java_groups(r["match"])
             if compiles(pattern):
                 mark = (a.get("replacement") or "[REDACTED]").replace("\\", "\\\\").replace("$", "\\$")
-                column = F.regexp_replace(column, pattern, mark)
+                column = guarded(column, r["match"], F.regexp_replace(column, pattern, mark), column)
     return column
 
 

@@ -9,7 +9,7 @@ from logloom import sinks
 from logloom.functions.parse import parse_span, rule_date
 from logloom.model import as_events
 from logloom.operators import packs, rewrite, rules
-from logloom.plans.rules import compiles, java_groups, load_rules, regex_or_contains, sections, validate_rules
+from logloom.plans.rules import compiles, java_groups, load_rules, regex_or_contains, required_sign, sections, validate_rules
 
 
 def make(spark, messages, **more):
@@ -46,6 +46,17 @@ def test_bad_regex_is_a_substring(spark):
     assert messages(df.where(regex_or_contains(df.message, "[X"))) == ["a [x"]
 
 
+@pytest.mark.parametrize(
+    ("pattern", "sign"),
+    [
+        (r"[\w.]+@[\w.]+", "@"), (r"\b\d{3}-\d{2}\b", "-"), ("a|b@c", None), ("b@c|a", None), ("x(@)?y", None), (r"x@?y", None), (r"x@*y", None), (r"x@{0,2}y", None), (r"[@]y", None), (r"[\]@]z", None), (r"\[x\]", "["),
+        (r"user=(?<uid>\d+)", "="), (r"(?i)a(b[)]@)c", None), (r"\.x", "."), (".x", None), ("plain", None), ("a@+b", "@"), ("", None),
+    ],
+)
+def test_required_sign(pattern, sign):
+    assert required_sign(pattern) == sign
+
+
 def test_extract_merges_spans_and_keeps_old_values(spark):
     df = make(spark, ["2024-01-02 03:04:05, Info  DISM API: PID=12 TID=34 done", "nothing"], provider="p", task_name="t")
     first, second = rules.extract(df, packs.DISM_FIELDS).orderBy("row_id").collect()
