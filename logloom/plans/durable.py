@@ -1,4 +1,4 @@
-"""Cuts in a plan that outlive lost executors."""
+"""Cuts in a plan that outlive lost executors, and the spread of small inputs."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once into the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table, read from files as it is, dealt to all cores: one row group is one task otherwise. Large tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -13,6 +13,7 @@ from logloom.functions.parse import line_level, line_time, parse_level, parse_ti
 from logloom.functions.text import template
 from logloom.model import as_events
 from logloom.operators import analysis, overlay, packs, paging, rewrite, rules, sequence, trigram
+from logloom.plans.durable import scratch, spread
 from logloom.plans.scope import apply_scope, build_scope
 from logloom.plans.search import any_contains, search, where_query
 from logloom.plans.spec import FilterSpec, SortSpec, apply_filters, filter_all, last_minutes
@@ -49,7 +50,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     rows = d.where(F.trim("value") != "")
     return as_events(
         rows.select(
@@ -747,8 +748,6 @@ def output_rule_rows(spark, sf_dir):
 @query("saved_store", f"WITH {EV} SELECT strftime(log_time, '%Y-%m-%d') AS day, level, count(*) AS n FROM ev GROUP BY 1, 2")
 def saved_store(spark, sf_dir):
     """Events written to the day-partitioned store and read back."""
-    from logloom.plans.durable import scratch
-
     path = scratch(spark, "store")
     sinks.save_events(event_rows(spark, sf_dir), path)
     return sinks.load_events(spark, path).groupBy(F.date_format("log_time", "yyyy-MM-dd").alias("day"), "level").agg(F.count(F.lit(1)).alias("n"))
@@ -762,8 +761,6 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, counts: DataFrame, name: str) -> DataFrame:
     """A finished run of a small running aggregate; its last state is the result."""
-    from logloom.plans.durable import scratch
-
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
