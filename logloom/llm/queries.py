@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, neardup, packing, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
+from logloom.plans.durable import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-parsing; fitted on rows whose crc32(doc_id) mod 5 is not 0."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     fold = doc_crc() % 5
     sample = langid.fit_sample(docs.where(fold != 0).select("doc_id", "text", "lang"))
     return langid.identify(docs, sample, held_out=fold == 0)
@@ -25,12 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) whose text holds the item within its edit budget."""
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document; a document is the repository, its source the owner."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = secret_scan.secrets(docs, F.col("doc_id").cast("long"), F.col("doc_id"), F.col("source"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_owners_max")
 
@@ -44,27 +49,27 @@ def tokenizer_path() -> str:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: 5-word shingles, weighted Jaccard 0.8 or more."""
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_kept")
+    return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "is_kept")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and of its edited text."""
-    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
-    return license_scan.licenses(table(spark, sf_dir, "documents"))
+    return license_scan.licenses(documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; the lexicon is learned from labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(doc_crc() % 4 != 2)
     lexicon = toxicity.fit_lexicon(docs.select("doc_id", "text").join(labels, "doc_id"))
     return toxicity.score(docs, lexicon, held_out=doc_crc() % 4 == 2)
@@ -88,7 +93,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat within or across documents, by content-defined chunks."""
-    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return chunk_dedup.repeated_passages(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
