@@ -13,15 +13,17 @@ Digests are counted with map-side partial aggregates of fixed size (smallest and
 largest doc_id and a count), so a chunk in a third of all texts is one partial
 row per task; only repeated digests go back to their chunks, in a join whose
 hot digests AQE splits. A text's hits are put together by the text's own row
-key: their number is bounded by its length.
+key: their number is bounded by its length. The keeper of each digest is found the
+same way, among the chunks that lie in passages: overlapping passages and common lines
+inside them leave every chunk exactly one kept place.
 
 Texts are chunked folded: lower case, runs of characters that are neither letters
 nor digits one space. Places are reported in the original text, code points,
 end exclusive.
 
 Defined results: null and empty texts have no chunks; equal texts of different
-documents repeat as wholes; the document with the smallest doc_id is the first,
-and within it the first place; rows of one doc_id, and all rows without one, count as
+documents repeat as wholes; of a chunk's places in passages the one in the
+document with the smallest doc_id is the first, and within it the first place; rows of one doc_id, and all rows without one, count as
 one document, whose own repeats are no repeats across documents.
 """
 
@@ -147,58 +149,86 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "row long, doc_id long, high array<long>, low array<long>, starts array<int>, words array<int>")
 
 
-def _runs(doc_id: int, nos: list[int], keys: list[int], counts: list[int], firsts: list[int], starts: list[int], words: list[int], min_words: int) -> list[tuple]:
-    """(start, end, n_words, n_chunks, n_copies, first_doc, is_first) of the runs of one text's hits."""
-    hits = sorted(zip(nos, keys, counts, firsts))
-    out, run, seen, mine = [], [], set(), []
-    for i, (no, key, n, first) in enumerate(hits):
-        run.append((no, n, first))
-        mine.append(first == doc_id and key not in seen)
-        seen.add(key)
+def _in_passages(nos: list[int], highs: list[int], lows: list[int], counts: list[int], starts: list[int], words: list[int], min_words: int) -> list[tuple]:
+    """(no, high, low, n, start, end, words) of the hits of one text that lie in runs of ``min_words`` or more."""
+    out, run, n_words = [], [], 0
+    hits = sorted(zip(nos, highs, lows, counts))
+    for i, (no, high, low, n) in enumerate(hits):
+        run.append((no, high, low, n, starts[no], starts[no + 1], words[no]))
+        n_words += words[no]
         if i + 1 == len(hits) or hits[i + 1][0] != no + 1:
-            a, b = run[0][0], run[-1][0]
-            n_words = sum(words[a : b + 1])
             if n_words >= min_words:
-                out.append((starts[a], starts[b + 1], n_words, len(run), max(r[1] for r in run), min(r[2] for r in run), all(mine)))
-            run, mine = [], []
+                out += run
+            run, n_words = [], 0
+    return out
+
+
+def _spans(hits: list[dict]) -> list[tuple]:
+    """(start, end, n_words, n_chunks, n_copies, first_doc, is_first) of one text's passages, split where kept chunks meet others."""
+    out, span = [], []
+    hits = sorted(hits, key=lambda x: x["no"])
+    for i, x in enumerate(hits):
+        span.append(x)
+        after = hits[i + 1] if i + 1 < len(hits) else None
+        if not after or after["no"] != x["no"] + 1 or after["mine"] != x["mine"]:
+            out.append((span[0]["start"], x["end"], sum(y["words"] for y in span), len(span), max(y["n"] for y in span), min(y["first"] for y in span), x["mine"]))
+            span = []
     return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that repeat across documents: doc_id, start, end, n_words, n_chunks, n_copies, first_doc, is_first.
 
-    n_copies is the number of occurrences of the passage's most frequent
-    chunk, first_doc the smallest doc_id that holds one of its chunks; ``is_first`` marks the
-    occurrence to keep.
+    Of each chunk in a passage the first occurrence that lies in a passage is kept;
+    occurrences outside passages stay anyway. A passage is split where
+    kept chunks meet others: ``is_first`` marks the parts to keep, and each part of
+    a passage is a row, if need be of less than ``min_words``. n_copies is the number of
+    occurrences of the part's most frequent chunk, first_doc the smallest
+    doc_id that keeps one of its chunks.
     """
     table = cut(chunk_table(docs))
     single = table.select("row", "doc_id", F.posexplode(F.arrays_zip("high", "low")).alias("no", "d")).select("row", "doc_id", "no", "d.high", "d.low")
-    repeated = single.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("high", "low", "first", "n")
-    hits = single.select("row", "no", "high", "low").join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "n", "first").alias("hit"))
+    repeated = single.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("high", "low", "n")
+    hits = single.select("row", "no", "high", "low").join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
     per_row = hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
     whole = per_row.join(table.select("row", "doc_id", "starts", "words"), "row").select(
-        "doc_id", F.col("hits.no").alias("nos"), F.col("hits.high").alias("keys"), F.col("hits.n").alias("counts"), F.col("hits.first").alias("firsts"), "starts", "words"
+        "row", "doc_id", F.col("hits.no").alias("nos"), F.col("hits.high").alias("highs"), F.col("hits.low").alias("lows"), F.col("hits.n").alias("counts"), "starts", "words"
     )
+
+    def passages(batches):
+        for b in batches:
+            found = [
+                (row[0], row[1], *x)
+                for row in zip(*[b.column(c).to_pylist() for c in ("row", "doc_id", "nos", "highs", "lows", "counts", "starts", "words")])
+                for x in _in_passages(*row[2:], min_words)
+            ]
+            if found:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["row", "doc_id", "no", "high", "low", "n", "start", "end", "words"]
+                )
+
+    found = cut(arrow_map(whole, passages, "row long, doc_id long, no int, high long, low long, n long, start int, end int, words int"))
+    keepers = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "row", "no")).alias("keeper"))
+    mine = (F.col("keeper.row") == F.col("row")) & (F.col("keeper.no") == F.col("no"))
+    judged = found.join(keepers, ["high", "low"]).select("row", "doc_id", F.struct("no", "n", "start", "end", "words", F.col("keeper.doc_id").alias("first"), mine.alias("mine")).alias("hit"))
+    texts = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("hit").alias("hits")).select("doc_id", "hits")
     names = ["start", "end", "n_words", "n_chunks", "n_copies", "first_doc", "is_first"]
     kinds = [pa.int64()] * 6 + [pa.bool_()]
 
     def run(batches):
         for b in batches:
-            found = [
-                (row[0], *r)
-                for row in zip(*[b.column(c).to_pylist() for c in ("doc_id", "nos", "keys", "counts", "firsts", "starts", "words")])
-                for r in _runs(*row, min_words)
-            ]
+            found = [(doc_id, *r) for doc_id, hits in zip(b.column("doc_id").to_pylist(), b.column("hits").to_pylist()) for r in _spans(hits)]
             if found:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds])], names=["doc_id", *names])
 
-    out = arrow_map(whole, run, "doc_id long, start long, end long, n_words long, n_chunks long, n_copies long, first_doc long, is_first boolean")
+    out = arrow_map(texts, run, "doc_id long, start long, end long, n_words long, n_chunks long, n_copies long, first_doc long, is_first boolean")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
 
 
 def dedup_text(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` (doc_id unique, text) with all but the first occurrence of repeated passages cut out."""
+    """``docs`` (doc_id unique, text) with all but the first occurrence of the chunks of repeated passages cut out."""
     spans = passages.where(~F.col("is_first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     tail = F.lit(2**31 - 1)
     done = F.aggregate(

@@ -70,6 +70,36 @@ def test_planted_passages(spark):
         assert len(out[k]) == len(t) - cut
 
 
+def kept_places(docs, passages):
+    """Places of each repeated chunk that stay in the text and lie in a passage, by digest."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {}
+    for r in passages:
+        for digest, start, end, _ in chunk_dedup.chunks(texts[r.doc_id]):
+            if r.start <= start and end <= r.end:
+                kept[digest] = kept.get(digest, 0) + r.is_first
+    return kept
+
+
+def test_every_chunk_keeps_one_place(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    a, b, c, d = (prose(80) for _ in range(4))
+    line = prose(14)
+    overlap = [(1, a), (5, f"{a} {b}"), (9, f"{a} {b}")]
+    common = [(1, f"{prose(40)} {line} {prose(40)}"), (5, f"{c} {line} {d}"), (9, f"{c} {line} {d}")]
+    within = [(5, f"{a} {b} {a}"), (9, f"{a} {b} {a}")]
+    for rows, whole in ((overlap, b), (common, f"{c} {line} {d}"), (within, f"{a} {b}")):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = chunk_dedup.repeated_passages(docs).cache()
+        kept = kept_places(docs, got.collect())
+        assert kept and set(kept.values()) == {1}
+        out = {r.doc_id: r.text for r in chunk_dedup.dedup_text(docs, got).collect()}
+        # All but the chunks at a passage's ends are still there, once.
+        assert " ".join(whole.split()[12:-12]) in out[5] and len(out[9]) < 150
+    assert out[5].count(" ".join(a.split()[12:-12])) == 1
+
+
 def test_query_covers_exact_copies(spark, sf_dir, documents):
     rows = op10_substring_dedup(spark, sf_dir).collect()
     docs = {d.doc_id: d.text for d in documents.collect()}
