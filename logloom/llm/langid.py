@@ -45,7 +45,7 @@ def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
 
     ``labelled`` has doc_id, text, lang. At most MAX_LANGUAGES languages (the
     most frequent) and about SAMPLE_CHARS + CALIBRATION_CHARS characters each
-    come to the driver.
+    come to the driver; of a text over SAMPLE_TEXT_CHARS a span of that size.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.length("text")
@@ -60,21 +60,30 @@ def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
         return {}
     budget = SAMPLE_CHARS + CALIBRATION_CHARS
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * max(budget / max(r["chars"], 1), 8) / r["n"])))])
-    picked = (
-        rows.where(F.col("lang").isin([r["lang"] for r in counts]) & (draw < share[F.col("lang")]))
-        .where((size <= SAMPLE_TEXT_CHARS) | (share[F.col("lang")] >= 1.0))
-        .select("lang", draw.alias("draw"), "text", F.col("doc_id").cast("string").alias("id"))
-        .orderBy("draw", "id")
-    )
-    taken: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    chars: Counter = Counter()
-    for row in picked.toLocalIterator():
-        if chars[row["lang"]] < budget:
-            taken[row["lang"]].append(row["text"])
-            chars[row["lang"]] += len(row["text"])
-        if all(chars[lang] >= budget for lang in taken):
-            break
+    # Of a long text a span at a hashed place; where that has no letters, the span from the first letter on.
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("span")), F.greatest(size - SAMPLE_TEXT_CHARS, F.lit(0)) + 1) + 1
+    span = F.substring("text", at.cast("int"), F.lit(SAMPLE_TEXT_CHARS))
+    lettered = F.when(span.rlike(r"\p{L}"), span).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_TEXT_CHARS - 1}}}", 0))
+    piece = F.when(size <= SAMPLE_TEXT_CHARS, F.col("text")).otherwise(lettered)
+    shares = {r["lang"]: min(1.0, 3.0 * max(budget / max(r["chars"], 1), 8) / r["n"]) for r in counts}
+    taken: dict[str, list[str]] = {}
+    while shares:
+        share = F.create_map(*[x for lang, v in shares.items() for x in (F.lit(lang), F.lit(v))])
+        picked = (
+            rows.where(F.col("lang").isin(list(shares)) & (draw < share[F.col("lang")]))
+            .select("lang", draw.alias("draw"), piece.alias("text"), F.col("doc_id").cast("string").alias("id"))
+            .orderBy("draw", "id")
+        )
+        taken |= {lang: [] for lang in shares}
+        chars: Counter = Counter()
+        for row in picked.toLocalIterator():
+            if chars[row["lang"]] < budget:
+                taken[row["lang"]].append(row["text"])
+                chars[row["lang"]] += len(row["text"])
+            if all(chars[lang] >= budget for lang in shares):
+                break
+        # Languages that the draw left under the budget draw again, from more of their rows.
+        shares = {lang: min(1.0, 8 * v) for lang, v in shares.items() if chars[lang] < budget and v < 1.0}
     return {lang: texts for lang, texts in taken.items() if texts}
 
 

@@ -56,6 +56,27 @@ def test_held_out_accuracy(spark, sf_dir):
     assert hits[True] >= 0.96 * len(held)
 
 
+def test_long_texts_are_sampled(spark):
+    """A language of long texts only, and one whose first letters come late, have a sample like any other."""
+    fr = "le chat est sur la table et le chien dans la maison "
+    rows = [(i, "the cat sat on the mat and the dog ran to the house " * 20, "en") for i in range(40)]
+    rows += [(100 + i, f"{i} " + fr * 200, "fr") for i in range(60)]
+    rows += [(200 + i, "1 " * 9000 + "die katze sitzt auf dem tisch und der hund im haus " * 3, "de") for i in range(60)]
+    sample = langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    budget = langid.SAMPLE_CHARS + langid.CALIBRATION_CHARS
+    assert set(sample) == {"en", "fr", "de"} and all(any(c.isalpha() for c in t) and len(t) <= langid.SAMPLE_TEXT_CHARS for ts in sample.values() for t in ts)
+    assert budget <= sum(map(len, sample["fr"])) < budget + langid.SAMPLE_TEXT_CHARS
+    got = langid.identify(spark.createDataFrame([(1, fr * 3), (2, "der hund sitzt auf dem tisch")], "doc_id long, text string"), sample).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "fr", 2: "de"}
+
+
+def test_short_draws_are_topped_up(spark):
+    """Rows without an id share one draw; the language still has its sample."""
+    rows = [(None, f"le chat est sur la table {i} " * 40, "fr") for i in range(2000)]
+    sample = langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(map(len, sample["fr"])) >= langid.SAMPLE_CHARS + langid.CALIBRATION_CHARS
+
+
 def test_label_is_no_input(spark, documents):
     sample = {"en": SAMPLE["en"], "fr": SAMPLE["fr"]}
     a = langid.identify(documents, sample).select("doc_id", "lang_pred", "score")
