@@ -7,13 +7,10 @@ put back into text order, and hashed as a tuple. Equal tuples need the same k-me
 the same order, so the share of equal bins falls with the edit distance and not
 just with the set of k-mers.
 
-Long texts would number and sort all their k-mers; but a k-mer's copies share
-its hash, so a threshold on that hash keeps or drops all copies together. It
-keeps a power-of-two share with at least KEEP k-mers expected, several for each
-element that a bin selects: a bin's smallest elements are the same under
-both of two neighbouring shares, except for the few bins that get less than
-TUPLE elements. If the kept ones are too few (very repetitive
-texts), all k-mers are used.
+A bin takes its smallest elements, so those of a long text whose hash is above a
+threshold cannot be among them: they are dropped before they are sorted. The
+threshold keeps KEEP elements as expected. If a bin has fewer than TUPLE left, all elements
+of the text are used, so the fingerprint is that of all elements at every length.
 
 Defined results: a null text counts as empty; texts shorter than K have one
 element, the text itself; the empty text has an empty fingerprint, like only
@@ -28,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Characters of a k-mer, bins, elements of a bin's tuple, k-mers kept of a long text at least.
-K, BINS, TUPLE, KEEP = 8, 64, 2, 384
+#: Characters of a k-mer, bins, elements of a bin's tuple, elements of a long text under the threshold as expected (a bin falls short in about 1 of 200 texts).
+K, BINS, TUPLE, KEEP = 8, 64, 2, 768
 
 _HASH_BITS, _POS_BITS, _BIN_BITS = 33, 30, 6
 
@@ -39,40 +36,57 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     t, n = F.col(text), F.char_length(F.col(text))
     low = F.lit((1 << _HASH_BITS) - 1)
     at = (1 << _POS_BITS) - 1
-    c = {x: f"_{out}_{x}" for x in ("all", "kept", "run", "sel", "ord")}
+    hash_bits = 64 - _BIN_BITS - _POS_BITS
+    c = {x: f"_{out}_{x}" for x in ("all", "limit", "run", "some", "all2", "run2", "rest", "ord")}
 
     # Every k-mer as hash and place in one long.
     kmers = F.when(n >= K, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{K}}}))"), F.lit(1))).when(n > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
     packed = F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(low), _POS_BITS).bitwiseOR(i.cast("long")))
     df = df.withColumn(c["all"], packed)
 
-    # The threshold: halved for each doubling of the number of k-mers beyond KEEP.
-    size = F.size(c["all"])
-    halvings = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)) / F.lit(float(KEEP)))), F.lit(0)).cast("int")
-    limit = F.call_function("shiftrightunsigned", F.lit(1 << _HASH_BITS), halvings) * (1 << _POS_BITS)
-    df = df.withColumn(c["kept"], F.when(halvings > 0, F.filter(c["all"], lambda v: v < limit)).otherwise(F.col(c["all"])))
-    df = df.withColumn(c["run"], F.sort_array(F.when(F.size(c["kept"]) >= BINS * TUPLE, F.col(c["kept"])).otherwise(F.col(c["all"]))))
-
-    # Occurrence numbers: sorted, copies stand together in text order; the number is the distance to the first.
-    run = F.col(c["run"])
-    kmer = lambda j: F.shiftright(F.get(run, j), _POS_BITS)
-    steps = F.array(*[F.lit(1 << b) for b in range(27, -1, -1)])
-
-    def number(v: Column, j: Column) -> Column:
-        h = F.shiftright(v, _POS_BITS)
-        first = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= j) & (kmer(lo + s - 1) < h), lo + s).otherwise(lo))
-        return F.when((j < 1) | (kmer(j - 1) != h), F.lit(0)).when((j < 2) | (kmer(j - 2) != h), F.lit(1)).otherwise(j - first)
-
-    # Elements as bin, hash and place; then sorted by them.
-    def element(v: Column, j: Column) -> Column:
-        g = F.xxhash64(F.shiftright(v, _POS_BITS), number(v, j))
-        return F.shiftleft(g, _POS_BITS).bitwiseOR(v.bitwiseAND(F.lit(at)))
-
-    df = df.withColumn(c["sel"], F.sort_array(F.transform(run, element)))
-    sel = F.col(c["sel"])
+    # A bin takes the smallest hashes, so elements above a threshold on these very hashes can go before
+    # any sort, unless a bin is left with too few; then the text's elements are all used.
+    size, full = F.size(c["all"]), F.lit(1 << hash_bits)
+    limit = F.when(size > KEEP, F.floor(full * F.lit(float(KEEP)) / size)).otherwise(full)
+    df = df.withColumn(c["run"], F.sort_array(c["all"])).withColumn(c["limit"], limit)
+
+    same = lambda run, j: F.coalesce(F.get(run, j).bitwiseXOR(F.get(run, j - 1)) < (1 << _POS_BITS), F.lit(False))
     bin_of = lambda v: F.shiftrightunsigned(v, 64 - _BIN_BITS)
-    hash_bits = 64 - _BIN_BITS - _POS_BITS
-    chosen = F.filter(sel, lambda v, j: (j < TUPLE) | (bin_of(F.get(sel, j - TUPLE)) != bin_of(v)))
+    g = lambda v, number: F.xxhash64(F.shiftright(v, _POS_BITS), number)
+    element = lambda v, number: F.shiftleft(g(v, number), _POS_BITS).bitwiseOR(v.bitwiseAND(F.lit(at)))
+
+    def with_chosen(df: DataFrame, every: str, run: str, limit: Column, out: str) -> DataFrame:
+        """Adds ``out``: the TUPLE smallest elements of each bin, as bin, hash and place, of those under the limit."""
+        is_small = lambda x: x.bitwiseAND(F.lit((1 << hash_bits) - 1)) < limit
+        # First occurrences: by the hash of number 0, then the first place of each k-mer.
+        small = f"{out}_small"
+        df = df.withColumn(small, F.sort_array(F.filter(every, lambda v: is_small(g(v, F.lit(0))))))
+        firsts = F.transform(F.filter(small, lambda v, j: ~same(F.col(small), j)), lambda v: element(v, F.lit(0)))
+        # Copies: in sorted order they stand together in text order; the number is the distance to the first.
+        again, heads = f"{out}_again", f"{out}_heads"
+        df = df.withColumn(again, F.filter(run, lambda v, j: v.bitwiseXOR(F.get(F.col(run), j - 1)) < (1 << _POS_BITS)))
+        many = F.size(again)
+        places = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn(heads, F.filter(places, lambda j: ~same(F.col(again), j)))
+        until = lambda i: F.coalesce(F.get(F.col(heads), i + 1), many)
+        entry = lambda j: F.get(F.col(again), j)
+        copies = F.flatten(
+            F.transform(
+                heads,
+                lambda s, i: F.transform(F.filter(F.sequence(s, until(i) - 1), lambda j: is_small(g(entry(j), j - s + 1))), lambda j: element(entry(j), j - s + 1)),
+            )
+        )
+        sel = f"{out}_sel"
+        df = df.withColumn(sel, F.sort_array(F.concat(firsts, copies)))
+        chosen = F.filter(sel, lambda v, j: (j < TUPLE) | (bin_of(F.get(F.col(sel), j - TUPLE)) != bin_of(v)))
+        return df.withColumn(out, chosen).drop(small, again, heads, sel)
+
+    df = with_chosen(df, c["all"], c["run"], F.col(c["limit"]), c["some"])
+    short = (F.size(c["some"]) < BINS * TUPLE) & (size > KEEP)
+    none = F.array().cast("array<bigint>")
+    df = df.withColumns({c["all2"]: F.when(short, F.col(c["all"])).otherwise(none), c["run2"]: F.when(short, F.col(c["run"])).otherwise(none)})
+    df = with_chosen(df, c["all2"], c["run2"], full, c["rest"])
+    chosen = F.when(F.size(c["all2"]) > 0, F.col(c["rest"])).otherwise(F.col(c["some"]))
     # Back to text order within each bin: bin, place, hash.
     in_order = F.transform(
         chosen,

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -64,6 +65,23 @@ def test_brute_force(spark):
     assert sorted(prints(spark, [text])[0]) == sorted(codes)
 
 
+def test_lengths_do_not_change_the_selection(spark, monkeypatch):
+    """Near copies on both sides of each doubling, and the fingerprint of all elements at each length."""
+    rng, texts = random.Random(4), []
+    for n in (768, 1536, 3072, 6144):
+        text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n // 4))
+        texts += [text[: n - 13], text[: n + 27]]
+    texts += [("to be or not to be that is the question " * 90)[:3500], "ab" * 4000, " ".join(f"{i % 70} bottles" for i in range(500))]
+    got = prints(spark, texts)
+    for one, two in zip(got[:8:2], got[1:8:2]):
+        assert len(set(one) & set(two)) >= 0.8 * len(one)
+    monkeypatch.setattr(fingerprint, "KEEP", 1 << 30)
+    assert got == prints(spark, texts)
+    # A threshold that leaves bins short falls back to all elements.
+    monkeypatch.setattr(fingerprint, "KEEP", 100)
+    assert got == prints(spark, texts)
+
+
 def test_odd(odd, empty):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == odd.count()
