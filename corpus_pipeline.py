@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and read like one of the labelled languages."""
+    """Documents that have letters and are not random letters or in a script without a labelled language."""
     sample = langid.fit_sample(docs.select("doc_id", "text", "lang"))
     return langid.in_known_language(docs, sample) if sample else docs
 

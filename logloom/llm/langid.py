@@ -243,12 +243,12 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], keep: list[str] | No
     return arrow_map(rows, run, schema)
 
 
-#: A text whose best normalised phrase rate is above this is in none of the learned languages.
+#: A text whose best normalised phrase rate is above this is random letters or in another script; unlearned languages of the same script mostly stay below.
 MAX_COST = 3.0
 
 
 def in_known_language(docs: DataFrame, sample: dict[str, list[str]], max_cost: float = MAX_COST) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has letters and reads like one of the learned languages."""
+    """The rows of ``docs``, all columns, whose text has letters and costs at most ``max_cost``; only random letters and other scripts cost more."""
     judged = identify(docs, sample, keep=docs.columns)
     fits = (F.col("lang_pred") != "und") & (F.col("cost") <= max_cost)
     return judged.where(fits).select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)])
