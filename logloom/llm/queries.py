@@ -92,7 +92,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that repeat within or across documents, by content-defined chunks."""
+    """Passages that repeat across documents, by content-defined chunks; repeats within one document alone are none."""
     return chunk_dedup.repeated_passages(documents(spark, sf_dir))
 
 
