@@ -107,7 +107,7 @@ def fit_lexicon(labelled: DataFrame) -> dict[str, float]:
 
 
 class Grammar:
-    """The composed transducers: words to symbols, symbols to clause weights."""
+    """Words to symbols, symbols to clause weights: the composition of the transducers written out by hand, without arc tables."""
 
     def __init__(self, lexicon: tuple[tuple[str, float], ...]):
         self.words = {w: x for w, x in lexicon if not w.endswith("*")}
