@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logloom.llm import decontam, langid, neardup, packing, secret_scan
 from logloom.llm.common import table
 from logloom.llm.queries import tokenizer_path
+from logloom.plans.durable import scratch
 
 ORACLE_SQL = None
 
@@ -53,8 +54,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on documents."""
+    """The stages one after another on documents; each but the last is written as Parquet into the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

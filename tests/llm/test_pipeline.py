@@ -38,6 +38,17 @@ def test_odd(spark, odd, empty, sf_dir):
                 assert docs.columns == start.columns
 
 
+def test_run_writes_each_stage(spark, sf_dir, monkeypatch):
+    """Every stage after the first reads Parquet that run() has written."""
+    seen = []
+    follow = lambda s, docs, d: (seen.append(docs.inputFiles()), docs)[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, follow) for n, _ in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for (name, _), files in zip(corpus_pipeline.STAGES, seen[1:]):
+        assert files and all(f"/{name}-" in f for f in files)
+
+
 def test_entry():
     q = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in queries.QUERIES} and set(queries.QUERIES) <= set(q) and "pipeline" in q
