@@ -1,21 +1,22 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
 The k-mers of a text are numbered by occurrence, so the n-th copy of a k-mer is
-an element of its own. A hash of (k-mer, number) puts each element into one of
-BINS bins; in each bin the TUPLE elements with the smallest hashes are selected,
-put back into text order, and hashed as a tuple. Equal tuples need the same k-mers in
-the same order, so the share of equal bins falls with the edit distance and not
-just with the set of k-mers.
-
-A bin takes its smallest elements, so those of a long text whose hash is above a
-threshold cannot be among them: they are dropped before they are sorted. The
-threshold keeps KEEP elements as expected. If a bin has fewer than TUPLE left, all elements
-of the text are used, so the fingerprint is that of all elements at every length.
+an element of its own. Each element has a hash: that of the k-mer for the
+first occurrence, that of (k-mer, number) for copies. The hash puts the element
+into one of BINS bins; in each bin the TUPLE elements with the smallest hashes are
+selected, put back into text order, and hashed as a tuple. Equal tuples need
+the same k-mers in the same order, so the share of equal bins falls with the
+edit distance and not just with the set of k-mers.
+
+All k-mers of every text are elements, whatever its length. An element is one
+long of bin, rank and place, so one primitive sort of a text's longs brings the
+k-mers of a bin together, smallest first, copies side by side: the first
+elements of the bins are found by binary search, and only copies get a second hash.
 
 Defined results: a null text counts as empty; texts shorter than K have one
 element, the text itself; the empty text has an empty fingerprint, like only
 to another empty one. Rows are ordered by doc_id descending, nulls last; rows of
-one doc_id by length and hash of the text; the last row's next is the first. A
+one doc_id by a hash of the text; the last row's next is the first. A
 single row is its own next.
 """
 
@@ -25,86 +26,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Characters of a k-mer, bins, elements of a bin's tuple, elements of a long text under the threshold as expected (a bin falls short in about 1 of 200 texts).
-K, BINS, TUPLE, KEEP = 8, 64, 2, 768
+#: Characters of a k-mer, bins, elements of a bin's tuple.
+K, BINS, TUPLE = 8, 64, 2
+
+#: An element's long: bin, rank in the bin, place in the text.
+_BIN_BITS, _RANK_BITS, _POS_BITS = 6, 28, 30
+_LONGEST = 30  # bits of the number of k-mers of a text
+
+
+def _same_kmer(a: Column, b: Column) -> Column:
+    return F.shiftright(a.bitwiseXOR(b), _POS_BITS) == 0
 
-_HASH_BITS, _POS_BITS, _BIN_BITS = 33, 30, 6
+
+def _lower_bound(run: Column, steps: Column, key: Column) -> Column:
+    """Number of elements of the sorted ``run`` below ``key``, by binary search."""
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(run, lo + s - 1) < key, lo + s).otherwise(lo))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``, array<int>: bin number and tuple hash of each bin that has elements, by bin."""
     t, n = F.col(text), F.char_length(F.col(text))
-    low = F.lit((1 << _HASH_BITS) - 1)
-    at = (1 << _POS_BITS) - 1
-    hash_bits = 64 - _BIN_BITS - _POS_BITS
-    c = {x: f"_{out}_{x}" for x in ("all", "limit", "run", "some", "all2", "run2", "rest", "ord")}
-
-    # Every k-mer as hash and place in one long.
-    kmers = F.when(n >= K, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{K}}}))"), F.lit(1))).when(n > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
-    packed = F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(low), _POS_BITS).bitwiseOR(i.cast("long")))
-    df = df.withColumn(c["all"], packed)
-
-    # A bin takes the smallest hashes, so elements above a threshold on these very hashes can go before
-    # any sort, unless a bin is left with too few; then the text's elements are all used.
-    size, full = F.size(c["all"]), F.lit(1 << hash_bits)
-    limit = F.when(size > KEEP, F.floor(full * F.lit(float(KEEP)) / size)).otherwise(full)
-    df = df.withColumn(c["run"], F.sort_array(c["all"])).withColumn(c["limit"], limit)
-
-    same = lambda run, j: F.coalesce(F.get(run, j).bitwiseXOR(F.get(run, j - 1)) < (1 << _POS_BITS), F.lit(False))
-    bin_of = lambda v: F.shiftrightunsigned(v, 64 - _BIN_BITS)
-    g = lambda v, number: F.xxhash64(F.shiftright(v, _POS_BITS), number)
-    element = lambda v, number: F.shiftleft(g(v, number), _POS_BITS).bitwiseOR(v.bitwiseAND(F.lit(at)))
-
-    def with_chosen(df: DataFrame, every: str, run: str, limit: Column, out: str) -> DataFrame:
-        """Adds ``out``: the TUPLE smallest elements of each bin, as bin, hash and place, of those under the limit."""
-        is_small = lambda x: x.bitwiseAND(F.lit((1 << hash_bits) - 1)) < limit
-        # First occurrences: by the hash of number 0, then the first place of each k-mer.
-        small = f"{out}_small"
-        df = df.withColumn(small, F.sort_array(F.filter(every, lambda v: is_small(g(v, F.lit(0))))))
-        firsts = F.transform(F.filter(small, lambda v, j: ~same(F.col(small), j)), lambda v: element(v, F.lit(0)))
-        # Copies: in sorted order they stand together in text order; the number is the distance to the first.
-        again, heads = f"{out}_again", f"{out}_heads"
-        df = df.withColumn(again, F.filter(run, lambda v, j: v.bitwiseXOR(F.get(F.col(run), j - 1)) < (1 << _POS_BITS)))
-        many = F.size(again)
-        places = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn(heads, F.filter(places, lambda j: ~same(F.col(again), j)))
-        until = lambda i: F.coalesce(F.get(F.col(heads), i + 1), many)
-        entry = lambda j: F.get(F.col(again), j)
-        copies = F.flatten(
-            F.transform(
-                heads,
-                lambda s, i: F.transform(F.filter(F.sequence(s, until(i) - 1), lambda j: is_small(g(entry(j), j - s + 1))), lambda j: element(entry(j), j - s + 1)),
-            )
-        )
-        sel = f"{out}_sel"
-        df = df.withColumn(sel, F.sort_array(F.concat(firsts, copies)))
-        chosen = F.filter(sel, lambda v, j: (j < TUPLE) | (bin_of(F.get(F.col(sel), j - TUPLE)) != bin_of(v)))
-        return df.withColumn(out, chosen).drop(small, again, heads, sel)
-
-    df = with_chosen(df, c["all"], c["run"], F.col(c["limit"]), c["some"])
-    short = (F.size(c["some"]) < BINS * TUPLE) & (size > KEEP)
-    none = F.array().cast("array<bigint>")
-    df = df.withColumns({c["all2"]: F.when(short, F.col(c["all"])).otherwise(none), c["run2"]: F.when(short, F.col(c["run"])).otherwise(none)})
-    df = with_chosen(df, c["all2"], c["run2"], full, c["rest"])
-    chosen = F.when(F.size(c["all2"]) > 0, F.col(c["rest"])).otherwise(F.col(c["some"]))
-    # Back to text order within each bin: bin, place, hash.
+    at, rank = (1 << _POS_BITS) - 1, (1 << _RANK_BITS) - 1
+    c = {x: f"_{out}_{x}" for x in ("run", "again", "heads", "steps", "lows", "sel", "ord")}
+    col = lambda x: F.col(c[x])
+    none = F.array().cast("array<int>")
+
+    # Every k-mer as hash and place in one long, sorted: bins side by side, copies in text order.
+    kmers = F.when(n >= K, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{K}}}))."), F.lit(1))).when(n > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(c["run"], F.sort_array(F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x), _POS_BITS).bitwiseOR(i.cast("long")))))
+
+    # Copies, and where the copies of each k-mer begin; the n-th copy is element (k-mer, n).
+    df = df.withColumn(c["again"], F.filter(c["run"], lambda v, j: _same_kmer(v, F.get(col("run"), j - 1))))
+    many = F.size(c["again"])
+    places = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(none)
+    goes_on = lambda j: (j > 0) & _same_kmer(F.get(col("again"), j), F.get(col("again"), j - 1))
+    df = df.withColumn(c["heads"], F.filter(places, lambda j: ~goes_on(j)))
+    length = F.size(c["run"])
+    halves = F.array(*[F.lit(1 << b) for b in range(_LONGEST - 1, -1, -1)])
+    bits = F.char_length(F.bin(length.cast("long")))
+    df = df.withColumn(c["steps"], F.slice(halves, -bits, bits))
+    copy = lambda v, number: F.shiftleft(F.xxhash64(F.shiftright(v, _POS_BITS), number), _POS_BITS).bitwiseOR(v.bitwiseAND(F.lit(at)))
+    until = lambda i: F.coalesce(F.get(col("heads"), i + 1), many)
+    copies = F.flatten(F.transform(c["heads"], lambda s, i: F.transform(F.sequence(s, until(i) - 1), lambda j: copy(F.get(col("again"), j), j - s + 1))))
+
+    # First occurrences: in sorted order the smallest of a bin, and the next of another k-mer.
+    bounds = F.array(*[F.lit((b - BINS // 2) << (64 - _BIN_BITS)) for b in range(BINS)])
+    df = df.withColumn(c["lows"], F.array_distinct(F.transform(bounds, lambda key: _lower_bound(col("run"), col("steps"), key))))
+    beyond = lambda v: F.shiftleft(F.shiftright(v, _POS_BITS) + 1, _POS_BITS)
+    second = lambda i: F.when(
+        _same_kmer(F.get(col("run"), i), F.get(col("run"), i + 1)), _lower_bound(col("run"), col("steps"), beyond(F.get(col("run"), i)))
+    ).otherwise(i + 1)
+    firsts = F.flatten(F.transform(c["lows"], lambda i: F.array(F.get(col("run"), i), F.get(col("run"), second(i)))))
+    df = df.withColumn(c["sel"], F.sort_array(F.concat(F.array_distinct(F.array_compact(firsts)), copies)))
+    apart = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), 64 - _BIN_BITS) != 0
+    chosen = F.filter(c["sel"], lambda v, j: (j < TUPLE) | apart(F.get(col("sel"), j - TUPLE), v))
+
+    # Back to text order within each bin: bin, place, rank.
+    top = F.lit(-(1 << (64 - _BIN_BITS)))
     in_order = F.transform(
         chosen,
-        lambda v: F.shiftleft(bin_of(v), 64 - _BIN_BITS)
-        .bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(at)), hash_bits))
-        .bitwiseOR(F.shiftrightunsigned(v, _POS_BITS).bitwiseAND(F.lit((1 << hash_bits) - 1))),
+        lambda v: v.bitwiseAND(top)
+        .bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(at)), _RANK_BITS))
+        .bitwiseOR(F.shiftrightunsigned(v, _POS_BITS).bitwiseAND(F.lit(rank))),
     )
     df = df.withColumn(c["ord"], F.sort_array(in_order))
-    order = F.col(c["ord"])
-    part = lambda j, b: F.when(bin_of(F.get(order, j)) == b, F.get(order, j).bitwiseAND(F.lit((1 << hash_bits) - 1)))
+    bin_of = lambda v: F.shiftright(v, 64 - _BIN_BITS) + BINS // 2
+    part = lambda j, v: F.when(~apart(F.get(col("ord"), j), v), F.get(col("ord"), j).bitwiseAND(F.lit(rank)))
 
     def signature(v: Column, j: Column) -> Column:
-        starts = (j < 1) | (bin_of(F.get(order, j - 1)) != bin_of(v))
-        tuple_hash = F.xxhash64(*[part(j + i, bin_of(v)) for i in range(TUPLE)])
+        starts = (j < 1) | apart(F.get(col("ord"), j - 1), v)
+        tuple_hash = F.xxhash64(*[part(j + i, v) for i in range(TUPLE)])
         code = F.shiftleft(bin_of(v), 32 - _BIN_BITS).bitwiseOR(tuple_hash.bitwiseAND(F.lit((1 << (32 - _BIN_BITS)) - 1)))
         return F.when(starts, code - F.lit(1 << 31)).cast("int")
 
-    df = df.withColumn(out, F.array_compact(F.transform(order, signature)))
+    df = df.withColumn(out, F.array_compact(F.transform(c["ord"], signature)))
     return df.drop(*c.values())
 
 
@@ -125,39 +120,60 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(2 * j / (1 + j))
 
 
-def with_next(df: DataFrame, columns: list[str], tie: list[Column]) -> DataFrame:
-    """Adds next_<column>: the column of the next row in descending order of doc_id, ties by ``tie``; the last row's next is the first.
+def _constants(values: list[int]) -> Column:
+    """An array of longs as one text that the optimizer folds to a literal, not a tree of literals."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
 
-    Rows are dealt into ranges of doc_id; each range also gets a copy of the
-    first row of the range after it, so that a window within the range finds
-    every next row. One shuffle, no window over all rows, and on the driver
-    no more than one number per range.
+def with_next(df: DataFrame, columns: list[str], tie: Column) -> DataFrame:
+    """Adds next_<column>: the column of the next row in descending order of doc_id (nulls last), then ascending order of ``tie``, a long hash; the last row's next is the first.
+
+    Rows are dealt into ranges of this order: ranges of doc_id, and for a
+    doc_id (or null) that many rows share, ranges of the hash. Each
+    range also gets a copy of the first row of the range after it, so that a
+    window within the range finds every next row. One shuffle, no window over all rows,
+    and on the driver no more than a few numbers per range.
     """
     spark = df.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select("doc_id").where("doc_id is not null")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    bounds = [int(b) for b in bounds]
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    found = [int(b) for b in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)] if ranges > 1 else []
+    bounds = sorted(set(found))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    # Range i holds the ids above bound i - 1 up to bound i; a bound that is several quantiles is cut by the hash.
+    parts = [found.count(b) if found.count(b) > 1 else 0 for b in bounds] + [0]
+    bases, slot = [0] * len(parts), 0
+    for i in range(len(parts) - 1, -1, -1):
+        bases[i] = slot
+        slot += parts[i] + 1
+    null_parts = 1 + int(ranges * size["nulls"] / max(1, size["n"]))
     steps = F.array(*[F.lit(1 << b) for b in range(max(1, len(bounds)).bit_length(), -1, -1)])
-    # Number of bounds below the id; rows without an id come after all others, in range -1.
-    below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(array, lo + s - 1) < F.col("doc_id")), lo + s).otherwise(lo))
-    dealt = df.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(below))
-    firsts = sorted(((r["_range"], r["first"]) for r in dealt.select("_range", "doc_id").groupBy("_range").agg(F.max("doc_id").alias("first")).collect()), reverse=True)
+    limits = _constants(bounds)
+    below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(limits, lo + s - 1) < F.col("doc_id")), lo + s).otherwise(lo))
+    by_hash = lambda n: F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
+    n_parts = F.get(_constants(parts), F.col("_range"))
+    sub = F.when(n_parts == 0, 0).when(F.col("doc_id") == F.get(limits, F.col("_range")), by_hash(n_parts)).otherwise(n_parts)
+    place = F.when(F.col("doc_id").isNull(), slot + by_hash(F.lit(null_parts))).otherwise(F.get(_constants(bases), F.col("_range")) + sub).cast("int")
+    dealt = df.withColumn("_range", below).withColumn("_slot", place).drop("_range")
+    firsts = (
+        dealt.select("_slot", "doc_id", F.bitwise_not(tie).alias("tie"))
+        .groupBy("_slot").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
+        .select("_slot", "first.doc_id", "first.tie").orderBy("_slot").collect()
+    )
     if not firsts:
-        return dealt.drop("_range").withColumns({f"next_{c}": F.col(c) for c in columns})
+        return dealt.drop("_slot").withColumns({f"next_{c}": F.col(c) for c in columns})
     # The first row of each range goes to the range before it; the first of all to the last range.
-    goes_to = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    named = [x for x in goes_to if x is not None]
-    target = F.create_map(*[F.lit(v) for x in named for v in (x, goes_to[x])])[F.col("doc_id")] if named else F.lit(None).cast("int")
-    heads = df.where(F.col("doc_id").isin(named)) if named else df.limit(0)
-    copies = heads.withColumn("_range", target)
-    if None in goes_to:
-        copies = copies.unionByName(df.where("doc_id is null").withColumn("_range", F.lit(goes_to[None])))
+    last = firsts[-1]["_slot"]
+    first_id, first_tie, before = [0] * (last + 1), [0] * (last + 1), [0] * (last + 1)
+    for i, r in enumerate(firsts):
+        first_id[r["_slot"]], first_tie[r["_slot"]], before[r["_slot"]] = r["doc_id"] or 0, ~r["tie"], firsts[i - 1]["_slot"]
+    at = lambda values: F.get(_constants(values), F.col("_slot"))
+    heads = dealt.where((tie == at(first_tie)) & (F.col("doc_id").isNull() | (F.col("doc_id") == at(first_id))))
+    copies = heads.withColumn("_slot", at(before).cast("int"))
     both = dealt.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
-    order = W.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), *tie)
+    order = W.partitionBy("_slot").orderBy("_copy", F.desc_nulls_last("doc_id"), tie)
     found = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return found.where(~F.col("_copy")).drop("_copy", "_range")
+    return found.where(~F.col("_copy")).drop("_copy", "_slot")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -165,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     printed = with_fingerprint(rows, "text", "fp")
-    near = with_next(printed, ["text", "fp"], [F.col("n_chars"), F.xxhash64("text")])
+    near = with_next(printed, ["text", "fp"], F.xxhash64("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
     done = with_fingerprint(near.withColumn("edited", edited), "edited", "edited_fp")

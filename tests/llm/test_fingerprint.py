@@ -41,45 +41,66 @@ def test_order_and_edits(spark):
     assert prints(spark, ["", "a", "abcdefg"])[0] == [] and all(len(x) == 1 for x in prints(spark, ["a", "abcdefg", "abcdefgh"]))
 
 
-def test_brute_force(spark):
-    """Bins, smallest elements and their order, from the k-mers' hashes themselves."""
-    text = "the rain in spain stays mainly in the plain, the rain in spain " * 9
-    k = fingerprint.K
+def _sign(x, bits):
+    return x - (1 << bits) if x >> (bits - 1) & 1 else x
+
+
+def brute_force(spark, text):
+    """Bins, smallest elements and their order, from the k-mers' hashes themselves; all k-mers are elements."""
+    k, mask = fingerprint.K, (1 << 64) - 1
     kmers = [text[i : i + k] for i in range(len(text) - k + 1)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(kmers)], "i long, x string")
-    rows = df.select("i", F.xxhash64("x").bitwiseAND(F.lit((1 << 33) - 1)).alias("h")).orderBy("h", "i").collect()
-    seen, numbered = {}, []
-    for r in rows:
-        numbered.append((r.i, r.h, seen.setdefault(r.h, 0)))
-        seen[r.h] += 1
-    g = spark.createDataFrame(numbered, "i long, h long, n int").select("i", F.xxhash64("h", "n").alias("g")).collect()
+    seen, elements = {}, []
+    for r in df.select("i", F.xxhash64("x").alias("h")).orderBy("i").collect():
+        short = _sign(r.h & ((1 << 34) - 1), 34)
+        number = seen.get(short, 0)
+        seen[short] = number + 1
+        elements.append((r.i, short, number))
+    hashes = spark.createDataFrame(elements, "i long, h long, n int").select("i", F.when(F.col("n") == 0, F.col("h")).otherwise(F.xxhash64("h", "n")).alias("g")).collect()
     bins = {}
-    for r in g:
-        bins.setdefault(((r.g << 30) & ((1 << 64) - 1)) >> 58, []).append((((r.g << 30) & ((1 << 58) - 1)) >> 30, r.i))
+    for r in hashes:
+        g = r.g << 30 & mask
+        bins.setdefault((_sign(g >> 58, 6)) + 32, []).append((g >> 30 & ((1 << 28) - 1), r.i))
     tuples = []
-    for b, elements in sorted(bins.items()):
-        chosen = sorted(sorted(elements)[: fingerprint.TUPLE], key=lambda x: x[1])
+    for b, found in sorted(bins.items()):
+        chosen = sorted(sorted(found)[: fingerprint.TUPLE], key=lambda x: x[1])
         tuples.append((b, *[h for h, _ in chosen], *[None] * (fingerprint.TUPLE - len(chosen))))
     expected = spark.createDataFrame(tuples, "b long, h0 long, h1 long").select("b", F.xxhash64("h0", "h1").alias("t")).orderBy("b").collect()
-    codes = [((r.b << 26) | (r.t & ((1 << 26) - 1))) - (1 << 31) for r in expected]
-    assert sorted(prints(spark, [text])[0]) == sorted(codes)
-
-
-def test_lengths_do_not_change_the_selection(spark, monkeypatch):
-    """Near copies on both sides of each doubling, and the fingerprint of all elements at each length."""
-    rng, texts = random.Random(4), []
-    for n in (768, 1536, 3072, 6144):
-        text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n // 4))
-        texts += [text[: n - 13], text[: n + 27]]
-    texts += [("to be or not to be that is the question " * 90)[:3500], "ab" * 4000, " ".join(f"{i % 70} bottles" for i in range(500))]
-    got = prints(spark, texts)
-    for one, two in zip(got[:8:2], got[1:8:2]):
-        assert len(set(one) & set(two)) >= 0.8 * len(one)
-    monkeypatch.setattr(fingerprint, "KEEP", 1 << 30)
-    assert got == prints(spark, texts)
-    # A threshold that leaves bins short falls back to all elements.
-    monkeypatch.setattr(fingerprint, "KEEP", 100)
-    assert got == prints(spark, texts)
+    return [((r.b << 26) | (r.t & ((1 << 26) - 1))) - (1 << 31) for r in expected]
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n // 4 + 2))[:n]
+
+
+def test_brute_force(spark):
+    rng = random.Random(9)
+    texts = [
+        "the rain in spain stays mainly in the plain, the rain in spain " * 9, words(rng, 500), words(rng, 777), words(rng, 3079), words(rng, 20_000),
+        ("to be or not to be that is the question " * 90)[:3500], "ab" * 4000, "a" * 6000, " ".join(f"{i % 70} bottles" for i in range(2500)), "one word",
+        words(rng, 40), "naïve 日本語のテキスト \U0001f600\U0001f601 " * 30,
+    ]
+    for text, got in zip(texts, prints(spark, texts)):
+        assert got == brute_force(spark, text), text[:40]
+
+
+def test_one_more_character(spark):
+    """A character at the end changes few tuples at every length."""
+    rng, sizes = random.Random(4), [*range(760, 781, 4), *range(1530, 1546, 3), *range(3070, 3086, 3)]
+    texts = [words(rng, n) for n in sizes]
+    df = spark.createDataFrame([(i, t, t + "z") for i, t in enumerate(texts)], "i int, t string, u string")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "t", "one"), "u", "two")
+    assert all(r.like > 0.95 for r in df.select(fingerprint.likeness(F.col("one"), F.col("two")).alias("like")).collect())
+
+
+def test_next_of_equal_ids(spark):
+    """Rows that share an id or have none are dealt by the hash of the text; every row has the next in the whole order."""
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = F.xxhash64("text")
+    ordered = [r.text for r in df.orderBy(F.desc_nulls_last("doc_id"), tie).collect()]
+    got = {r.text: r.next_text for r in fingerprint.with_next(df, ["text"], tie).collect()}
+    assert got == dict(zip(ordered, ordered[1:] + ordered[:1]))
 
 
 def test_odd(odd, empty):
