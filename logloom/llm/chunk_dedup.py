@@ -4,13 +4,12 @@ A gear hash runs over the folded characters of a text, and a chunk ends where th
 hash is larger than all others within RADIUS characters. A cut thus depends on
 the characters near it alone: after an insertion, or where a copied passage
 begins, the next cuts are those of the original again. Chunks are keyed by
-a 128-bit digest. A digest that two documents hold is a repeat; neighbouring
+a 128-bit digest. A digest that occurs twice, in two texts or in one, is a repeat; neighbouring
 repeated chunks of a text join to runs, and runs of MIN_WORDS words or more
 are passages that repeat. A passage loses about 16 words at its ends, which lie
 in chunks with other text: MIN_WORDS = 28 is for passages of over 50 words.
 
-Digests are counted with map-side partial aggregates of fixed size (smallest and
-largest doc_id and a count), so a chunk in a third of all texts is one partial
+Digests are counted with map-side partial aggregates of fixed size (a count, first and last row), so a chunk in a third of all texts is one partial
 row per task; only repeated digests go back to their chunks, in a join whose
 hot digests AQE splits. A text's hits are put together by the text's own row
 key: their number is bounded by its length. The keeper of each digest is found the
@@ -23,8 +22,8 @@ end exclusive.
 
 Defined results: null and empty texts have no chunks; equal texts of different
 documents repeat as wholes; of a chunk's places in passages the one in the
-document with the smallest doc_id is the first, and within it the first place; rows of one doc_id, and all rows without one, count as
-one document, whose own repeats are no repeats across documents.
+document with the smallest doc_id is the first, and within it the first place; repeats within a text and among
+rows of one doc_id or without one are repeats like others; rows without a doc_id come last.
 """
 
 from __future__ import annotations
@@ -176,9 +175,10 @@ def _spans(hits: list[dict]) -> list[tuple]:
     return out
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat across documents: doc_id, start, end, n_words, n_chunks, n_copies, first_doc, is_first.
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = True) -> DataFrame:
+    """Passages that occur more than once, within or across texts: doc_id, start, end, n_words, n_chunks, n_copies, first_doc, is_first.
 
+    Without ``within`` a chunk must occur in two rows to be a repeat.
     Of each chunk in a passage the first occurrence that lies in a passage is kept;
     occurrences outside passages stay anyway. A passage is split where
     kept chunks meet others: ``is_first`` marks the parts to keep, and each part of
@@ -188,7 +188,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     table = cut(chunk_table(docs))
     single = table.select("row", "doc_id", F.posexplode(F.arrays_zip("high", "low")).alias("no", "d")).select("row", "doc_id", "no", "d.high", "d.low")
-    repeated = single.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("high", "low", "n")
+    counted = single.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
+    repeated = counted.where("n > 1" if within else "first < last").select("high", "low", "n")
     hits = single.select("row", "no", "high", "low").join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
     per_row = hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
     whole = per_row.join(table.select("row", "doc_id", "starts", "words"), "row").select(

@@ -11,9 +11,13 @@ Both sides are compared folded: letters lower-cased, every run of characters
 that are neither letters nor digits one space, so that casing, line breaks and
 punctuation cost no edits.
 
+The budget of an item of n folded characters is n // 16 - 1 edits, a little
+under 6 % of its length: an occurrence within it is always found, one beyond it never.
+
 The item set is a stated query set. It is read in blocks of at most
 ``BLOCK_CHARS`` folded characters, each broadcast by itself; more items mean
-more passes over the texts, never a larger broadcast.
+more passes over the texts, never a larger broadcast. Of several blocks each
+writes its result into the shared folder and is freed before the next is read.
 
 Defined results: null or empty texts and items match nothing; repeated rows
 give repeated matches; each item_id of equal items is reported; a document
@@ -30,13 +34,14 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map
+from logloom.plans.durable import scratch
 
-#: Edits allowed as a share of an item's folded length, and the least length of a piece.
-EDIT_RATE, MIN_PIECE = 0.1, 16
+#: Folded characters for each edit of an item's budget, which is also the length of its pieces.
+PIECE = 16
 #: Folded characters of the items of one broadcast block.
 BLOCK_CHARS = 4_000_000
 
@@ -49,9 +54,9 @@ def fold(text: str | None) -> str:
     return " " + _GAPS.sub(" ", text.lower()).strip(" ") + " " if text else " "
 
 
-def budget(n: int, rate: float = EDIT_RATE, piece: int = MIN_PIECE) -> int:
-    """Edits allowed for an item of n folded characters: its pieces stay ``piece`` long at least."""
-    return max(0, min(int(n * rate), n // piece - 1))
+def budget(n: int, piece: int = PIECE) -> int:
+    """Edits allowed for an item of n folded characters: one less than its pieces, which are ``piece`` long at least."""
+    return max(0, n // piece - 1)
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -165,11 +170,10 @@ def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     """One row per document and benchmark item that occurs in it within the item's edit budget."""
     spark = docs.sparkSession
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    path, blocks = scratch(spark, "contaminated"), 0
 
-        def run(batches, shared=shared):
+    def found_by(shared) -> DataFrame:
+        def run(batches):
             m = matcher(shared.value)
             for b in batches:
                 ids, found = b.column("doc_id").to_pylist(), []
@@ -182,9 +186,27 @@ def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
                         names=["doc_id", "item_id", "distance", "start", "end", "item_chars"],
                     )
 
-        part = arrow_map(rows, run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+        return arrow_map(rows, run, SCHEMA)
+
+    for shared, last in _broadcast_blocks(spark, items, block_chars):
+        if last and not blocks:
+            return found_by(shared)
+        found_by(shared).write.parquet(f"{path}/block={blocks}")
+        blocks += 1
+    return spark.read.parquet(path).drop("block") if blocks else spark.createDataFrame([], SCHEMA)
+
+
+def _broadcast_blocks(spark: SparkSession, items: DataFrame, block_chars: int):
+    """(broadcast, whether it is the last) of each block; all but the last are freed when the next one is asked for."""
+    blocks = item_blocks(items, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(block)
+        yield shared, after is None
+        if after is not None:
+            shared.destroy()
+        block = after
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -194,8 +216,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, block_chars: int = B
     text = numbered[next(c for c in columns if c == "text")]
     out = docs.withColumnsRenamed(numbered)
     kinds = ", ".join(f"{c} {kind}" for c, kind in out.dtypes)
-    for block in item_blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    for shared, last in _broadcast_blocks(spark, items, block_chars):
 
         def run(batches, shared=shared):
             m = matcher(shared.value)
@@ -204,4 +225,8 @@ def without_contaminated(docs: DataFrame, items: DataFrame, block_chars: int = B
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         out = arrow_map(out, run, kinds)
+        if not last:
+            path = scratch(spark, "decontaminated")
+            out.write.parquet(path)
+            out = spark.read.schema(kinds).parquet(path)
     return out.withColumnsRenamed({v: k for k, v in numbered.items()})

@@ -8,14 +8,18 @@ rates are divided by the rate that held-back text of the language itself
 needs; the smallest normalised rate wins.
 
 Texts are folded before the parse: letters to lower case, each run of
-other characters to one separator. Parsing starts anew every ``BLOCK``
-folded characters, so that a batch of texts is a matrix that numpy steps
-through column by column; whole texts are parsed, whatever their length.
+other characters to one separator. The OWN_LETTERS most frequent letters of the samples are
+symbols of their own; any other letter is a pair of symbols, the upper and
+the lower bits of its code point, so that large scripts keep their letters apart. Whole texts
+are parsed from end to end: a batch of texts is a matrix of blocks that numpy
+steps through column by column, and a block is parsed again from the state in which the block
+before it ended until all states agree, which is the parse of the whole text.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 ties go to the language first in alphabetical order; repeated rows give
-repeated results; with no labelled row every text is ``und``; the output has
-only the id and the result columns, so columns of the input cannot clash.
+repeated results; with no labelled row every text is ``und``; a row without a
+doc_id is in no fold: it is not held out; the output has only the id and the result
+columns, so columns of the input cannot clash.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map
 
-#: Folded characters parsed before a parse starts anew.
+#: Folded characters of a block, a column of the matrix.
 BLOCK = 256
-#: Bounds of the fitted sample: characters of each automaton, of the text that calibrates it, of one sampled text, and languages.
-SAMPLE_CHARS, CALIBRATION_CHARS, SAMPLE_TEXT_CHARS, MAX_LANGUAGES = 20_000, 10_000, 6_000, 64
-#: Letters with a class of their own; the others share SHARED classes by code point.
-OWN_LETTERS, SHARED = 80, 8
+#: Bounds of the fitted sample of a language: characters of its automaton, of the text that calibrates it, of one sampled text.
+SAMPLE_CHARS, CALIBRATION_CHARS, SAMPLE_TEXT_CHARS = 20_000, 10_000, 6_000
+#: Letters that are one symbol; symbols for either half of the others.
+OWN_LETTERS, HALF = 160, 64
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cost double, n_letters long"
 
@@ -43,17 +47,15 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cost do
 def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
     """A bounded sample of texts per language, in the order of a hash of the id.
 
-    ``labelled`` has doc_id, text, lang. At most MAX_LANGUAGES languages (the
-    most frequent) and about SAMPLE_CHARS + CALIBRATION_CHARS characters each
-    come to the driver; of a text over SAMPLE_TEXT_CHARS a span of that size.
+    ``labelled`` has doc_id, text, lang. Of every language about SAMPLE_CHARS +
+    CALIBRATION_CHARS characters come to the driver; of a text over
+    SAMPLE_TEXT_CHARS a span of that size.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.length("text")
     counts = (
         rows.groupBy("lang")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(size, F.lit(SAMPLE_TEXT_CHARS))).alias("chars"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGUAGES)
         .collect()
     )
     if not counts:
@@ -117,6 +119,11 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x110000)])
+
+
 class CrossParser:
     """Automata of all languages as dense tables, and the parse of batches."""
 
@@ -124,19 +131,18 @@ class CrossParser:
         self.languages = [lang for lang, _ in sample]
         letters = Counter(c for _, texts in sample for t in texts for c in t.lower() if c.isalpha())
         own = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:OWN_LETTERS]]
-        # Class 0 is the separator, the last one pads blocks.
-        self.k = 1 + len(own) + SHARED + 1
-        self.pad = self.k - 1
-        points = np.arange(0x110000, dtype=np.int64)
-        self.classes = np.zeros(0x110000, dtype=np.uint8)
-        alpha = np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x30000)])
-        shared = (1 + len(own) + points[:0x30000] % SHARED).astype(np.uint8)
-        self.classes[:0x30000][alpha] = shared[alpha]
+        # Symbol 0 is the separator, the last one pads blocks.
+        high = 1 + len(own)
+        self.low = high + HALF
+        self.pad = self.low + HALF
+        points, alpha = np.arange(0x110000), _letters()
+        self.first = np.where(alpha, high + (points >> 6) % HALF, 0).astype(np.uint16)
+        self.second = np.where(alpha, self.low + points % HALF, 0).astype(np.uint16)
         for i, c in enumerate(own):
             for x in {c, c.upper()}:
                 if len(x) == 1:
-                    self.classes[ord(x)] = 1 + i
-        self.tables, self.roots, self.rates = [], [], []
+                    self.first[ord(x)], self.second[ord(x)] = 1 + i, 0
+        self.tables, self.roots, self.symbols, self.rates = [], [], [], []
         for _, texts in sample:
             folded = [self.fold(t) for t in texts]
             total, head, tail = 0, [], []
@@ -144,55 +150,77 @@ class CrossParser:
                 (head if total < SAMPLE_CHARS or len(folded) == 1 else tail).append(f)
                 total += len(f)
             codes = np.concatenate(head)[:SAMPLE_CHARS]
-            nexts = suffix_automaton(codes.tolist())
-            table = np.full((len(nexts), self.k), -1, dtype=np.int32)
+            # A table has columns for the symbols of its sample, one for all others, and one that keeps the state.
+            used = np.unique(codes)
+            symbols = np.full(self.pad + 1, len(used), dtype=np.int32)
+            symbols[used] = np.arange(len(used))
+            symbols[self.pad], k = len(used) + 1, len(used) + 2
+            nexts = suffix_automaton(symbols[codes].tolist())
+            table = np.full((len(nexts), k), -1, dtype=np.int32)
             for s, arcs in enumerate(nexts):
                 for c, to in arcs.items():
-                    table[s, c] = to * self.k
-            table[:, self.pad] = np.arange(len(nexts)) * self.k
+                    table[s, c] = to * k
+            table[:, k - 1] = np.arange(len(nexts)) * k
             self.tables.append(table.reshape(-1))
             self.roots.append(np.maximum(table[0], 0))
-            self.rates.append(0.0)
+            self.symbols.append(symbols)
             own_text = tail or [np.concatenate(head)]
             phrases = self.phrases(own_text, [len(self.tables) - 1])[0].sum()
-            self.rates[-1] = max(phrases / max(1, sum(map(len, own_text))), 1e-6) if tail else None
+            self.rates.append(max(phrases / max(1, sum(map(len, own_text))), 1e-6) if tail else None)
         known = [r for r in self.rates if r] or [0.1]
         self.rates = np.array([r or float(np.mean(known)) for r in self.rates])
 
     def fold(self, text: str) -> np.ndarray:
-        codes = self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        keep = codes != 0
-        keep[1:] |= codes[:-1] != 0
-        return codes[keep]
+        """Symbols of a text; no separator at its start."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first = self.first[points]
+        keep = first != 0
+        keep[1:] |= first[:-1] != 0
+        first, second = first[keep], self.second[points[keep]]
+        if not second.any():
+            return first
+        both = np.stack([first, second], axis=1).reshape(-1)
+        keep = both != 0
+        keep[::2] = True
+        return both[keep]
 
     def phrases(self, folded: list[np.ndarray], which: list[int] | None = None) -> np.ndarray:
         """Phrases of each text in each language: [language, text]."""
         which = list(range(len(self.tables))) if which is None else which
         blocks = np.array([-(-len(f) // BLOCK) for f in folded], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(blocks)])
-        matrix = np.full(int(starts[-1]) * BLOCK, self.pad, dtype=np.uint8)
+        n = int(starts[-1])
+        matrix = np.full(n * BLOCK, self.pad, dtype=np.uint16)
         for f, s in zip(folded, starts):
             matrix[s * BLOCK : s * BLOCK + len(f)] = f
-        columns = np.ascontiguousarray(matrix.reshape(-1, BLOCK).T).astype(np.int32)
+        columns = np.ascontiguousarray(matrix.reshape(-1, BLOCK).T)
+        begins = np.zeros(n, dtype=bool)
+        begins[starts[:-1][blocks > 0]] = True
         out = np.zeros((len(which), len(folded)), dtype=np.int64)
-        n = columns.shape[1]
         for row, lang in enumerate(which):
             table, root = self.tables[lang], self.roots[lang]
-            state = np.zeros(n, dtype=np.int32)
-            ended = np.ones(n, dtype=np.int32)
-            for c in columns:
-                state = table.take(state + c)
-                failed = state < 0
-                np.copyto(state, root.take(c), where=failed)
-                ended += failed
-            sums = np.concatenate([[0], np.cumsum(ended)])
-            out[row] = sums[starts[1:]] - sums[starts[:-1]]
+            local = self.symbols[lang][columns]
+            ends, failures, before = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
+            todo = np.arange(n)
+            while len(todo):
+                state, ended = before[todo], np.zeros(len(todo), dtype=np.int32)
+                for c in local if len(todo) == n else np.ascontiguousarray(local[:, todo]):
+                    state = table.take(state + c)
+                    failed = state < 0
+                    np.copyto(state, root.take(c), where=failed)
+                    ended += failed
+                ends[todo], failures[todo] = state, ended
+                wanted = np.where(begins, 0, np.concatenate([[0], ends[:-1]])).astype(np.int32)
+                todo = np.flatnonzero(wanted != before)
+                before = wanted
+            sums = np.concatenate([[0], np.cumsum(failures)])
+            out[row] = sums[starts[1:]] - sums[starts[:-1]] + (blocks > 0)
         return out
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
         """Language, score, normalised phrase rate and letters of each text."""
         folded = [self.fold(t or "") for t in texts]
-        letters = [int(np.count_nonzero(f)) for f in folded]
+        letters = [int(np.count_nonzero(f) - np.count_nonzero(f >= self.low)) for f in folded]
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), letters
         sizes = np.array([max(1, len(f)) for f in folded])
@@ -221,7 +249,7 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], keep: list[str] | No
     """
     frozen = tuple((lang, tuple(texts)) for lang, texts in sorted(sample.items()))
     keep = keep or []
-    held = F.lit(False) if held_out is None else held_out
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(
         *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
         F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"),

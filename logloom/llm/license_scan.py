@@ -10,6 +10,9 @@ licences it names, and whether one may choose a permissive way through it.
 Words are runs of ``[0-9a-z]`` and of characters beyond ASCII after A-Z are
 lower-cased; all other ASCII characters separate.
 
+An expression ends where prose, another line or another sign begins: its
+operands are known licences or look like identifiers.
+
 Defined results: a null text counts as empty: no words, empty labels, score
 0; malformed expressions give the labels of their known identifiers and
 are not permissive; repeated rows give repeated results.
@@ -20,6 +23,7 @@ The score says how sure a licence stands on the document: 1 minus the product of
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import ahocorasick
@@ -160,22 +164,43 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
     return stack[0]
 
 
-def _expression_at(line: str) -> str:
-    """The longest run of expression tokens at the start of the line: identifiers joined by operators."""
-    out, operand_next = [], True
-    for token in _TOKEN.findall(line.split("*/")[0].split("-->")[0]):
+_LEAD = re.compile(r"""[ \t"':=]*""")
+_STEP = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+-]*)")
+#: An operand that is no known licence must look like an identifier: a digit or an inner sign.
+_IDENTIFIER = re.compile(r".*[0-9].*|[^.+-]+[.+-].+", re.DOTALL)
+
+
+def expression_at(text: str, at: int) -> str:
+    """The expression at a place: identifiers joined by operators, up to where prose, another sign or the line's end begins.
+
+    Reading stops at the first token that does not continue the expression,
+    so the tags of a line are read once each, however many there are.
+    """
+    out: list[str] = []
+    operand_next = True
+    at = _LEAD.match(text, at).end()
+    while m := _STEP.match(text, at):
+        token = m[1].rstrip(".-") if m[1] not in "()" else m[1]
         low = token.lower()
-        if token in "()":
-            out.append(token)
-            operand_next = token == "("
-        elif low in _PRECEDENCE:
-            out.append(token)
+        if low in _PRECEDENCE:
+            if operand_next:
+                break
             operand_next = True
-        elif operand_next:
-            out.append(token)
-            operand_next = False
+        elif token == "(":
+            if not operand_next:
+                break
+        elif token == ")":
+            if operand_next:
+                break
         else:
+            if not operand_next or not (spdx(token) or _IDENTIFIER.fullmatch(token)):
+                break
+            operand_next = False
+        out.append(token)
+        if len(token) < len(m[1]) or text[m.end() : m.end() + 1] in (":", "="):
+            at = m.end()
             break
+        at = m.end()
     while out and (out[-1].lower() in _PRECEDENCE or out[-1] == "("):
         out.pop()
     return " ".join(out)
@@ -191,11 +216,12 @@ def judge(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     evidence: set[str] = set()
     permissive = None
     if _HINTS.search(low):
-        joined = f" {' '.join(words)} "
+        joined, gaps = f" {' '.join(words)} ", None
         for end, phrase in _PHRASES.iter(joined):
             name = phrase.strip()
             if name in BASE_PHRASES:
-                at = joined.count(" ", 0, end + 1 - len(phrase))
+                gaps = gaps or [m.start() for m in re.finditer(" ", joined)]
+                at = bisect.bisect_left(gaps, end + 1 - len(phrase))
                 n_base += 1
                 first = at if first is None else min(first, at)
                 last = at if last is None else max(last, at)
@@ -205,8 +231,7 @@ def judge(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
                 labels.add(OWN_PHRASES[name])
                 evidence.add("own")
         for end, _ in _TAGS.iter(low):
-            stop = text.find("\n", end)
-            expression = _expression_at(text[end + 1 : stop if stop >= 0 else len(text)])
+            expression = expression_at(text, end + 1)
             if expression:
                 named, free = evaluate(expression)
                 labels |= named

@@ -9,13 +9,15 @@
 3. Verified pairs are joined to components. A bucket all of whose members are
    in one component is settled. The others hold pairs that no centre has
    decided; they are gone through exactly, in tiles: members are dealt into blocks
-   of about TILE, a task gets two blocks, compares signatures, and verifies the
+   (TILE to MAX_TILE members, BLOCKS of them in between, so that a member is copied into 16 tiles
+   at most up to 65 000 members), a task gets two blocks, compares signatures, and verifies the
    pairs of different components whose estimated similarity is within
    SLACK of the threshold. No pair of a tile leaves it but a found link.
 4. Components of all links are the classes.
 
 So no link between nodes that share a bucket is lost, but for the slack of the
-estimate (four standard deviations) and the recall of the bands: with
+estimate (four standard deviations: below 1 in 10 000 of the pairs that are just at the
+threshold, none worth naming above 0.83) and the recall of the bands: with
 BANDS x ROWS = 28 x 8 a pair of similarity 0.8 shares a bucket with
 probability 0.994, one of 0.85 with 0.9999.
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from logloom.llm import bagminhash as bm
 from logloom.llm.common import arrow_map, cut
 
-#: Similarity of near duplicates; members of a tile's block.
-THRESHOLD, TILE = 0.8, 256
+#: Similarity of near duplicates; members of a tile's block, least and most, and blocks of a bucket between them.
+THRESHOLD, TILE, MAX_TILE, BLOCKS = 0.8, 256, 4096, 16
 #: Share of all links from which on a node is a hub.
 HUB_SHARE = 0.001
 #: Below the threshold by this much an estimate still gets verified: four standard deviations of SLOTS slots.
@@ -208,7 +210,8 @@ def _tile_links(nodes: list[int], sides: list[int], labels: list[int], bags: lis
 
 def tile_links(open_members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between different components in ``open_members`` (band, n, node, label)."""
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    tile = F.least(F.greatest(F.col("n") / BLOCKS, F.lit(TILE)), F.lit(MAX_TILE))
+    blocks = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
     tiles = open_members.withColumn("blocks", blocks).withColumn("mine", mine)
     tiles = tiles.join(bags, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -75,7 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon, held_out=doc_crc() % 4 == 2)
 
 
-#: Rules of op9 (verdict, host, path), and the words that put a host on the list.
+#: Rules of op9 (verdict, host, path); a host is on the list if it has one of the words, or if a quarter of its pages are thin (less html than this).
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -83,17 +83,19 @@ URL_RULES = [
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 ]
-LISTED_HOSTS = "spam|pills|bets|casino"
+LISTED_HOSTS, THIN_PAGE = "spam|pills|bets|casino", 1500
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: the longest rule, else membership in the list of hosts."""
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOSTS))
+    thin = 4 * F.count_if(F.char_length("html") < THIN_PAGE) >= F.count(F.lit(1))
+    listed = F.bool_or(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)) | thin
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents, by content-defined chunks; repeats within one document alone are none."""
-    return chunk_dedup.repeated_passages(documents(spark, sf_dir))
+    """Passages that repeat across documents, by content-defined chunks; the operator finds those within one document too, which are no repeats here."""
+    return chunk_dedup.repeated_passages(documents(spark, sf_dir), within=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -112,13 +114,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op9_url_filter": f"""
         WITH parts AS (
-            SELECT page_id,
+            SELECT page_id, html,
                    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
             FROM pages),
         ruled AS (
-            SELECT *, regexp_matches(host, '{LISTED_HOSTS}') AS listed,
+            SELECT page_id, host, path,
+                   regexp_matches(host, '{LISTED_HOSTS}')
+                   OR 4 * count(*) FILTER (WHERE length(html) < {THIN_PAGE}) OVER (PARTITION BY host) >= count(*) OVER (PARTITION BY host) AS listed,
                    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/')
                              THEN 'www.example.com/en/'
                         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'

@@ -1,11 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Texts are read clause by clause. Small transducers map words to symbols:
-insult, threat, target, negation, reported speech. They are composed into a
-clause grammar, a finite automaton over these symbols whose arcs carry
-weights: an insult counts, more with a target near it, less behind a
-negation or inside reported speech; a threat counts only with a target. A text's
-score is the logistic of the sum of its matched clauses' weights.
+Texts are read clause by clause. Five transducers, each a table of arcs over
+few symbols, are composed into one machine that a clause is run through:
+
+* insult: words of the lexicon become insults that carry their weight;
+* negation: an insult within REACH words of one is marked, a threat there is none;
+* reported speech: insults and threats within REPORT_REACH words of it are marked;
+* threat: one threat of a clause counts, if the clause has a target;
+* target: an insult counts more behind a target, or if one follows.
+
+What comes out of the machine weighs by a table of (factor of the insult's own weight,
+constant); a text's score is the logistic of the sum over its clauses.
 
 Insults and their weights are learned from labelled rows: whole words, and word
 stems (prefixes of STEM letters), by smoothed log-odds of the distinct places
@@ -21,7 +26,8 @@ most ``MAX_ENTRIES`` lexicon entries come to the driver.
 Defined results: a null text counts as empty; texts without matches have
 the base score (that of the grammar's bias), below the threshold; repeated
 rows get equal scores; conflicting labels of a doc_id count as separate rows;
-with no labelled rows or one label alone the lexicon is empty.
+with no labelled rows or one label alone the lexicon is empty; a row without a
+doc_id is in no fold: it is not held out and has no label to learn from.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Hashable, Iterable
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -55,6 +63,8 @@ REPORTS = "said says wrote quoted reported called claimed sagte schrieb zitierte
 BIAS, WITH_TARGET, THREAT, NEGATED, REPORTED = -2.2, 0.5, 1.5, 0.3, 0.5
 #: Words that a negation reaches; weight of an entry's log-odds, and its most: one doubtful entry alone does not make a text toxic.
 REACH, ODDS_WEIGHT, MAX_WEIGHT = 3, 0.55, 3.0
+#: Words that reported speech reaches.
+REPORT_REACH = 12
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_clauses long"
 
@@ -106,16 +116,104 @@ def fit_lexicon(labelled: DataFrame) -> dict[str, float]:
     return lexicon
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, symbol) to (output, next state); without an arc a symbol passes and the state stays."""
+
+    start: Hashable
+    arcs: dict
+
+    def step(self, state: Hashable, symbol: str) -> tuple[str, Hashable]:
+        return self.arcs.get((state, symbol), (symbol, state))
+
+
+#: Symbols that words become: insult, threat, target, negation, report, another word.
+SYMBOLS = ("I", "T", "Y", "N", "R", "W")
+#: Marks of an insult: negated, reported.
+_INSULTS = ("I", "I~", 'I"', 'I~"')
+_TARGETS = ("Y", "Y!", 'Y!"')
+
+NEGATION = Transducer(
+    0,
+    {(k, "N"): ("W", REACH) for k in range(REACH + 1)}
+    | {(k, x): (x, max(0, k - 1)) for k in range(REACH + 1) for x in "YRW"}
+    | {(k, "I"): ("I~" if k else "I", max(0, k - 1)) for k in range(REACH + 1)}
+    | {(k, "T"): ("W" if k else "T", max(0, k - 1)) for k in range(REACH + 1)},
+)
+REPORT = Transducer(
+    0,
+    {(k, "R"): ("W", REPORT_REACH) for k in range(REPORT_REACH + 1)}
+    | {(k, x): (x, max(0, k - 1)) for k in range(REPORT_REACH + 1) for x in "YW"}
+    | {(k, x): (x + '"' if k else x, max(0, k - 1)) for k in range(REPORT_REACH + 1) for x in ("I", "I~", "T")},
+)
+THREAT_OF = Transducer(
+    "none",
+    {("none", "Y"): ("Y", "target"), ("none", "T"): ("W", "T"), ("none", 'T"'): ("W", 'T"')}
+    | {("target", "T"): ("!", "done"), ("target", 'T"'): ('!"', "done")}
+    | {("T", "Y"): ("Y!", "done"), ('T"', "Y"): ('Y!"', "done")}
+    | {(a, b): ("W", "T" if "T" in (a, b) else 'T"') for a in ("T", 'T"') for b in ("T", 'T"')}
+    | {("done", x): ("W", "done") for x in ("T", 'T"')},
+)
+TARGET = Transducer(
+    "none",
+    {("seen", x): (x + "+", "seen") for x in _INSULTS}
+    | {(before, x): (x, x) for before in ("none", *_INSULTS) for x in _INSULTS}
+    | {("none", y): (y, "seen") for y in _TARGETS}
+    | {(before, y): (y + before, "seen") for before in _INSULTS for y in _TARGETS},
+)
+
+
+def factor(insult: str) -> float:
+    return (NEGATED if "~" in insult else 1.0) * (REPORTED if '"' in insult else 1.0)
+
+
+#: What an output weighs: factor of the insult's own weight, and a constant. Other outputs weigh nothing.
+_THREATS = {"Y": 0.0, "Y!": THREAT, 'Y!"': THREAT * REPORTED}
+OUTPUT_WEIGHTS = (
+    {x: (factor(x), 0.0) for x in _INSULTS}
+    | {x + "+": (factor(x), factor(x) * WITH_TARGET) for x in _INSULTS}
+    | {"!": (0.0, THREAT), '!"': (0.0, THREAT * REPORTED)}
+    | {y: (0.0, w) for y, w in _THREATS.items()}
+    | {y + x: (0.0, w + factor(x) * WITH_TARGET) for y, w in _THREATS.items() for x in _INSULTS}
+)
+
+
+def compose(one: Transducer, two: Transducer, symbols: Iterable[str] = SYMBOLS) -> Transducer:
+    """The transducer that feeds the outputs of ``one`` to ``two``; its states are the pairs that can be reached."""
+    start = (one.start, two.start)
+    arcs, todo, known = {}, [start], {start}
+    while todo:
+        a, b = state = todo.pop()
+        for x in symbols:
+            middle, a2 = one.step(a, x)
+            out, b2 = two.step(b, middle)
+            arcs[state, x] = (out, (a2, b2))
+            if (a2, b2) not in known:
+                known.add((a2, b2))
+                todo.append((a2, b2))
+    return Transducer(start, arcs)
+
+
+@functools.lru_cache(maxsize=1)
+def machine() -> tuple[int, list[dict[str, tuple[float, float, int]]]]:
+    """The composed grammar with numbered states: start, and per state symbol to (factor, constant, next state)."""
+    whole = functools.reduce(compose, (NEGATION, REPORT, THREAT_OF, TARGET))
+    numbers = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in whole.arcs))}
+    table: list[dict[str, tuple[float, float, int]]] = [{} for _ in numbers]
+    for (state, x), (out, after) in whole.arcs.items():
+        table[numbers[state]][x] = (*OUTPUT_WEIGHTS.get(out, (0.0, 0.0)), numbers[after])
+    return numbers[whole.start], table
+
+
 class Grammar:
-    """Words to symbols, symbols to clause weights: the composition of the transducers written out by hand, without arc tables."""
+    """The insult transducer of a lexicon, words to symbols, in front of the composed machine."""
 
     def __init__(self, lexicon: tuple[tuple[str, float], ...]):
         self.words = {w: x for w, x in lexicon if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon if w.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        own = {**dict.fromkeys(THREATS, "T"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(REPORTS, "R")}
-        self.own = own
-        self.targets = frozenset(TARGETS)
+        self.own = {**dict.fromkeys(TARGETS, "Y"), **dict.fromkeys(THREATS, "T"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(REPORTS, "R")}
+        self.start, self.table = machine()
         self.seeds = ahocorasick.Automaton()
         for w in {*self.words, *THREATS, *self.stems}:
             self.seeds.add_word(w, (len(w), w not in self.stems))
@@ -136,22 +234,12 @@ class Grammar:
         return weight
 
     def clause(self, words: list[str]) -> float:
-        """Weight of one clause: one pass of the automaton with its states negation, report and target."""
-        weight, threat, reach, reported = 0.0, False, 0, False
-        target = any(w in self.targets for w in words)
+        """Weight of one clause: one run of the machine."""
+        weight, state = 0.0, self.start
         for w in words:
-            kind = self.own.get(w)
             x = self.insult(w)
-            if x:
-                arc = x + (WITH_TARGET if target else 0.0)
-                weight += arc * (NEGATED if reach else 1.0) * (REPORTED if reported else 1.0)
-            elif kind == "T":
-                threat = threat or not reach
-            elif kind == "R":
-                reported = True
-            reach = REACH if kind == "N" else max(0, reach - 1)
-        if threat and target:
-            weight += THREAT * (REPORTED if reported else 1.0)
+            factor_, constant, state = self.table[state]["I" if x else self.own.get(w, "W")]
+            weight += factor_ * x + constant
         return weight
 
     def judge(self, text: str | None) -> tuple[float, int]:
@@ -175,7 +263,7 @@ def grammar(lexicon: tuple[tuple[str, float], ...]) -> Grammar:
 def score(docs: DataFrame, lexicon: dict[str, float], held_out: Column, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_clauses of every row of ``docs`` (doc_id, text)."""
     frozen = tuple(sorted(lexicon.items()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         g = grammar(frozen)

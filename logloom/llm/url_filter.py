@@ -10,9 +10,11 @@ universe the answer is exact, and each level is a small array of 64-bit
 words in the plan, so pages are judged within their scan.
 
 Everything is DataFrame functions. The size of every level is known before it
-is built (``BITS_PER_KEY`` bits for each of its counted keys). Listed keys beyond
-``MAX_KEYS`` do not go into the plan: they are joined by host instead, and only
-then.
+is built (``BITS_PER_KEY`` bits for each of its counted keys). The universe is
+dealt by a hash of the key into shards of about ``SHARD_KEYS`` filter keys, each with a cascade
+of its own: the plan never holds more than one shard's levels. A list of one shard is
+judged in one pass; each further shard is one more pass over the pages, written into the
+shared folder, so a list of any length needs no join.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 no rule, and is allowed; repeated rows give repeated results; an empty list
@@ -27,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import cut
+from logloom.plans.durable import scratch
 
 #: Bits and hash functions per key of a level.
 BITS_PER_KEY, HASHES = 10, 5
-#: Most keys that a level may hold: 0.6 MB of words at 10 bits a key.
-MAX_KEYS = 500_000
+#: Keys of a shard's levels together: 5 MB of words at 10 bits a key.
+SHARD_KEYS = 4_000_000
+#: Share of the keys beside a level that pass it, at 10 bits and 5 hashes a key (rounded up).
+FALSE_SHARE = 0.02
 #: After so many levels the few keys left are compared by value.
 LAST_LEVEL, LAST_KEYS = 24, 64
 
@@ -128,15 +133,13 @@ def _level(keys: DataFrame, n: int, no: int) -> Level:
     return Level(bits, out)
 
 
-def build(universe: DataFrame) -> Cascade | None:
-    """The cascade of ``universe`` (distinct key, listed); None if a level would pass MAX_KEYS."""
+def build(universe: DataFrame) -> Cascade:
+    """The cascade of ``universe`` (distinct key, listed)."""
     keys = cut(universe.select("key", "listed"))
     cascade, wanted = Cascade(), True
     while True:
         held, others = keys.where(F.col("listed") == wanted), keys.where(F.col("listed") != wanted)
         n = held.count()
-        if n > MAX_KEYS:
-            return None
         no = len(cascade.levels)
         if wanted and 0 < n <= LAST_KEYS and no >= LAST_LEVEL:
             cascade.rest = [r["key"] for r in held.collect()]
@@ -151,24 +154,32 @@ def build(universe: DataFrame) -> Cascade | None:
         wanted = not wanted
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: Column) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], listed: Column, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed per row of ``pages`` (page_id, url).
 
-    ``listed`` is a condition on ``host`` that names the listed keys of the
-    corpus; rules come first, the list decides the rest.
+    ``listed`` is an aggregate over the pages of a host that tells whether
+    the host is on the list; rules come first, the list decides the rest.
     """
+    spark = pages.sparkSession
     parts = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
-    universe = parts.groupBy("host").agg(F.first(listed).alias("listed")).select(F.col("host").alias("key"), F.coalesce("listed", F.lit(False)).alias("listed"))
-    cascade = build(universe)
+    universe = cut(pages.groupBy(host_of(F.col("url")).alias("_key")).agg(listed.alias("_listed")).select(F.col("_key").alias("key"), F.coalesce("_listed", F.lit(False)).alias("listed")))
+    size = universe.agg(F.count_if("listed").alias("held"), F.count(F.lit(1)).alias("n")).first()
+    shards = max(1, -(-int(size["held"] + FALSE_SHARE * size["n"]) // shard_keys))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if cascade is not None:
-        member = parts.withColumn("listed", cascade.contains(F.col("host")))
-    else:
-        names = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("listed"))
-        member = parts.join(names, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return member.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
-    )
+    shard = lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+
+    def judged(rows: DataFrame, cascade: Cascade) -> DataFrame:
+        return rows.withColumn("listed", cascade.contains(F.col("host"))).select(
+            "page_id", "host", "path", rule.alias("rule"),
+            F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
+        )
+
+    if shards == 1:
+        return judged(parts, build(universe))
+    path = scratch(spark, "url_filter")
+    for i in range(shards):
+        cascade = build(universe.where(shard(F.col("key")) == i))
+        judged(parts.where(shard(F.col("host")) == i), cascade).write.parquet(f"{path}/shard={i}")
+    return spark.read.parquet(path).drop("shard")

@@ -1,4 +1,6 @@
+import itertools
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -100,6 +102,45 @@ def test_every_chunk_keeps_one_place(spark):
     assert out[5].count(" ".join(a.split()[12:-12])) == 1
 
 
+def test_repeats_within_a_text_and_among_rows_without_ids(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    a, b = prose(100), prose(100)
+    docs = spark.createDataFrame([(1, f"{a} {prose(90)} {a}"), (None, b), (None, b), (2, prose(200))], "doc_id long, text string")
+    got = chunk_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == {1, None} and len(got) == 4
+    assert {r.doc_id for r in chunk_dedup.repeated_passages(docs, within=False).collect()} == {None}
+    assert sorted(r.is_first for r in got if r.doc_id == 1) == [False, True] == sorted(r.is_first for r in got if r.doc_id is None)
+
+
+def test_passages_are_those_of_all_chunks(spark):
+    """Brute force on a small alphabet: chunks that occur twice, their runs of enough words, one keeper of each."""
+    rng = random.Random(13)
+    words = ["ab", "ba", "abba", "aab", "bbb", "a"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 160))) for i in range(12)}
+    texts |= {12: texts[3], 13: f"{texts[4]} {texts[5]}", 14: ""}
+    chunks = {k: chunk_dedup.chunks(t) for k, t in texts.items()}
+    counts = Counter(x[0] for c in chunks.values() for x in c)
+    runs, keepers = {}, {}
+    for k, c in chunks.items():
+        flags = [counts[x[0]] > 1 for x in c]
+        for flag, group in itertools.groupby(range(len(c)), key=flags.__getitem__):
+            group = list(group)
+            if flag and sum(c[i][3] for i in group) >= 8:
+                runs.setdefault(k, []).append(group)
+                for i in group:
+                    keepers[c[i][0]] = min(keepers.get(c[i][0], (k, i)), (k, i))
+    expected = []
+    for k, groups in runs.items():
+        for group in groups:
+            for mine, part in itertools.groupby(group, key=lambda i: keepers[chunks[k][i][0]] == (k, i)):
+                part = list(part)
+                expected.append((k, chunks[k][part[0]][1], chunks[k][part[-1]][2], mine))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.start, r.end, r.is_first) for r in chunk_dedup.repeated_passages(docs, 8).collect()]
+    assert sorted(got) == sorted(expected) and expected
+
+
 def test_query_covers_exact_copies(spark, sf_dir, documents):
     rows = op10_substring_dedup(spark, sf_dir).collect()
     docs = {d.doc_id: d.text for d in documents.collect()}
@@ -112,7 +153,7 @@ def test_query_covers_exact_copies(spark, sf_dir, documents):
 
 
 def test_odd(odd, empty):
-    assert chunk_dedup.repeated_passages(odd, 5).where("doc_id not in (1, 2)").count() == 0
-    assert {r.doc_id for r in chunk_dedup.repeated_passages(odd, 5).collect()} == {1, 2}
+    # The long text repeats itself every 977 words.
+    assert {r.doc_id for r in chunk_dedup.repeated_passages(odd, 5).collect()} == {1, 2, 5}
     assert chunk_dedup.repeated_passages(empty).count() == 0
     assert chunk_dedup.dedup_text(odd.where("doc_id > 4"), chunk_dedup.repeated_passages(empty)).count() == 5

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logloom.llm import decontam
+from logloom.llm.queries import op2_decontaminate
 
 
 def semi_global(pattern, text):
@@ -40,6 +41,29 @@ def test_matches_are_complete():
         assert {i: d for i, d, *_ in m.matches(text)} == expected
 
 
+def test_query_is_brute_force(spark, sf_dir, documents):
+    """The query against Myers' distance of every item over every whole text, without pieces."""
+    items = [(r.item_id, decontam.fold(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = {r.doc_id: decontam.fold(r.text) for r in documents.collect() if r.text and len(r.text) < 3000}
+    expected = {(k, i): d for k, t in texts.items() for i, x in items if len(x) <= len(t) + decontam.budget(len(x)) and (d := decontam.myers(x, t)[0]) <= decontam.budget(len(x))}
+    got = {(r.doc_id, r.item_id): r.distance for r in op2_decontaminate(spark, sf_dir).collect() if r.doc_id in texts}
+    assert got == expected and got
+
+
+@pytest.mark.parametrize(("rate", "recall"), [(0.0, 1.0), (0.02, 1.0), (0.05, 0.9), (0.1, 0.0)])
+def test_recall_by_edit_rate(spark, sf_dir, rate, recall):
+    """Random substitutions of so many of an item's characters: within the budget all are found, at 10 % none need be."""
+    rng = random.Random(11)
+    items = [(r.item_id, decontam.fold(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    m, hits = decontam.Matcher(tuple(items)), 0
+    for i, item in items:
+        text = list(item)
+        for at in rng.sample(range(1, len(text) - 1), int(rate * len(text))):
+            text[at] = "#"
+        hits += i in {x[0] for x in m.matches("before " + "".join(text).replace("#", "q") + " after")}
+    assert hits >= recall * len(items)
+
+
 def test_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "quick brown fox JUMPS over the, lazy dog"), (2, None), (3, ""), (None, "lazy dog"), (4, "one"), (5, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
     got = decontam.contaminated(odd, items).collect()

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -9,26 +10,42 @@ SAMPLE = {"en": ["the cat sat on the mat and the dog ran to the house " * 20] *
 
 
 def brute_phrases(text, code):
-    """Phrases of a folded text, block by block: grown while they occur in the other text; unknown letters are in none."""
-    n = 0
-    for b in range(0, len(text), langid.BLOCK):
-        phrase, n = b"", n + 1
-        for i in range(b, min(b + langid.BLOCK, len(text))):
-            c = text[i : i + 1]
-            if phrase + c in code:
-                phrase += c
-            else:
-                phrase, n = (c if c in code else b""), n + 1
+    """Phrases of a whole folded text: grown while they occur in the other text; unknown letters are in none."""
+    phrase, n = "", 1
+    for c in text:
+        if phrase + c in code:
+            phrase += c
+        else:
+            phrase, n = (c if c in code else ""), n + 1
     return n
 
 
+def letters(folded):
+    return "".join(chr(33 + x) for x in folded.tolist())
+
+
 def test_phrases_are_longest_matches():
     p = langid.parser(tuple((k, tuple(v)) for k, v in SAMPLE.items()))
-    for text in ("the dog sat in the maison", "le chat ran " * 60, "the", "zzz the", "Été, 12 the-house!"):
+    mixed = " ".join(random.Random(3).choice("the cat chat zz sat sur la maison house 日本 dog".split()) for _ in range(900))
+    for text in ("the dog sat in the maison", "le chat ran " * 60, "the", "zzz the", "Été, 12 the-house!", mixed, "a" * 3000, "a\U00030010b \U00030050"):
         folded = p.fold(text)
         for lang, n in zip(p.languages, p.phrases([folded])[:, 0].tolist()):
-            code = b"".join(bytes(p.fold(t)) for t in SAMPLE[lang])
-            assert n == brute_phrases(bytes(folded), code[: langid.SAMPLE_CHARS])
+            code = "".join(letters(p.fold(t)) for t in SAMPLE[lang])
+            assert n == brute_phrases(letters(folded), code[: langid.SAMPLE_CHARS])
+
+
+def test_large_scripts_and_many_languages():
+    """Two languages that share a large script, and a hundred languages: none is dropped, letters stay apart."""
+    rng = random.Random(6)
+    one, two = ([chr(0x4E00 + rng.randrange(3000)) for _ in range(400)] for _ in range(2))
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(n))
+    pairs = {f"l{i:03}": ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)] for i in range(100)}
+    sample = {"c1": [text(one, 1500)] * 2, "c2": [text(two, 1500)] * 2} | {k: [" ".join(rng.choice(w) for _ in range(300))] for k, w in pairs.items()}
+    p = langid.parser(tuple((k, tuple(v)) for k, v in sorted(sample.items())))
+    assert len(p.languages) == 102
+    tests = {"c1": text(one, 60), "c2": text(two, 60)} | {k: " ".join(rng.choice(w) for _ in range(40)) for k, w in pairs.items()}
+    got = p.judge(list(tests.values()))
+    assert sum(a == b for a, b in zip(got[0], tests)) >= 100 and got[3][0] == 180
 
 
 def test_odd(odd, empty):

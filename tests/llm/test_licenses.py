@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -60,6 +61,33 @@ def test_tags():
     assert license_scan.judge("Licensed under CC BY-NC 4.0.")[5] == "cc-by-nc"
 
 
+@pytest.mark.parametrize(
+    ("text", "expression"),
+    [
+        ("Apache-2.0 and other things", "Apache-2.0"),
+        ("MIT and the rest of it", "MIT"),
+        (" 'MIT' or", "MIT"),
+        ("MIT, GPL-2.0", "MIT"),
+        ("MIT OR LicenseRef-own-1 */ AND GPL-2.0", "MIT OR LicenseRef-own-1"),
+        ("(MIT OR Apache-2.0) AND ( words", "( MIT OR Apache-2.0 )"),
+        ("GPL-2.0 WITH Classpath-exception-2.0 AND\nMIT", "GPL-2.0 WITH Classpath-exception-2.0"),
+        ("MIT.", "MIT"),
+        ("MIT SPDX-License-Identifier: GPL-2.0", "MIT"),
+        ("prose alone", ""),
+    ],
+)
+def test_expressions_end_where_prose_begins(text, expression):
+    assert license_scan.expression_at(text, 0) == expression
+
+
+@pytest.mark.parametrize("piece", ["SPDX-License-Identifier: MIT OR ", "SPDX-License-Identifier: ((((", "mit license ", "the general public license, apache license ", "@license @license "])
+def test_long_lines_take_linear_time(piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    license_scan.judge(text)
+    assert time.process_time() - began < 4
+
+
 def test_odd(odd, empty):
     rows = license_scan.licenses(odd).collect()
     assert len(rows) == odd.count() and all(r.score == 0 and r.labels == "" for r in rows)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -50,6 +51,56 @@ def test_grammar():
     assert g.judge("idiot. idiot; fine")[1] == 2
 
 
+def clause_weight(symbols, x):
+    """What a clause weighs, from its words' roles and places, without machines; every insult weighs ``x``."""
+    T = toxicity
+    within = lambda mark, i, reach: any(symbols[j] == mark for j in range(max(0, i - reach), i))
+    factor = lambda i: (T.NEGATED if within("N", i, T.REACH) else 1) * (T.REPORTED if within("R", i, T.REPORT_REACH) else 1)
+    targets = [i for i, s in enumerate(symbols) if s == "Y"]
+    insults = [i for i, s in enumerate(symbols) if s == "I"]
+    weight = 0.0
+    for i in insults:
+        weight += factor(i) * x
+        behind = any(t < i for t in targets)
+        followed = any(t > i and not any(i < j < t for j in insults) for t in targets)
+        weight += T.WITH_TARGET * factor(i) * (behind or followed)
+    threats = [i for i, s in enumerate(symbols) if s == "T" and not within("N", i, T.REACH)]
+    if threats and targets:
+        before = [i for i in threats if i < targets[0]]
+        # Threats before the first target are one threat, reported if all of them are.
+        own = before or threats[:1]
+        weight += T.THREAT * (T.REPORTED if all(within("R", i, T.REPORT_REACH) for i in own) else 1)
+    return weight
+
+
+def run(symbols, x):
+    """The composed machine, and the transducers one after another."""
+    start, table = toxicity.machine()
+    weight, state = 0.0, start
+    for s in symbols:
+        f, c, state = table[state][s]
+        weight += f * x + c
+    chain, out = (toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT_OF, toxicity.TARGET), list(symbols)
+    for t in chain:
+        at, passed = t.start, []
+        for s in out:
+            o, at = t.step(at, s)
+            passed.append(o)
+        out = passed
+    singly = sum(f * x + c for f, c in (toxicity.OUTPUT_WEIGHTS.get(o, (0.0, 0.0)) for o in out))
+    return weight, singly
+
+
+def test_composition():
+    """All clauses of up to five words, and long random ones: the machine, its parts in turn, and the plain reading agree."""
+    rng = random.Random(8)
+    clauses = [c for n in range(6) for c in itertools.product(toxicity.SYMBOLS, repeat=n)]
+    clauses += [tuple(rng.choice("ITYNRWWWWW") for _ in range(40)) for _ in range(500)]
+    for c in clauses:
+        weight, singly = run(c, 2.0)
+        assert abs(weight - singly) < 1e-9 and abs(weight - clause_weight(c, 2.0)) < 1e-9, c
+
+
 def test_odd(odd, empty):
     rows = toxicity.score(odd, {"lazy": 3.0}, F.lit(False)).collect()
     assert len(rows) == odd.count() and sorted(r.doc_id for r in rows if r.predicted) == [1, 1, 2]

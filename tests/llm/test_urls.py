@@ -24,7 +24,7 @@ def test_rules(spark):
         "://\nodd": ("\nodd", "", None, "allow"),
     }
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)] + [(None, None, "y")], "page_id long, url string, host string")
-    got = url_filter.judge(pages, queries.URL_RULES, F.col("host").rlike(queries.LISTED_HOSTS)).collect()
+    got = url_filter.judge(pages, queries.URL_RULES, F.bool_or(url_filter.host_of(F.col("url")).rlike(queries.LISTED_HOSTS))).collect()
     assert len(got) == len(cases) + 1
     for i, expected in enumerate(cases.values()):
         r = next(x for x in got if x.page_id == i)
@@ -44,12 +44,14 @@ def test_cascade_is_exact(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), [], F.lit(True)).count() == 0
 
 
-def test_beyond_the_bound(spark, sf_dir, monkeypatch):
-    small = queries.op9_url_filter(spark, sf_dir)
-    expected = sorted(map(repr, small.collect()))
-    monkeypatch.setattr(url_filter, "MAX_KEYS", 0)
-    joined = queries.op9_url_filter(spark, sf_dir).select(small.columns)
-    assert sorted(map(repr, joined.collect())) == expected
+def test_shards_change_nothing(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = F.count_if(F.char_length("html") < 2500) > 0
+    one = url_filter.judge(pages, queries.URL_RULES, listed)
+    many = url_filter.judge(pages, queries.URL_RULES, listed, shard_keys=5)
+    assert sorted(map(repr, many.select(one.columns).collect())) == sorted(map(repr, one.collect()))
+    assert len({r.listed for r in one.collect()}) == 2
+    assert not any("Join" in x for x in (one._jdf.queryExecution().optimizedPlan().toString(), many._jdf.queryExecution().optimizedPlan().toString()))
 
 
 def test_native(spark, sf_dir):
