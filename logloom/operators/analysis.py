@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import EXAMPLE_LENGTH, cut_text, template
 from logloom.model import LEVELS, level_name
-from logloom.plans.spec import FilterSpec, apply_filters
+from logloom.plans.spec import FilterSpec, apply_filters, with_hit
 
 FACET_FIELDS = {
     "provider": "provider", "source": "source", "level": "level", "taskname": "task_name", "task": "task_name", "processname": "process_name",
@@ -19,9 +17,7 @@ FACET_FIELDS = {
 
 def counts(df: DataFrame, spec: FilterSpec) -> DataFrame:
     """total, filtered: one row."""
-    conditions = spec.conditions()
-    hit = F.coalesce(reduce(lambda a, b: a & b, conditions), F.lit(False)) if conditions else F.lit(True)
-    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("filtered"))
+    return with_hit(df, spec).agg(F.count(F.lit(1)).alias("total"), F.count_if("_hit").alias("filtered"))
 
 
 def level_counts(df: DataFrame) -> DataFrame:
@@ -128,9 +124,7 @@ def density_wide(df: DataFrame, buckets: int = 48) -> DataFrame:
 
 def summary(df: DataFrame, spec: FilterSpec) -> DataFrame:
     """One row: totals, rows per level, time range and number of sources of the filtered rows, in one pass."""
-    conditions = spec.conditions()
-    hit = F.coalesce(reduce(lambda a, b: a & b, conditions), F.lit(False)) if conditions else F.lit(True)
-    return df.select("*", hit.alias("_hit")).agg(
+    return with_hit(df, spec).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("_hit").alias("filtered"),
         *[F.count_if(F.col("_hit") & (F.col("level") == i)).alias(name.lower()) for i, name in enumerate(LEVELS)],
         F.min(F.when(F.col("_hit"), F.col("log_time"))).alias("first_time"), F.max(F.when(F.col("_hit"), F.col("log_time"))).alias("last_time"),

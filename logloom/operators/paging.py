@@ -7,19 +7,26 @@ position is a count; no window runs over all rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.rewrite import with_number
 from logloom.plans.spec import SORTS, SortSpec
 
+#: Rows up to which a page is taken as the top of the order.
+TOP_ROWS = 100_000
+
 
 def sort_events(df: DataFrame, sort: SortSpec = SortSpec()) -> DataFrame:
     return df.orderBy(*sort.ordering())
 
 
 def page(df: DataFrame, sort: SortSpec, offset: int, limit: int) -> DataFrame:
-    """Rows [offset, offset + limit) of the order."""
-    return df.orderBy(*sort.ordering()).offset(max(0, offset)).limit(max(0, limit))
+    """Rows [offset, offset + limit) of the order: a top-k near its start, beyond that the rows with these places of the numbered order."""
+    offset, limit = max(0, offset), max(0, limit)
+    if offset + limit <= TOP_ROWS:
+        return df.orderBy(*sort.ordering()).offset(offset).limit(limit)
+    at = F.col("position")
+    return with_position(df, sort).where((at >= offset) & (at < offset + limit)).drop("position").orderBy(*sort.ordering())
 
 
 def last_page(df: DataFrame, sort: SortSpec, size: int) -> DataFrame:
@@ -82,8 +89,8 @@ def follow_activity(df: DataFrame, activity_id: str, cap: int = 500) -> DataFram
 
 
 def with_position(df: DataFrame, sort: SortSpec) -> DataFrame:
-    """Adds ``position`` from 0. The window takes all rows to one task: for filtered sets of page size; ``row_position`` answers for one row of any set."""
-    return df.withColumn("position", (F.row_number().over(W.orderBy(*sort.ordering())) - 1).cast("long"))
+    """Adds ``position`` from 0: rows are sorted by ranges and numbered from the sizes of the ranges before; ``row_position`` answers for one row without a sort."""
+    return with_number(df, sort.ordering(), "position")
 
 
 def cap_rows(df: DataFrame, n: int = 0, default: int = 500_000) -> tuple[DataFrame, bool]:

@@ -21,9 +21,15 @@ def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
     Rows are sorted by range partitions; each partition's offset is the
     number of rows in those before it, so ids are gapless and no task sees all rows.
     """
+    return with_number(df, [F.col(c) for c in order], "row_id")
+
+
+def with_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in a total order, without a window over all rows."""
+    from logloom.plans.durable import cut
+
     spark = df.sparkSession
     ordered = df.orderBy(*order)
-    from logloom.plans.durable import cut
 
     numbered = cut(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -33,7 +39,7 @@ def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
         total += n
     table = spark.createDataFrame(offsets or [(0, 0)], "_part int, _offset long")
     out = numbered.join(F.broadcast(table), "_part", "left")
-    return out.withColumn("row_id", F.col("_offset") + F.col("_in")).drop("_part", "_in", "_offset")
+    return out.withColumn(name, F.col("_offset") + F.col("_in")).drop("_part", "_in", "_offset")
 
 
 def clean_message(df: DataFrame) -> DataFrame:

@@ -261,8 +261,9 @@ def auto_rules(df: DataFrame, entries: list[dict], build: int | None = None) ->
             seen.append(_any([F.col("source").rlike(glob_to_regex(g)) for g in e["pathGlobs"]]))
         if e.get("providers"):
             seen.append(F.lower("provider").isin(low(e["providers"])))
-        ranged = e.get("minBuild") is not None or e.get("maxBuild") is not None
-        fits = build is not None and e.get("minBuild", build) <= build <= e.get("maxBuild", build) if ranged else True
+        least, most = e.get("minBuild"), e.get("maxBuild")
+        ranged = least is not None or most is not None
+        fits = build is not None and (least is None or least <= build) and (most is None or build <= most) if ranged else True
         test = reduce(lambda a, b: a & b, [F.coalesce(F.bool_or(x), F.lit(False)) for x in seen], F.lit(bool(fits)))
         tests.append(F.lit(True) if e.get("always") else test if seen or ranged else F.lit(False))
     # One count makes the aggregate have a row even if no test looks at the files.

@@ -38,18 +38,33 @@ def label(c: Column) -> Column:
     return F.when(clean == "", "(event)").otherwise(_shortened(clean, LABEL_LENGTH))
 
 
-def ranged(df: DataFrame, by: str) -> DataFrame:
-    """Adds ``_range``, an ascending number of about equally filled ranges of a time or number; 0 for NULL."""
+def ranged(df: DataFrame, by: str, tie: str | None = None) -> DataFrame:
+    """Adds ``_range``, an ascending number of about equally filled ranges of a time or number, NULL first.
+
+    A value that many rows share, and NULL, are ranges of the number ``tie``, which orders rows of equal time.
+    """
     n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.unix_micros(F.col(by).cast("timestamp")) if dict(df.dtypes)[by].startswith("timestamp") else F.col(by).cast("long")
     keyed = df.withColumn("_key", key)
-    bounds = sorted({int(x) for x in keyed.approxQuantile("_key", [i / n for i in range(1, n)], 0.2 / n)})
-    if not bounds:
-        return keyed.withColumn("_range", F.lit(0)).drop("_key")
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length(), -1, -1)])
-    below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(array, lo + s - 1) < F.col("_key")), lo + s).otherwise(lo))
-    return keyed.withColumn("_range", F.when(F.col("_key").isNull(), 0).otherwise(below + 1)).drop("_key")
+    quantiles = lambda c: [int(x) for x in keyed.approxQuantile(c, [i / n for i in range(1, n)], 0.2 / n)]
+    found = quantiles("_key")
+    bounds, heavy = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
+    ties = sorted(set(quantiles(tie))) if tie else []
+
+    def below(values: list[int], c: str) -> Column:
+        """Number of ``values`` below the column, by binary search."""
+        if not values:
+            return F.lit(0)
+        array = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+        steps = F.array(*[F.lit(1 << b) for b in range(len(values).bit_length(), -1, -1)])
+        return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(values)) & (F.get(array, lo + s - 1) < F.col(c)), lo + s).otherwise(lo))
+
+    width = len(ties) + 2
+    shared = F.col("_key").isNull() | (F.col("_key").isin(heavy) if heavy else F.lit(False))
+    # The rows of a heavy bound are the last of its range of values.
+    sub = F.when(shared, below(ties, tie) + 1).otherwise(0) if tie else F.lit(0)
+    whole = F.when(F.col("_key").isNull(), 0).otherwise(below(bounds, "_key") + 1)
+    return keyed.withColumn("_range", whole * width + sub).drop("_key")
 
 
 def with_previous(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -99,7 +114,7 @@ def collapse_runs(df: DataFrame, keys: list[str], group: list[str], order: list[
     from logloom.plans.durable import cut
 
     own = [k for k in keys if k not in group and k not in order]
-    rows = ranged(df.select(*group, *order, *own, F.lit(1).alias("_one")), order[0])
+    rows = ranged(df.select(*group, *order, *own, F.lit(1).alias("_one")), order[0], order[1] if order[1:] == ["row_id"] else None)
     near = with_previous(rows, group, order, [*own, "_one"])
     same = F.col("prev__one").isNotNull()
     for k in own:
@@ -189,7 +204,7 @@ def diagram_elements(df: DataFrame, definition: dict, content: str = "message")
     """
     hits = diagram_hits(df, definition, content)
     switch = F.col("type").isin("activate", "deactivate")
-    switches = with_previous(ranged(hits.where(switch & (F.col("from_id") != "")), "log_time"), ["from_id"], ["log_time", "row_id", "rule_no"], ["type"])
+    switches = with_previous(ranged(hits.where(switch & (F.col("from_id") != "")), "log_time", "row_id"), ["from_id"], ["log_time", "row_id", "rule_no"], ["type"])
     shown = switches.where((F.col("type") == "activate") | (F.col("prev_type") == "activate"))
     return hits.where(~switch).unionByName(shown.select(hits.columns))
 

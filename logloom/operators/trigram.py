@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.plans.search import SEARCHED, any_contains
@@ -21,9 +23,30 @@ def build_trigrams(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pieces).alias("tri"), "row_id").where(~F.col("tri").contains("\u0001"))
 
 
-def save_trigrams(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """The index as Parquet, partitioned by a bucket of the trigram: a search reads the buckets of its trigrams."""
-    build_trigrams(df).withColumn("bucket", F.pmod(F.xxhash64("tri"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+#: Buckets of a saved index, and tasks that share the postings of a bucket: a common trigram is in nearly every row.
+BUCKETS, SALTS = 64, 16
+
+
+def save_trigrams(df: DataFrame, path: str, from_id: int | None = None, to_id: int | None = None) -> None:
+    """The index of the rows with ids in [from_id, to_id) as Parquet, partitioned by a bucket of the trigram: a search reads the buckets of its trigrams.
+
+    Each range of ids is a folder that is written over when the range is built
+    again, so building goes on where it stopped (see ``indexed_ranges``).
+    """
+    low, high = from_id or 0, 2**63 - 1 if to_id is None else to_id
+    rows = build_trigrams(df.where((F.col("row_id") >= low) & (F.col("row_id") < high)))
+    rows = rows.withColumn("bucket", F.pmod(F.crc32("tri"), F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/ids={low}-{high}")
+
+
+def load_trigrams(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def indexed_ranges(spark: SparkSession, path: str) -> list[str]:
+    """Ranges of ids (``low-high``) whose index is complete, by their success marks; only names are listed."""
+    done = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(path)
+    return sorted(r["ids"] for r in done.select(F.regexp_extract("path", r"/ids=([^/]+)/", 1).alias("ids")).distinct().toLocalIterator())
 
 
 def search_indexed(df: DataFrame, trigrams: DataFrame, term: str) -> DataFrame:
@@ -32,6 +55,8 @@ def search_indexed(df: DataFrame, trigrams: DataFrame, term: str) -> DataFrame:
     if len(low) < MIN_TERM:
         return df.where(any_contains(term))
     wanted = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if "bucket" in trigrams.columns:
+        trigrams = trigrams.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in wanted})))
     hits = trigrams.where(F.col("tri").isin(wanted)).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("row_id")
     return df.join(hits, "row_id", "left_semi").where(any_contains(term))
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that all nodes share: spark.checkpoint.dir. One of our own only where that is unset and all tasks run in this process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="logloom-"))
     return named or spark.sparkContext.getCheckpointDir()

@@ -81,8 +81,9 @@ def enabled(section: dict) -> list[dict]:
 
 
 def java_groups(pattern: str) -> str:
-    """Named groups with names that Java takes: letters and digits only."""
-    return re.sub(r"\(\?P?<([A-Za-z_]\w*)>", lambda m: f"(?<{java_group(m[1])}>", pattern)
+    """Named groups, and references to them, with names that Java takes: letters and digits only."""
+    named = re.sub(r"\(\?P?<([A-Za-z_]\w*)>", lambda m: f"(?<{java_group(m[1])}>", pattern)
+    return re.sub(r"\\k<([A-Za-z_]\w*)>", lambda m: f"\\k<{java_group(m[1])}>", named)
 
 
 def java_group(name: str) -> str:
@@ -108,48 +109,46 @@ def compiles(pattern: str) -> bool:
     return _compiled[pattern]
 
 
+#: What a pattern may have for ``required_sign`` to look at it: characters that stand for themselves, classes without nesting, groups, quantifiers.
+_PLAIN_GROUP = re.compile(r"\((?:\?:|\?=|\?!|\?P?<[A-Za-z_]\w*>)?")
+_PLAIN_CLASS = re.compile(r"\[\^?(?:\\[^pPQEkcxu0]|[^\[\]\\&])+\]")
+_PLAIN_ESCAPE = re.compile(r"\\[wWsSdDbB.@:/()\[\]{}|+*?^$-]")
+
+
 def required_sign(pattern: str) -> str | None:
     """A sign, neither letter nor digit, that every match of a pattern must hold; None if none is plain to see.
 
     Texts without it need no regular expression, which saves the steps that a
-    pattern such as an e-mail address takes from each letter of each word.
+    pattern such as an e-mail address takes from each letter of each word. Only
+    patterns made of plain parts are looked at: one with a back-reference, a
+    quotation, a nested class or a flag has no required sign.
     """
-    i, found = 0, None
+    i, depth, found = 0, 0, None
     while i < len(pattern):
-        c, width, literal = pattern[i], 1, None
+        c, literal = pattern[i], None
         if c == "\\":
-            width = 2
-            literal = pattern[i + 1 : i + 2] if not pattern[i + 1 : i + 2].isalnum() else None
-        elif c == "|":
-            return None
+            m = _PLAIN_ESCAPE.match(pattern, i)
+            literal = m[0][1] if m and not m[0][1].isalnum() else None
         elif c == "[":
-            m = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[i:])
-            if not m:
-                return None
-            width = m.end()
+            m = _PLAIN_CLASS.match(pattern, i)
         elif c == "(":
-            depth, j = 0, i
-            while j < len(pattern):
-                if pattern[j] == "\\":
-                    j += 1
-                elif pattern[j] == "[":
-                    m = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[j:])
-                    j += m.end() - 1 if m else 0
-                else:
-                    depth += {"(": 1, ")": -1}.get(pattern[j], 0)
-                    if not depth:
-                        break
-                j += 1
-            width = j - i + 1
-        elif c not in ".^$?*+{}":
-            literal = c
-        elif c == "{":
-            width = max(1, pattern.find("}", i) - i + 1)
-        after = pattern[i + width : i + width + 1]
-        if literal and not literal.isalnum() and not literal.isspace() and literal not in "#_" and after not in ("?", "*", "{") and found is None:
+            m = _PLAIN_GROUP.match(pattern, i)
+            if m and pattern[m.end() : m.end() + 1] == "?":
+                return None
+            depth += 1
+        else:
+            m = re.compile(r"\{\d+(?:,\d*)?\}|.", re.DOTALL).match(pattern, i)
+            if c == "|" and not depth:
+                return None
+            depth -= c == ")"
+            literal = c if c not in ".^$?*+{}()|" else None
+        if not m or depth < 0:
+            return None
+        after = pattern[m.end() : m.end() + 1]
+        if literal and not depth and not literal.isalnum() and not literal.isspace() and literal not in "#_]" and after not in ("?", "*", "{") and found is None:
             found = literal
-        i += width
-    return found
+        i = m.end()
+    return found if not depth else None
 
 
 def guarded(column: Column, pattern: str, hit: Column, other: Column) -> Column:

@@ -85,17 +85,32 @@ class FilterSpec:
         return out
 
 
+def _large_sets(df: DataFrame, spec: FilterSpec) -> list[tuple[str, DataFrame]]:
+    """Column and table (value, lower case, each once) of the OR-sets that are too large for the plan."""
+    named = (("provider", spec.providers), ("task_name", spec.task_names), ("source", spec.sources))
+    return [(c, df.sparkSession.createDataFrame([(v.lower(),) for v in sorted(values)], "value string").distinct()) for c, values in named if len(values) >= LARGE_SET]
+
+
 def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
     """Rows that pass every part of the spec; large OR-sets are semi-joined."""
     conditions = spec.conditions()
     out = df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
-    for c, values in (("provider", spec.providers), ("task_name", spec.task_names), ("source", spec.sources)):
-        if len(values) >= LARGE_SET:
-            table = df.sparkSession.createDataFrame([(v.lower(),) for v in sorted(values)], "value string").distinct()
-            out = out.join(table, F.lower(c) == F.col("value"), "left_semi")
+    for c, table in _large_sets(df, spec):
+        out = out.join(table, F.lower(c) == F.col("value"), "left_semi")
     return out
 
 
+def with_hit(df: DataFrame, spec: FilterSpec, name: str = "_hit") -> DataFrame:
+    """All rows with a boolean that tells those that ``apply_filters`` would keep."""
+    conditions = spec.conditions()
+    hit, out = F.coalesce(reduce(lambda a, b: a & b, conditions), F.lit(False)) if conditions else F.lit(True), df
+    for i, (c, table) in enumerate(_large_sets(df, spec)):
+        mark = f"_in_set{i}"
+        out = out.join(table.select(F.col("value").alias(mark)), F.lower(c) == F.col(mark), "left")
+        hit = hit & F.col(mark).isNotNull()
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(name))
+
+
 def filter_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
     """Conditions of a user, applied in order."""
     return reduce(lambda d, c: d.where(c), conditions, df)

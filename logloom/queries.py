@@ -254,9 +254,10 @@ def facets_task(spark, sf_dir):
     return analysis.facets(event_rows(spark, sf_dir), "taskName", 3)
 
 
-@query("facets_none", f"WITH {EV} SELECT '(none)' AS value, count(*) AS n FROM ev")
+@query("facets_none", f"WITH {EV} SELECT CASE WHEN task_name = 'click' THEN 'Web' ELSE '(none)' END AS value, count(*) AS n FROM ev GROUP BY 1")
 def facets_none(spark, sf_dir):
-    return analysis.facets(event_rows(spark, sf_dir), "channel")
+    rows = event_rows(spark, sf_dir).withColumn("channel", F.when(F.col("task_name") == "click", "Web").otherwise(""))
+    return analysis.facets(rows, "channel")
 
 
 @query("time_range", f"WITH {EV} SELECT strftime(min(log_time), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(log_time), '%Y-%m-%d %H:%M:%S') AS last_time FROM ev")
@@ -491,7 +492,9 @@ def quick_rule(spark, sf_dir):
     return rules.quick_rule(event_rows(spark, sf_dir), r"user=(\d+)", 1, "process_id", True).select("row_id", "process_id", "message")
 
 
-@query("auto_rules", f"WITH {DL} SELECT * FROM (VALUES (0, 'always.json'), (1, 'logs.json'), (3, 'german.json')) AS v(no, rule_file)")
+@query("auto_rules", f"""WITH {DL} SELECT 0 AS no, 'always.json' AS rule_file UNION ALL SELECT 1, 'logs.json' WHERE EXISTS (SELECT 1 FROM dl WHERE ends_with(source, '.log'))
+    UNION ALL SELECT 2, 'none.json' WHERE EXISTS (SELECT 1 FROM dl WHERE ends_with(source, '.etl'))
+    UNION ALL SELECT 3, 'german.json' WHERE EXISTS (SELECT 1 FROM dl WHERE regexp_matches(source, '^src.*[.]log$')) AND EXISTS (SELECT 1 FROM dl WHERE provider = 'de')""")
 def auto_rules(spark, sf_dir):
     entries = [
         {"ruleFile": "always.json", "always": True}, {"ruleFile": "logs.json", "extensions": ["txt", ".LOG"], "sourceTypes": ["Text"]}, {"ruleFile": "none.json", "pathGlobs": ["*.etl"]},
@@ -671,7 +674,18 @@ def dedupe_elements(spark, sf_dir):
     return sequence.dedupe_elements(sequence.diagram_elements(event_rows(spark, sf_dir), DIAGRAM)).select("type", "from_id", "text", "n")
 
 
-@query("capped_sequence")
+@query(
+    "capped_sequence",
+    r"""WITH t AS (SELECT conv_id, turn, role AS a, CASE WHEN length(l) > 80 THEN left(l, 79) || '…' WHEN l = '' THEN '(event)' ELSE l END AS l FROM
+        (SELECT conv_id, turn, role, trim(regexp_replace(translate(coalesce(text, ''), chr(13) || chr(10) || ';#', '  , '), ' +', ' ', 'g')) AS l FROM conversations WHERE trim(coalesce(role, '')) <> '')),
+    c AS (SELECT *, CASE WHEN a IS NOT DISTINCT FROM lag(a) OVER w AND l IS NOT DISTINCT FROM lag(l) OVER w THEN 0 ELSE 1 END AS changed FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT *, sum(changed) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),
+    g AS (SELECT conv_id, run, min(a) AS a, min(l) AS l, count(*) AS n FROM r GROUP BY 1, 2),
+    s AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY run) AS before, sum(n) FILTER (WHERE run > 2) OVER (PARTITION BY conv_id) AS rest FROM g)
+    SELECT CAST(conv_id AS VARCHAR) AS activity_id, CAST(run AS BIGINT) AS seq, CASE WHEN run > 2 OR before IS NULL THEN 'note' ELSE 'message' END AS kind, CASE WHEN run <= 2 THEN before END AS from_actor,
+        CASE WHEN run > 2 THEN before ELSE a END AS to_actor, CASE WHEN run > 2 THEN '… ' || CAST(rest AS BIGINT) || ' more events (truncated)' ELSE l END AS label, CASE WHEN run > 2 THEN 1 ELSE n END AS n
+    FROM s WHERE run <= 3""",
+)
 def capped_sequence(spark, sf_dir):
     rows = sequence.interactions(conversation_rows(spark, sf_dir), "provider", "message", ["activity_id"], ["row_id"])
     return sequence.cap_sequence(rows, ["activity_id"], 2)

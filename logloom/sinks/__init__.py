@@ -114,10 +114,19 @@ def run_output_rules(df: DataFrame, sections: list[dict], output: str = "output"
     return paths
 
 
+#: Rows of a file of the store.
+MAX_RECORDS = 5_000_000
+
+
 def save_events(df: DataFrame, path: str) -> None:
-    """Events as the queryable store: Parquet by day, so that time filters prune folders."""
+    """Events as the queryable store: Parquet by day, so that time filters prune folders.
+
+    Tasks take ranges of (day, time, id) of about equal size, so a busy day, or all the rows
+    without a time, are as many tasks as they are large, and a file has few days.
+    """
     day = F.coalesce(F.to_date("log_time"), F.lit("1970-01-01").cast("date"))
-    df.withColumn("log_date", day).repartition("log_date", F.pmod(F.xxhash64("row_id"), F.lit(16))).sortWithinPartitions("log_time", "row_id").write.mode("overwrite").partitionBy("log_date").parquet(path)
+    ranged = df.withColumn("log_date", day).repartitionByRange("log_date", "log_time", "row_id").sortWithinPartitions("log_date", "log_time", "row_id")
+    ranged.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS).partitionBy("log_date").parquet(path)
 
 
 def load_events(spark, path: str) -> DataFrame:

@@ -51,8 +51,14 @@ def rebase_source(df: DataFrame, root: str, label: str) -> DataFrame:
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
-    """All events of several sources."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [as_events(p) for p in parts])
+    """All events of several sources. Ids stay unique: the part's number stands in the bits above the ids that its rows have.
+
+    A part's own ids must be below 2 ** (63 - bits) for as many bits as number the parts; load-order ids and
+    those of ``monotonically_increasing_id`` are, up to a thousand parts. One part alone keeps its ids.
+    """
+    bits = (len(parts) - 1).bit_length()
+    shifted = [as_events(p).withColumn("row_id", F.col("row_id").bitwiseOR(F.lit(i << (63 - bits)))) if i else as_events(p) for i, p in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted)
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

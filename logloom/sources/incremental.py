@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.plans.durable import cut
 from logloom.sources.folder import list_files, union_sources
 
 #: Changes of the event schema make stored loads unusable.
@@ -26,25 +27,29 @@ def new_files(files: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def ingest_incremental(spark: SparkSession, path: str, store: str, reader, rules_key: str = "") -> int:
-    """Appends the events of new and changed files to ``store``/events and returns how many files that were.
+    """Adds the events of new and changed files to ``store``/events and returns how many files that were.
 
-    A changed file's old rows stay behind under its old signature: ``read_store`` shows the newest signature of every path.
+    The load's folder is named by a hash of its files' signatures and written over when the load is repeated, so a
+    failure before the manifest is written leaves neither gaps nor doubles. A changed file's old rows stay behind under its
+    old signature: ``read_store`` shows the newest signature of every path. The list of new files is
+    written as a table; to the driver come their paths alone, which the reader needs.
     """
     now = list_files(spark, path).select("path", "length", F.col("modificationTime").alias("modified"), F.lit(SCHEMA_VERSION).alias("version"), F.lit(rules_key).alias("rules"))
-    fresh = new_files(now, manifest(spark, store)).orderBy("path").collect()  # one row per new file
-    if not fresh:
+    fresh = cut(new_files(now, manifest(spark, store)))
+    paths = sorted(r["path"] for r in fresh.select("path").toLocalIterator())
+    if not paths:
         return 0
-    events = union_sources([reader(spark, [f["path"] for f in fresh])])
-    signed = spark.createDataFrame(fresh, _MANIFEST)
     key = F.xxhash64("path", "length", "modified", "version", "rules")
-    marks = signed.select(F.col("path").alias("source"), key.alias("load"))
-    events.join(F.broadcast(marks), "source").write.mode("append").parquet(f"{store}/events")
-    signed.write.mode("append").parquet(f"{store}/manifest")
-    return len(fresh)
+    marks = fresh.select(F.col("path").alias("source"), key.alias("load"))
+    batch = fresh.agg(F.bit_xor(key).alias("batch")).first()["batch"]
+    events = union_sources([reader(spark, paths)])
+    events.join(marks, "source").write.mode("overwrite").parquet(f"{store}/events/batch={batch}")
+    fresh.write.mode("append").parquet(f"{store}/manifest")
+    return len(paths)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Stored events of the newest load of every file."""
     key = F.xxhash64("path", "length", "modified", "version", "rules")
     newest = manifest(spark, store).groupBy("path").agg(F.max_by(key, "modified").alias("load")).select("load")
-    return spark.read.parquet(f"{store}/events").join(newest, "load", "left_semi").drop("load")
+    return spark.read.parquet(f"{store}/events").join(newest, "load", "left_semi").drop("load", "batch")

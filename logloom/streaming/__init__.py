@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import line_level, line_time
@@ -11,7 +12,7 @@ from logloom.model import as_events
 
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Events of a growing folder of text logs. The id is a hash of file and line: a stream has no load order."""
+    """Events of a growing folder of text logs. The id is a hash of file and line: a stream has no load order; ``ingest`` tells a file's equal lines apart."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
     v = F.col("value")
     return as_events(
@@ -21,15 +22,22 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     )
 
 
+def number_repeats(batch: DataFrame) -> DataFrame:
+    """A batch in which rows with equal ids (equal lines of one file) have ids of their own: the first keeps it, the n-th hashes it with n."""
+    number = F.row_number().over(W.partitionBy("row_id").orderBy("log_time"))
+    return batch.withColumn("_n", number).withColumn("row_id", F.when(F.col("_n") == 1, F.col("row_id")).otherwise(F.xxhash64("row_id", "_n"))).drop("_n")
+
+
 def ingest(events: DataFrame, store: str, checkpoint: str, enrich=None, available_now: bool = True):
     """Starts appending a stream to a Parquet store, each batch through ``enrich``; batch queries over the store see what has arrived.
 
-    A batch writes into a folder of its own and overwrites it when it is repeated, so a
+    A file is taken by one batch, so equal lines of a file are numbered within the batch. A batch writes into a folder of its own and overwrites it when it is repeated, so a
     restart leaves neither gaps nor doubles.
     """
 
     def batch(df: DataFrame, no: int) -> None:
-        (enrich(df) if enrich else df).write.mode("overwrite").parquet(f"{store}/batch={no}")
+        rows = number_repeats(df)
+        (enrich(rows) if enrich else rows).write.mode("overwrite").parquet(f"{store}/batch={no}")
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -69,7 +69,7 @@ def test_reports(spark):
 
 def test_stored_index(spark, tmp_path):
     df = synthetic_logs(spark, 500, 2)
-    trigram.save_trigrams(df, str(tmp_path / "tri"), 8)
+    trigram.save_trigrams(df, str(tmp_path / "tri"))
     stored = spark.read.parquet(str(tmp_path / "tri"))
     assert sorted(r.row_id for r in trigram.search_indexed(df, stored, "NEEDLE").collect()) == [0]
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+import logloom.queries_files  # noqa: F401
 from logloom.queries import ORACLE, QUERIES
 from tests.oracle import assert_same, tables
 

@@ -4,6 +4,9 @@ import datetime as dt
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logloom import sinks
 from logloom.functions.parse import parse_span, rule_date
@@ -138,3 +141,32 @@ def test_sinks(spark, tmp_path):
     assert any("say &quot;hi&quot;" in r.value for r in spark.read.text(str(tmp_path / "html")).collect())
     paths = sinks.run_output_rules(df, [{"rules": [{"name": "o", "match": "two", "actions": [{"type": "output", "format": "json", "path": f"{tmp_path}/{{date}}", "tag": "t", "fields": ["message"]}]}]}])
     assert [r.message for r in spark.read.json(paths[0]).collect()] == ["two"] and "{" not in paths[0]
+
+
+_PARTS = st.sampled_from(["a", "b", "x", "@", "-", "_", ".", ":", r"\.", r"\w", r"\d", "[a-c]", "[^@]", r"[\w&&[^_]]", "(a)", "(?:b@)", "(?<q>a)", r"\k<q>", "(a|@)", "|", "?", "*", "+", "{2}", r"\Q", r"\E", "^", "$", r"\b", "(?i)", "(?x)", "(?=a)", "(?!@)"])
+_TEXTS = ["", "a", "b@", "a@b", "aa", "a-b", "x.y", "a:b@c", "_", "aab", "ab ab", "x@", "-", "a_b", "@@", "b.b", ":", "aa@aa", "abx"]
+
+
+def test_guard_changes_no_match(spark):
+    """Random patterns over random texts: the guarded regular expression finds what the plain one does."""
+    patterns = set()
+
+    @settings(max_examples=250, deadline=None, database=None, derandomize=True)
+    @given(st.lists(_PARTS, min_size=1, max_size=5))
+    def draw(parts):
+        patterns.add("".join(parts))
+
+    draw()
+    fit = [p for p in sorted(patterns) if required_sign(p) and compiles("(?iu)" + java_groups(p))]
+    assert len(fit) > 15
+    rows = spark.createDataFrame([(t,) for t in _TEXTS], "t string")
+    plain = lambda p: F.coalesce(F.col("t").rlike("(?iu)" + java_groups(p)), F.lit(False))
+    for i in range(0, len(fit), 60):
+        differ = [F.count_if(regex_or_contains(F.col("t"), p) != plain(p)).alias(f"p{j}") for j, p in enumerate(fit[i : i + 60])]
+        found = rows.agg(*differ).first()
+        assert not any(found), [fit[i + j] for j, n in enumerate(found) if n]
+
+
+@pytest.mark.parametrize("pattern", [r"(?<q>a)\k<q>", r"[\w&&[^_]]+x", r"\Qa@\E", "(?x) a # @", "a@?b", "a|@"])
+def test_no_sign_is_required(pattern):
+    assert required_sign(pattern) is None
