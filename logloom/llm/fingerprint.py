@@ -43,17 +43,23 @@ def _lower_bound(run: Column, steps: Column, key: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(run, lo + s - 1) < key, lo + s).otherwise(lo))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``, array<int>: bin number and tuple hash of each bin that has elements, by bin."""
-    t, n = F.col(text), F.char_length(F.col(text))
+def packed_kmers(text: Column, first: Column | None = None) -> Column:
+    """Hash and place of every k-mer in one long each; ``first`` is the place of the text's first character, if it is the rest of another."""
+    n, alone = F.char_length(text), F.lit(True) if first is None else first == 0
+    kmers = F.when(n >= K, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{K}}}))."), F.lit(1))).when((n > 0) & alone, F.array(text)).otherwise(F.array().cast("array<string>"))
+    place = lambda i: (i if first is None else i + first).cast("long")
+    return F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x), _POS_BITS).bitwiseOR(place(i)))
+
+
+def with_fingerprint(df: DataFrame, packed: Column, out: str) -> DataFrame:
+    """Adds ``out``, array<int>, of a text's ``packed_kmers``: bin number and tuple hash of each bin that has elements, by bin."""
     at, rank = (1 << _POS_BITS) - 1, (1 << _RANK_BITS) - 1
     c = {x: f"_{out}_{x}" for x in ("run", "again", "heads", "steps", "lows", "sel", "ord")}
     col = lambda x: F.col(c[x])
     none = F.array().cast("array<int>")
 
-    # Every k-mer as hash and place in one long, sorted: bins side by side, copies in text order.
-    kmers = F.when(n >= K, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{K}}}))."), F.lit(1))).when(n > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn(c["run"], F.sort_array(F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x), _POS_BITS).bitwiseOR(i.cast("long")))))
+    # Sorted, bins are side by side, and copies of a k-mer in text order.
+    df = df.withColumn(c["run"], F.sort_array(packed))
 
     # Copies, and where the copies of each k-mer begin; the n-th copy is element (k-mer, n).
     df = df.withColumn(c["again"], F.filter(c["run"], lambda v, j: _same_kmer(v, F.get(col("run"), j - 1))))
@@ -67,7 +73,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(c["steps"], F.slice(halves, -bits, bits))
     copy = lambda v, number: F.shiftleft(F.xxhash64(F.shiftright(v, _POS_BITS), number), _POS_BITS).bitwiseOR(v.bitwiseAND(F.lit(at)))
     until = lambda i: F.coalesce(F.get(col("heads"), i + 1), many)
-    copies = F.flatten(F.transform(c["heads"], lambda s, i: F.transform(F.sequence(s, until(i) - 1), lambda j: copy(F.get(col("again"), j), j - s + 1))))
+    each = lambda s, i: F.transform(F.sequence(s, until(i) - 1), lambda j: copy(F.get(col("again"), j), j - s + 1))
+    numbered = lambda s, i: F.when(until(i) - s == 1, F.array(copy(F.get(col("again"), s), F.lit(1)))).otherwise(each(s, i))
+    copies = F.flatten(F.transform(c["heads"], numbered))
 
     # First occurrences: in sorted order the smallest of a bin, and the next of another k-mer.
     bounds = F.array(*[F.lit((b - BINS // 2) << (64 - _BIN_BITS)) for b in range(BINS)])
@@ -125,13 +133,13 @@ def _constants(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
-def with_next(df: DataFrame, columns: list[str], tie: Column) -> DataFrame:
-    """Adds next_<column>: the column of the next row in descending order of doc_id (nulls last), then ascending order of ``tie``, a long hash; the last row's next is the first.
+def dealt_with_next(df: DataFrame, tie: Column) -> tuple[DataFrame, W]:
+    """(rows with ``_slot``, ``_copy`` and ``_tie``, window) for leads over the order of descending doc_id (nulls last), then ascending ``tie``, a long hash; the last row's next is the first.
 
     Rows are dealt into ranges of this order: ranges of doc_id, and for a
     doc_id (or null) that many rows share, ranges of the hash. Each
     range also gets a copy of the first row of the range after it, so that a
-    window within the range finds every next row. One shuffle, no window over all rows,
+    window within the range finds every next row; copies are to be dropped afterwards. One shuffle, no window over all rows,
     and on the driver no more than a few numbers per range.
     """
     spark = df.sparkSession
@@ -150,42 +158,55 @@ def with_next(df: DataFrame, columns: list[str], tie: Column) -> DataFrame:
     steps = F.array(*[F.lit(1 << b) for b in range(max(1, len(bounds)).bit_length(), -1, -1)])
     limits = _constants(bounds)
     below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(limits, lo + s - 1) < F.col("doc_id")), lo + s).otherwise(lo))
-    by_hash = lambda n: F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
+    by_hash = lambda n: F.least(F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
     n_parts = F.get(_constants(parts), F.col("_range"))
     sub = F.when(n_parts == 0, 0).when(F.col("doc_id") == F.get(limits, F.col("_range")), by_hash(n_parts)).otherwise(n_parts)
     place = F.when(F.col("doc_id").isNull(), slot + by_hash(F.lit(null_parts))).otherwise(F.get(_constants(bases), F.col("_range")) + sub).cast("int")
-    dealt = df.withColumn("_range", below).withColumn("_slot", place).drop("_range")
+    dealt = df.withColumn("_tie", tie).withColumn("_range", below).withColumn("_slot", place).drop("_range")
     firsts = (
-        dealt.select("_slot", "doc_id", F.bitwise_not(tie).alias("tie"))
+        dealt.select("_slot", "doc_id", F.bitwise_not("_tie").alias("tie"))
         .groupBy("_slot").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
         .select("_slot", "first.doc_id", "first.tie").orderBy("_slot").collect()
     )
+    order = W.partitionBy("_slot").orderBy("_copy", F.desc_nulls_last("doc_id"), "_tie")
     if not firsts:
-        return dealt.drop("_slot").withColumns({f"next_{c}": F.col(c) for c in columns})
+        return dealt.withColumn("_copy", F.lit(False)), order
     # The first row of each range goes to the range before it; the first of all to the last range.
     last = firsts[-1]["_slot"]
     first_id, first_tie, before = [0] * (last + 1), [0] * (last + 1), [0] * (last + 1)
     for i, r in enumerate(firsts):
         first_id[r["_slot"]], first_tie[r["_slot"]], before[r["_slot"]] = r["doc_id"] or 0, ~r["tie"], firsts[i - 1]["_slot"]
     at = lambda values: F.get(_constants(values), F.col("_slot"))
-    heads = dealt.where((tie == at(first_tie)) & (F.col("doc_id").isNull() | (F.col("doc_id") == at(first_id))))
+    heads = dealt.where((F.col("_tie") == at(first_tie)) & (F.col("doc_id").isNull() | (F.col("doc_id") == at(first_id))))
     copies = heads.withColumn("_slot", at(before).cast("int"))
-    both = dealt.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
-    order = W.partitionBy("_slot").orderBy("_copy", F.desc_nulls_last("doc_id"), tie)
-    found = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return found.where(~F.col("_copy")).drop("_copy", "_slot")
+    return dealt.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True))), order
+
+
+def with_next(df: DataFrame, columns: list[str], tie: Column) -> DataFrame:
+    """Adds next_<column>: the column of the next row in the order of ``dealt_with_next``."""
+    dealt, order = dealt_with_next(df, tie)
+    found = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    return found.where(~F.col("_copy")).drop("_copy", "_slot", "_tie")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint columns of every row of ``docs`` (doc_id, text) and of its edited text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    printed = with_fingerprint(rows, "text", "fp")
-    near = with_next(printed, ["text", "fp"], F.xxhash64("text"))
+    dealt, order = dealt_with_next(rows, F.xxhash64("text"))
+    near = dealt.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
-    done = with_fingerprint(near.withColumn("edited", edited), "edited", "edited_fp")
+    own = (F.col("n_chars") - half).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), own), F.substring(F.col("next_text"), F.lit(1), half))
+    near = near.withColumns({"edited": edited, "kmers": packed_kmers(F.col("text"))}).withColumn("sha", F.sha2("edited", 256))
+    # The edited text's k-mers are the text's own up to the edit, and those of the rest.
+    kept = F.greatest(own - K + 1, F.lit(0))
+    rest = packed_kmers(F.substring(F.col("edited"), kept + 1, F.lit(2**31 - 1)), kept)
+    both = F.concat(F.slice("kmers", F.lit(1), kept), rest)
+    near = near.select("doc_id", "n_chars", "sha", "kmers", both.alias("edited_kmers"), "_slot", "_copy", "_tie")
+    done = with_fingerprint(with_fingerprint(near, F.col("kmers"), "fp").drop("kmers"), F.col("edited_kmers"), "edited_fp").drop("edited_kmers")
+    done = done.withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("_copy"))
     return done.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

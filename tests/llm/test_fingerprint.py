@@ -26,7 +26,7 @@ def test_query(spark, sf_dir, documents):
 
 
 def prints(spark, texts):
-    df = fingerprint.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "fp")
+    df = fingerprint.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), fingerprint.packed_kmers(F.col("t")), "fp")
     return [r.fp for r in df.orderBy("i").collect()]
 
 
@@ -89,7 +89,7 @@ def test_one_more_character(spark):
     rng, sizes = random.Random(4), [*range(760, 781, 4), *range(1530, 1546, 3), *range(3070, 3086, 3)]
     texts = [words(rng, n) for n in sizes]
     df = spark.createDataFrame([(i, t, t + "z") for i, t in enumerate(texts)], "i int, t string, u string")
-    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "t", "one"), "u", "two")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, fingerprint.packed_kmers(F.col("t")), "one"), fingerprint.packed_kmers(F.col("u")), "two")
     assert all(r.like > 0.95 for r in df.select(fingerprint.likeness(F.col("one"), F.col("two")).alias("like")).collect())
 
 
@@ -103,6 +103,22 @@ def test_next_of_equal_ids(spark):
     assert got == dict(zip(ordered, ordered[1:] + ordered[:1]))
 
 
+def test_edited_text_has_its_own_fingerprint(spark, sf_dir, odd):
+    """The k-mers put together from the text's own and the rest's are those of the edited text, at all lengths."""
+    short = spark.createDataFrame([(i, ("abcdefghijklmnopqrstuvwxyz" * 2)[i : i + n]) for i, n in enumerate([*range(0, 24), 40, 3, 0, 30, 0, 9])], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    for df in (short, docs):
+        rows = sorted(((r.doc_id, r.text) for r in df.collect()), reverse=True)
+        edits = [t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2] for i, (_, t) in enumerate(rows)]
+        direct = prints(spark, [t for _, t in rows] + edits)
+        expected = {k: [fingerprint_text(direct[i]), fingerprint_text(direct[len(rows) + i])] for i, (k, _) in enumerate(rows)}
+        assert {r.doc_id: [r.fingerprint, r.edited_fingerprint] for r in fingerprint.fingerprints(df).collect()} == expected
+
+
+def fingerprint_text(fp):
+    return "".join(f"{v + (1 << 31):08X}" for v in fp)
+
+
 def test_odd(odd, empty):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == odd.count()
