@@ -41,7 +41,7 @@ from logloom.llm import bagminhash as bm
 from logloom.llm.common import arrow_map, cut
 
 #: Similarity of near duplicates; members of a tile's block, least and most, and blocks of a bucket between them.
-THRESHOLD, TILE, MAX_TILE, BLOCKS = 0.8, 256, 4096, 16
+THRESHOLD, TILE, MAX_TILE, BLOCKS = 0.8, 512, 4096, 16
 #: Share of all links from which on a node is a hub.
 HUB_SHARE = 0.001
 #: Below the threshold by this much an estimate still gets verified: four standard deviations of SLOTS slots.
