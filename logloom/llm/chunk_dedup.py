@@ -10,8 +10,8 @@ are passages that repeat. A passage loses about 16 words at its ends, which lie
 in chunks with other text: MIN_WORDS = 28 is for passages of over 50 words.
 
 Digests are counted with map-side partial aggregates of fixed size (a count, first and last row), so a chunk in a third of all texts is one partial
-row per task; only repeated digests go back to their chunks, in a join whose
-hot digests AQE splits. A text's hits are put together by the text's own row
+row per task; only repeated digests go back to their chunks: a Bloom filter of them, of
+bounded size, keeps most others from being shuffled, and a join whose hot digests AQE splits decides. A text's hits are put together by the text's own row
 key: their number is bounded by its length. The keeper of each digest is found the
 same way, among the chunks that lie in passages: overlapping passages and common lines
 inside them leave every chunk exactly one kept place.
@@ -33,13 +33,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map, cut
 
 #: Characters that the rolling hash sees; the distance within which a cut has the largest hash (41 characters a chunk on average); most characters of a chunk.
 WINDOW, RADIUS, MAX_CHARS = 16, 20, 1024
+#: Most bits of the filter of repeated digests (16 MB), bits and hash functions of a digest.
+FILTER_BITS, BITS_PER_DIGEST, HASHES = 1 << 27, 10, 4
 #: Words of a run from which on a passage counts as repeated.
 MIN_WORDS = 28
 
@@ -148,6 +151,44 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "row long, doc_id long, high array<long>, low array<long>, starts array<int>, words array<int>")
 
 
+def _places(high, low, i: int, bits: int):
+    """The i-th place of digests in a filter, of columns as of arrays: the halves of a digest are hashes already."""
+    mask = (1 << 31) - 1
+    one, two = (x.bitwiseAND(F.lit(mask)) if isinstance(x, Column) else x & mask for x in (low, high))
+    return (one + i * two) % bits
+
+
+def _digest_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
+    """Words and size of a Bloom filter of the repeated digests, of FILTER_BITS at most; a full one lets more chunks pass to the join, which decides."""
+    bits = min(FILTER_BITS, max(64, -(-repeated.count() * BITS_PER_DIGEST // 64) * 64))
+    places = repeated.select(F.explode(F.array(*[_places(F.col("high"), F.col("low"), i, bits) for i in range(HASHES)])).alias("place"))
+    found = places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()  # bits / 64 rows at most
+    words = np.zeros(bits // 64, dtype=np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return words, bits
+
+
+def _may_repeat(table: DataFrame, words: np.ndarray, bits: int) -> DataFrame:
+    """row, no, high, low of the chunks that pass the filter: few but the repeated ones are shuffled."""
+    shared = table.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        held = shared.value.view(np.uint64)
+        for b in batches:
+            high, low = (pc.list_flatten(b.column(c)).to_numpy(zero_copy_only=False) for c in ("high", "low"))
+            owner = pc.list_parent_indices(b.column("high")).to_numpy(zero_copy_only=False)
+            sizes = np.bincount(owner, minlength=b.num_rows)
+            no = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            passes = np.ones(len(owner), dtype=bool)
+            for i in range(HASHES):
+                at = _places(high, low, i, bits)
+                passes &= (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            row = b.column("row").to_numpy(zero_copy_only=False)[owner[passes]]
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(no[passes], pa.int32()), pa.array(high[passes], pa.int64()), pa.array(low[passes], pa.int64())], names=["row", "no", "high", "low"])
+
+    return arrow_map(table.select("row", "high", "low"), run, "row long, no int, high long, low long")
+
+
 def _in_passages(nos: list[int], highs: list[int], lows: list[int], counts: list[int], starts: list[int], words: list[int], min_words: int) -> list[tuple]:
     """(no, high, low, n, start, end, words) of the hits of one text that lie in runs of ``min_words`` or more."""
     out, run, n_words = [], [], 0
@@ -190,7 +231,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool
     single = table.select("row", "doc_id", F.posexplode(F.arrays_zip("high", "low")).alias("no", "d")).select("row", "doc_id", "no", "d.high", "d.low")
     counted = single.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
     repeated = counted.where("n > 1" if within else "first < last").select("high", "low", "n")
-    hits = single.select("row", "no", "high", "low").join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
+    repeated = cut(repeated)
+    hits = _may_repeat(table, *_digest_filter(repeated)).join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
     per_row = hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
     whole = per_row.join(table.select("row", "doc_id", "starts", "words"), "row").select(
         "row", "doc_id", F.col("hits.no").alias("nos"), F.col("hits.high").alias("highs"), F.col("hits.low").alias("lows"), F.col("hits.n").alias("counts"), "starts", "words"

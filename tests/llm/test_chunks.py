@@ -157,3 +157,10 @@ def test_odd(odd, empty):
     assert {r.doc_id for r in chunk_dedup.repeated_passages(odd, 5).collect()} == {1, 2, 5}
     assert chunk_dedup.repeated_passages(empty).count() == 0
     assert chunk_dedup.dedup_text(odd.where("doc_id > 4"), chunk_dedup.repeated_passages(empty)).count() == 5
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    docs, _ = planted(spark)
+    expected = sorted(map(repr, chunk_dedup.repeated_passages(docs).collect()))
+    monkeypatch.setattr(chunk_dedup, "FILTER_BITS", 64)
+    assert sorted(map(repr, chunk_dedup.repeated_passages(docs).collect())) == expected
