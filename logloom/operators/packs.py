@@ -14,10 +14,6 @@ PII = [
 # Phrases of crash and power events.
 CRASH = "Faulting application name:|stopped interacting with Windows|Fault bucket|unhandled exception|Application Hang|Application Error"
 POWER = "The Event log service was started|The Event log service was stopped|The previous system shutdown at|The system uptime is|rebooted without cleanly shutting down|The operating system started at|The operating system is shutting down|Kernel-Power|Kernel-Boot"
-# Shapes of servicing and setup log lines.
-_DAY = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
-_LEVEL = r",\s+(?:Info|Warning|Error|Verbose|Debug)\b"
-_BEHIND_LEVEL = r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})"
 
 
 def _pack(name: str, purpose: str, rules: list[dict]) -> dict:
@@ -37,12 +33,13 @@ PII_REDACT = _pack("PiiRedact", "filter", [_rule(f"redact-{n}", p, {"type": "red
 NOISE_FILTER = _pack("NoiseFilter", "filter", [_rule("exclude-debug", "DEBUG|TRACE|VERBOSE", {"type": "exclude"}, unmatch="ERROR|CRITICAL|FATAL")])
 CRASH_FILTER = _pack("CrashFilter", "filter", [_rule("keep-app-crashes", CRASH, {"type": "include"})])
 POWER_FILTER = _pack("PowerFilter", "filter", [_rule("keep-power-events", POWER, {"type": "include"})])
+# Shapes of servicing, setup and update log lines, in the packs from here on.
 DISM_FIELDS = _pack(
     "DismFields", "enrichment",
     [
-        _field("dism-line", _DAY, _DAY + r"(\.\d+)?", True, Source="DISM"),
+        _field("dism-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True, Source="DISM"),
         _field("dism-component", r"\bDISM\b", r"DISM\s+(?<comp>[A-Za-z][A-Za-z0-9 .]*?):", True, TaskName="{comp}"),
-        _field("dism-level", _LEVEL, _LEVEL, True),
+        _field("dism-level", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
         _field("dism-pid-tid", r"PID=\d+\s+TID=\d+", r"PID=(?<pid>\d+)\s+TID=(?<tid>\d+)", True, ProcessId="{pid}", ThreadId="{tid}"),
         _field("dism-bracket-pid-tid", r"^\[\d+\.\d+\]", r"^\[(?<pid>\d+)\.(?<tid>\d+)\]", True, ProcessId="{pid}", ThreadId="{tid}", Source="DISM"),
     ],
@@ -50,18 +47,18 @@ DISM_FIELDS = _pack(
 CBS_FIELDS = _pack(
     "CbsFields", "enrichment",
     [
-        _field("cbs-line", _DAY, _DAY + r"(\.\d+)?", True, Source="CBS"),
-        _field("cbs-level", _LEVEL, _LEVEL, True),
-        _field("cbs-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+(?:CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", _BEHIND_LEVEL + r"(?<comp>CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", True, TaskName="{comp}"),
+        _field("cbs-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True, Source="CBS"),
+        _field("cbs-level", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
+        _field("cbs-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+(?:CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})(?<comp>CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", True, TaskName="{comp}"),
         _field("cbs-hresult", r"\[HRESULT = 0x[0-9A-Fa-f]+", r"\[HRESULT = (?<hr>0x[0-9A-Fa-f]+)", False, EventId="{hr}"),
     ],
 )
 SETUP_FIELDS = _pack(
     "SetupFields", "enrichment",
     [
-        _field("setup-line", _DAY + _LEVEL, _DAY + r"(\.\d+)?", True),
-        _field("setup-level", _DAY + _LEVEL, _LEVEL, True),
-        _field("setup-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+[A-Z][A-Za-z0-9]{1,9}\s{2,}", _BEHIND_LEVEL + r"(?<comp>[A-Z][A-Za-z0-9]{1,9})(?=\s{2,})", True, TaskName="{comp}"),
+        _field("setup-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(?:Info|Warning|Error|Verbose|Debug)\b", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True),
+        _field("setup-level", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
+        _field("setup-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+[A-Z][A-Za-z0-9]{1,9}\s{2,}", r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})(?<comp>[A-Z][A-Za-z0-9]{1,9})(?=\s{2,})", True, TaskName="{comp}"),
         _field("setup-result", r"Result = 0x[0-9A-Fa-f]+", r"Result = (?<hr>0x[0-9A-Fa-f]+)", False, EventId="{hr}"),
         _field("setup-process", r"\[[A-Za-z0-9._-]+\.(?:exe|dll|sys)\]", r"\[(?<proc>[A-Za-z0-9._-]+\.(?:exe|dll|sys))\]\s?", True, TaskName="{proc}"),
     ],
