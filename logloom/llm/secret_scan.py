@@ -42,13 +42,14 @@ BASE = [
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 16, 0),
     ("hex", re.compile(r"[0-9a-f]{32,}"), lambda m: True, 0),
 ]
-#: Kinds of this operator's own, after the base kinds: publicly documented token shapes; the value's group, its least length and least number of distinct characters.
+#: Kinds of this operator's own, after the base kinds: publicly documented token shapes; the group of the span and of the value, its least length and least number of distinct characters.
+#: A web token is looked for once in each run of its characters, at the run's start: from every ``eyJ`` in a long run it would be read to the run's end again.
 OWN = [
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 16, 8),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----"), 0, 16, 8),
-    ("prefixed", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|ASIA)[A-Za-z0-9_-]{16,}"), 0, 16, 8),
-    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{8,128})@"), 1, 8, 5),
-    ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1, 16, 8),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]{8,}+){2})[A-Za-z0-9_-]*?(eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2})"), 1, 1, 16, 8),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----"), 0, 0, 16, 8),
+    ("prefixed", re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|ASIA)[A-Za-z0-9_-]{16,}"), 0, 0, 16, 8),
+    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{8,128})@"), 0, 1, 8, 5),
+    ("bearer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 0, 1, 16, 8),
 ]
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in OWN]
 #: What any own kind needs somewhere in the text.
@@ -66,11 +67,11 @@ def spans(text: str | None) -> list[tuple[int, int, int, str]]:
         if stands(m)
     ]
     if _HINT.search(text):
-        for no, (_, pattern, group, least, distinct) in enumerate(OWN, len(BASE)):
+        for no, (_, pattern, whole, group, least, distinct) in enumerate(OWN, len(BASE)):
             for m in pattern.finditer(text):
                 value = m.group(group)
                 if len(value) >= least and len(set(value)) >= distinct:
-                    found.append((m.start(), no, m.end(), value))
+                    found.append((m.start(whole), no, m.end(whole), value))
     return sorted(found, key=lambda x: x[:3])
 
 
