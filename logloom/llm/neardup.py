@@ -12,7 +12,10 @@
    (TILE to MAX_TILE members, BLOCKS of them in between, so that a member is copied into 16 tiles
    at most up to 65 000 members), a task gets two blocks, compares signatures, and verifies the
    pairs of different components whose estimated similarity is within
-   SLACK of the threshold. No pair of a tile leaves it but a found link.
+   SLACK of the threshold. No pair of a tile leaves it but a found link. A component
+   that fills a block has blocks of its own, which meet the blocks of the other members
+   but not each other: a huge group of near copies and a few strangers in its bucket
+   are as many tiles as the group has blocks, a member of the group in one of them.
 4. Components of all links are the classes.
 
 So no link between nodes that share a bucket is lost, but for the slack of the
@@ -209,12 +212,17 @@ def _tile_links(nodes: list[int], sides: list[int], labels: list[int], bags: lis
 
 
 def tile_links(open_members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between different components in ``open_members`` (band, n, node, label)."""
+    """Links (a, b) between different components in ``open_members`` (band, n, node, label, main, n_main); main is the component with most members."""
     tile = F.least(F.greatest(F.col("n") / BLOCKS, F.lit(TILE)), F.lit(MAX_TILE))
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
-    tiles = open_members.withColumn("blocks", blocks).withColumn("mine", mine)
-    tiles = tiles.join(bags, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = F.when(F.col("n_main") >= tile, F.col("n_main")).otherwise(0)
+    mixed, own = F.ceil((F.col("n") - apart) / tile).cast("int"), F.ceil(apart / tile).cast("int")
+    draw, in_main = F.xxhash64("node", "band"), (F.col("own") > 0) & F.col("label").eqNullSafe(F.col("main"))
+    tiles = open_members.withColumns({"mixed": mixed, "own": own}).select(
+        "band", "node", "label",
+        F.when(in_main, F.col("mixed") + F.pmod(draw, F.greatest("own", F.lit(1)))).otherwise(F.pmod(draw, F.col("mixed"))).cast("int").alias("mine"),
+        F.when(in_main, F.col("mixed")).otherwise(F.col("mixed") + F.col("own")).alias("others"),
+    )
+    tiles = tiles.join(bags, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     tiles = tiles.select("band", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"), "mine", "node", "label", "bag", "signature")
     keyed = tiles.repartition("band", "ti", "tj").sortWithinPartitions("band", "ti", "tj")
 
@@ -265,7 +273,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Buckets of two are decided by their centre.
     labelled = members.where("n > 2").join(labels, "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label"))
     open_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-    more = cut(tile_links(labelled.join(open_bands, "band"), bags, threshold))
+    sizes = labelled.where(F.col("n") > TILE).groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    mains = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("m")).select("band", F.col("m.label").alias("main"), F.col("m.size").alias("n_main"))
+    more = cut(tile_links(labelled.join(open_bands.join(mains, "band", "left"), "band"), bags, threshold))
     labels = components(links.unionByName(more))
     labelled = nodes.join(labels, "node", "left").select("digest", "node", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))

@@ -86,6 +86,44 @@ def test_tiles_find_what_centres_miss():
     assert neardup._tile_links([1, 2, 3], [0, 0, 0], [7, 7, 3], bags, signatures, 0.8) == []
 
 
+def test_blocks_of_a_large_component(spark, monkeypatch):
+    """All pairs of different components meet in a tile; a large component's members are not copied against each other."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "MAX_TILE", 8)
+    texts = {i: " ".join(f"g{i // 10 if i < 60 else i}w{k}" for k in range(40)) for i in range(80)}
+    bags = [bm.bag(bm.word_hashes(t)) for t in texts.values()]
+    held = [(i, bytearray(neardup._bag_bytes(b)), bytearray(neardup._slots(s))) for i, b, s in zip(texts, bags, bm.signatures(bags))]
+    stored = spark.createDataFrame(held, "node long, bag binary, signature binary")
+
+    def links(labels, main):
+        n_main = sum(x == main for x in labels.values())
+        rows = [(5, len(labels), node, label, main if n_main else None, n_main or None) for node, label in labels.items()]
+        return neardup.tile_links(spark.createDataFrame(rows, "band long, n long, node long, label long, main long, n_main long"), stored)
+
+    def joined(labels, found):
+        parent = {x: x for x in labels.values()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in found:
+            x, y = sorted((find(labels[r.a]), find(labels[r.b])))
+            parent[y] = x
+        groups = defaultdict(set)
+        for node, label in labels.items():
+            groups[find(label)].add(node)
+        return sorted(map(sorted, groups.values()))
+
+    # Nodes 0-29 are one component though their texts are three groups; 30-59 are still apart, 60-79 are strangers.
+    labels = {i: 0 if i < 25 else i for i in range(80)}
+    want = sorted([list(range(30)), *[list(range(k, k + 10)) for k in (30, 40, 50)], *[[i] for i in range(60, 80)]])
+    assert joined(labels, links(labels, 0).collect()) == want
+    assert joined(labels, links(labels, -1).collect()) == want
+    assert links({i: 0 for i in range(25)} | {70: 70}, 0).count() == 0
+
+
 def test_bag_bytes():
     for text in ("a b c d e f g", "a a a a a a a a a", "", "x y", "a b a b a b a b a b " * 5):
         b = bm.bag(bm.word_hashes(text))
