@@ -151,17 +151,17 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "row long, doc_id long, high array<long>, low array<long>, starts array<int>, words array<int>")
 
 
-def _places(high, low, i: int, bits: int):
+def places_in_filter(high, low, i: int, bits: int):
     """The i-th place of digests in a filter, of columns as of arrays: the halves of a digest are hashes already."""
     mask = (1 << 31) - 1
     one, two = (x.bitwiseAND(F.lit(mask)) if isinstance(x, Column) else x & mask for x in (low, high))
     return (one + i * two) % bits
 
 
-def _digest_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
+def digest_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
     """Words and size of a Bloom filter of the repeated digests, of FILTER_BITS at most; a full one lets more chunks pass to the join, which decides."""
     bits = min(FILTER_BITS, max(64, -(-repeated.count() * BITS_PER_DIGEST // 64) * 64))
-    places = repeated.select(F.explode(F.array(*[_places(F.col("high"), F.col("low"), i, bits) for i in range(HASHES)])).alias("place"))
+    places = repeated.select(F.explode(F.array(*[places_in_filter(F.col("high"), F.col("low"), i, bits) for i in range(HASHES)])).alias("place"))
     found = places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()  # bits / 64 rows at most
     words = np.zeros(bits // 64, dtype=np.int64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy()
@@ -181,7 +181,7 @@ def _may_repeat(table: DataFrame, words: np.ndarray, bits: int) -> DataFrame:
             no = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             passes = np.ones(len(owner), dtype=bool)
             for i in range(HASHES):
-                at = _places(high, low, i, bits)
+                at = places_in_filter(high, low, i, bits)
                 passes &= (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             row = b.column("row").to_numpy(zero_copy_only=False)[owner[passes]]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(no[passes], pa.int32()), pa.array(high[passes], pa.int64()), pa.array(low[passes], pa.int64())], names=["row", "no", "high", "low"])
@@ -232,7 +232,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool
     counted = single.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
     repeated = counted.where("n > 1" if within else "first < last").select("high", "low", "n")
     repeated = cut(repeated)
-    hits = _may_repeat(table, *_digest_filter(repeated)).join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
+    hits = _may_repeat(table, *digest_filter(repeated)).join(repeated, ["high", "low"]).select("row", F.struct("no", "high", "low", "n").alias("hit"))
     per_row = hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
     whole = per_row.join(table.select("row", "doc_id", "starts", "words"), "row").select(
         "row", "doc_id", F.col("hits.no").alias("nos"), F.col("hits.high").alias("highs"), F.col("hits.low").alias("lows"), F.col("hits.n").alias("counts"), "starts", "words"

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, neardup, packing, secret_scan, toxicity, url_filter
+from logloom.llm import chunk_dedup, decontam, fingerprint, langid, license_scan, line_dedup, merkle, neardup, packing, periodic, secret_scan, toxicity, url_filter
 from logloom.llm.common import doc_crc, table
 from logloom.plans.durable import spread
 
@@ -98,6 +98,48 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(documents(spark, sf_dir), within=False)
 
 
+#: What separates words, and op11's white space at the ends of a text.
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text; where h = crc32(doc_id) is a multiple of 10, the words from g % n on (g = h div 10) become copies of the first p of them, p = 1 + (n - a) div (3 + g % 8)."""
+    h = doc_crc()
+    planted = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    words = F.split(F.regexp_replace("text", rf"^{SPACES}|{SPACES}\z", ""), SPACES)
+    found = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(planted, words).alias("words"))
+    n = F.size("words")
+    found = found.withColumn("a", F.pmod(F.col("g"), n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), n - F.col("a") - 1), lambda i: F.get("words", F.col("a") + i % F.col("p")))
+    new = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    return found.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(new).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, after runs are planted in a tenth of them."""
+    found = periodic.scan(with_planted_runs(documents(spark, sf_dir)))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more have."""
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document in the tree of its language and of all languages; a third is tampered with."""
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, "lang", ["doc_id", "source", "lang", "n_chars", "text"], doc_crc() % 3 == 0).drop("grp", "slot")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -109,9 +151,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM d),
+        k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        frequent AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10)
+        SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN frequent f ON k.key = f.key GROUP BY k.row""",
     "op9_url_filter": f"""
         WITH parts AS (
             SELECT page_id, html,
