@@ -130,7 +130,7 @@ def chunks(text: str | None) -> list[tuple[bytes, int, int, int]]:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """row, doc_id, high, low (halves of the digests), starts (one more than chunks), words: one row per text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -211,7 +211,7 @@ def _spans(hits: list[dict]) -> list[tuple]:
         span.append(x)
         after = hits[i + 1] if i + 1 < len(hits) else None
         if not after or after["no"] != x["no"] + 1 or after["mine"] != x["mine"]:
-            out.append((span[0]["start"], x["end"], sum(y["words"] for y in span), len(span), max(y["n"] for y in span), min(y["first"] for y in span), x["mine"]))
+            out.append((span[0]["start"], x["end"], sum(y["words"] for y in span), len(span), max(y["n"] for y in span), min((y["first"] for y in span), key=lambda d: (d is None, d or 0)), x["mine"]))
             span = []
     return out
 
@@ -252,7 +252,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool
                 )
 
     found = cut(arrow_map(whole, passages, "row long, doc_id long, no int, high long, low long, n long, start int, end int, words int"))
-    keepers = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "row", "no")).alias("keeper"))
+    keepers = found.groupBy("high", "low").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no")).alias("keeper"))  # rows without an id last
     mine = (F.col("keeper.row") == F.col("row")) & (F.col("keeper.no") == F.col("no"))
     judged = found.join(keepers, ["high", "low"]).select("row", "doc_id", F.struct("no", "n", "start", "end", "words", F.col("keeper.doc_id").alias("first"), mine.alias("mine")).alias("hit"))
     texts = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("hit").alias("hits")).select("doc_id", "hits")
@@ -266,22 +266,23 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds])], names=["doc_id", *names])
 
-    out = arrow_map(texts, run, "doc_id long, start long, end long, n_words long, n_chunks long, n_copies long, first_doc long, is_first boolean")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
+    return arrow_map(texts, run, "doc_id long, start long, end long, n_words long, n_chunks long, n_copies long, first_doc long, is_first boolean")
 
 
 def dedup_text(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` (doc_id unique, text) with all but the first occurrence of the chunks of repeated passages cut out."""
-    spans = passages.where(~F.col("is_first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    tail = F.lit(2**31 - 1)
+    numbered = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    spans = passages.where(~F.col("is_first")).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    text, tail = F.col(numbered["text"]), F.lit(2**31 - 1)
     done = F.aggregate(
         "_spans",
         F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
-            F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))).alias("text"),
+            F.concat(acc["text"], F.substring(text, acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))).alias("text"),
             s["end"].cast("int").alias("at"),
         ),
-        lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, tail)),
+        lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, tail)),
     )
-    joined = docs.join(spans, "doc_id", "left").withColumn("_done", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
-    return joined.select(*[F.col("_done").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.withColumnsRenamed(numbered).join(spans, F.col(numbered["doc_id"]).cast("long") == F.col("_id"), "left")
+    new = F.when(F.col("_spans").isNull(), text).otherwise(done)
+    return joined.select(*[(new if c == "text" else F.col(v)).alias(c) for c, v in numbered.items()])

@@ -7,6 +7,13 @@ Aho-Corasick automaton; every piece hit names an item and the place where the
 item would lie, and Myers' bit-parallel distance of the item against the
 window there (free ends in the text) decides.
 
+Items that begin alike share their first pieces, and a text with that opening would
+be held against all of them. A piece of more than HOT items is hot. Behind a hot piece
+an item must show its cells: the part of the item that is in no hot piece is cut into short cells, and by the pigeonhole again
+all but as many as the budget stand unchanged in every occurrence, each within the budget of the place that the hot piece
+implies. Cells that more than HOT items have are left out where the others suffice. The cells of a hot piece's items are one table, so an opening costs
+look-ups of the text beside it, not items. Only items whose own part is too short for cells are verified at each hot piece.
+
 Both sides are compared folded: letters lower-cased, every run of characters
 that are neither letters nor digits one space, so that casing, line breaks and
 punctuation cost no edits.
@@ -29,6 +36,7 @@ space at both ends).
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -45,6 +53,9 @@ PIECE = 16
 #: Folded characters of the items of one broadcast block.
 BLOCK_CHARS = 4_000_000
 
+#: Items that share a piece at most before it is hot; characters of a cell at most and at least.
+HOT, CELL, LEAST_CELL = 32, 8, 4
+
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long, item_chars int"
 _GAPS = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -60,9 +71,8 @@ def budget(n: int, piece: int = PIECE) -> int:
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
-    """(offset, piece) of edits + 1 pieces of nearly equal length."""
-    n, k = len(item), edits + 1
-    cuts = [n * i // k for i in range(k + 1)]
+    """(offset, piece) of edits + 1 pieces of PIECE characters, the last one longer: items that begin alike share pieces, whatever their length."""
+    cuts = [*(i * PIECE for i in range(edits + 1)), len(item)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -93,6 +103,59 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def own_parts(n: int, hot: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n characters outside its hot pieces."""
+    out, at = [], 0
+    for a, b in [*sorted(hot), (n, n)]:
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out
+
+
+def cells(item: str, parts: list[tuple[int, int]], edits: int) -> Iterator[list[tuple[int, str]]]:
+    """(offset, cell) of disjoint cells of one size in the parts, more than ``edits`` of them; a list for each size that gives so many."""
+    for size in range(CELL, LEAST_CELL - 1, -1):
+        if sum((b - a) // size for a, b in parts) > edits:
+            # Cells of the last part lie at its end, so that equal closings have equal cells.
+            begins = [x for a, b in parts for x in (range(b - (b - a) // size * size, b, size) if b == len(item) else range(a, b - size + 1, size))]
+            yield [(x, item[x : x + size]) for x in begins]
+
+
+class Group:
+    """The items that have one hot piece: their cells, and those without any."""
+
+    def __init__(self):
+        self.before, self.behind, self.sizes = 0, 0, set()
+        self.cells: dict[str, list[tuple[tuple[int, int], int, int]]] = {}
+        self.needed: dict[tuple[int, int], int] = {}
+        self.covered_by: Group | None = None  # a group that has all these items, whose piece lies PIECE characters before this one's
+        self.last = -1  # where the piece was found last in the text at hand
+        self.bare: list[tuple[int, int]] = []
+
+    def add(self, no: int, at: int, edits: int, cells: list[tuple[int, str]]) -> None:
+        """An item that has the piece at ``at``, with cells at offsets of their own."""
+        if not cells:
+            self.bare.append((no, at))
+        self.needed[no, at] = len(cells) - edits
+        for offset, cell in cells:
+            self.cells.setdefault(cell, []).append(((no, at), offset - at, edits))
+            self.sizes.add(len(cell))
+            self.before = min(self.before, offset - at - edits)
+            self.behind = max(self.behind, offset - at + edits)
+
+    def candidates(self, text: str, place: int) -> Iterator[tuple[int, int]]:
+        """(item, where it may begin) for the piece at ``place``."""
+        shown: dict[tuple[int, int], set[int]] = {}
+        for size in self.sizes:
+            for x in range(max(0, place + self.before), min(len(text) - size, place + self.behind) + 1):
+                for no, offset, edits in self.cells.get(text[x : x + size], ()):
+                    if -edits <= x - place - offset <= edits:
+                        shown.setdefault(no, set()).add(offset)
+        yield from ((no[0], place - no[1]) for no, offsets in shown.items() if len(offsets) >= self.needed[no])
+        yield from ((no, place - at) for no, at in self.bare)
+
+
 class Matcher:
     """The automaton of one block of items."""
 
@@ -105,22 +168,58 @@ class Matcher:
         for no, (_, text, edits) in enumerate(self.items):
             for at, piece in pieces(text, edits):
                 found.setdefault(piece, []).append((no, at))
+        groups = self._groups({piece: where for piece, where in found.items() if len(where) > HOT})
+        self.groups = list(groups.values())
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
+            self.automaton.add_word(piece, (len(piece), [] if piece in groups else where, groups.get(piece)))
         if found:
             self.automaton.make_automaton()
         self.empty = not found
 
+    def _groups(self, hot: dict[str, list[tuple[int, int]]]) -> dict[str, Group]:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for piece, where in hot.items():
+            for no, at in where:
+                spans.setdefault(no, []).append((at, at + len(piece)))
+        choices = {no: list(cells(self.items[no][1], own_parts(len(self.items[no][1]), mine), self.items[no][2])) for no, mine in spans.items()}
+        often = Counter(cell for found in choices.values() for one in found for _, cell in one)
+        chosen = {no: self._chosen(found, often, self.items[no][2]) for no, found in choices.items()}
+        out = {piece: Group() for piece in hot}
+        for piece, where in hot.items():
+            for no, at in where:
+                out[piece].add(no, at, self.items[no][2], chosen[no])
+            before = {self.items[no][1][at - PIECE : at] if at else "" for no, at in where}
+            if len(before) == 1:
+                out[piece].covered_by = out.get(before.pop())
+        return out
+
+    @staticmethod
+    def _chosen(choices: list[list[tuple[int, str]]], often: Counter, edits: int) -> list[tuple[int, str]]:
+        """Of the sizes the cells of which the most characters must stand; cells of few items alone, if some size has enough of them, else the rarest."""
+        rare = [[x for x in found if often[x[1]] <= HOT] for found in choices]
+        rare = [found for found in rare if len(found) > edits]
+        if rare:
+            return max(rare, key=lambda found: (len(found) - edits) * len(found[0][1]))
+        every = [sorted(found, key=lambda x: (often[x[1]], x[0]))[: edits + 1] for found in choices]
+        return min(every, key=lambda found: sum(often[cell] for _, cell in found), default=[])
+
     def matches(self, raw: str | None) -> Iterator[tuple[int, int, int, int, int]]:
         """(item_id, distance, start, end, item length); places in the folded text."""
         if self.empty or not raw:
             return
         text = fold(raw)
         candidates: dict[int, set[int]] = {}
-        for last, (size, where) in self.automaton.iter(text):
+        for group in self.groups:
+            group.last = -1
+        for last, (size, where, group) in self.automaton.iter(text):
             for no, at in where:
                 candidates.setdefault(no, set()).add(last + 1 - size - at)
+            if group:
+                group.last = last + 1 - size
+                if not group.covered_by or group.covered_by.last != group.last - PIECE:  # else found with the piece before
+                    for no, start in group.candidates(text, group.last):
+                        candidates.setdefault(no, set()).add(start)
         for no, starts in sorted(candidates.items()):
             ids, item, edits = self.items[no]
             n, best = len(item), None

@@ -13,7 +13,9 @@ symbols of their own; any other letter is a pair of symbols, the upper and
 the lower bits of its code point, so that large scripts keep their letters apart. Whole texts
 are parsed from end to end: a batch of texts is a matrix of blocks that numpy
 steps through column by column, and a block is parsed again from the state in which the block
-before it ended until all states agree, which is the parse of the whole text.
+before it ended until all states agree, which is the parse of the whole text. In prose that takes
+a few rounds; what has not settled after ROUNDS of them (repetitive texts) is walked from
+there on symbol by symbol, so time is linear in every text.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 ties go to the language first in alphabetical order; repeated rows give
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map
 
-#: Folded characters of a block, a column of the matrix.
-BLOCK = 256
+#: Folded characters of a block, a column of the matrix; times that blocks are parsed again side by side before the rest is walked.
+BLOCK, ROUNDS = 256, 4
 #: Bounds of the fitted sample of a language: characters of its automaton, of the text that calibrates it, of one sampled text.
 SAMPLE_CHARS, CALIBRATION_CHARS, SAMPLE_TEXT_CHARS = 20_000, 10_000, 6_000
 #: Letters that are one symbol; symbols for either half of the others.
@@ -184,6 +186,25 @@ class CrossParser:
         keep[::2] = True
         return both[keep]
 
+    @staticmethod
+    def _walk(table, root, local, begun, ends, failures, todo, starts) -> None:
+        """Parses the texts that have blocks in ``todo`` from the first of them on, symbol by symbol; a block already parsed from the state at hand is taken as it is. Every block is walked once at most."""
+        arcs, roots = memoryview(table), memoryview(np.ascontiguousarray(root))
+        text = np.searchsorted(starts, todo, side="right") - 1
+        for first in todo[np.concatenate([[True], text[1:] != text[:-1]])].tolist():
+            last = int(starts[np.searchsorted(starts, first, side="right")])
+            state = int(ends[first - 1])
+            for b in range(first, last):
+                if state != begun[b]:
+                    begun[b], phrases = state, 0
+                    for c in local[:, b].tolist():
+                        state = arcs[state + c]
+                        if state < 0:
+                            state = roots[c]
+                            phrases += 1
+                    ends[b], failures[b] = state, phrases
+                state = int(ends[b])
+
     def phrases(self, folded: list[np.ndarray], which: list[int] | None = None) -> np.ndarray:
         """Phrases of each text in each language: [language, text]."""
         which = list(range(len(self.tables))) if which is None else which
@@ -200,10 +221,11 @@ class CrossParser:
         for row, lang in enumerate(which):
             table, root = self.tables[lang], self.roots[lang]
             local = self.symbols[lang][columns]
-            ends, failures, before = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
-            todo = np.arange(n)
-            while len(todo):
-                state, ended = before[todo], np.zeros(len(todo), dtype=np.int32)
+            ends, failures, begun = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
+            todo, wanted = np.arange(n), begun
+            for _ in range(ROUNDS):
+                begun = wanted
+                state, ended = begun[todo], np.zeros(len(todo), dtype=np.int32)
                 for c in local if len(todo) == n else np.ascontiguousarray(local[:, todo]):
                     state = table.take(state + c)
                     failed = state < 0
@@ -211,8 +233,11 @@ class CrossParser:
                     ended += failed
                 ends[todo], failures[todo] = state, ended
                 wanted = np.where(begins, 0, np.concatenate([[0], ends[:-1]])).astype(np.int32)
-                todo = np.flatnonzero(wanted != before)
-                before = wanted
+                todo = np.flatnonzero(wanted != begun)
+                if not len(todo):
+                    break
+            else:
+                self._walk(table, root, local, begun, ends, failures, todo, starts)
             sums = np.concatenate([[0], np.cumsum(failures)])
             out[row] = sums[starts[1:]] - sums[starts[:-1]] + (blocks > 0)
         return out

@@ -294,11 +294,12 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     found = cut(classes(docs.select("doc_id", "text"), threshold).select("doc_id", "text_key", "is_kept"))
     keys = found.groupBy("doc_id", "text_key").agg(F.bool_or("is_kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    text_key = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    numbered = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    doc_id, text_key = F.col(numbered["doc_id"]), F.xxhash64(F.coalesce(F.col(numbered["text"]).cast("string"), F.lit("")))
     dropped = keys.where("not kept").select("doc_id", "text_key").hint("shuffle_hash").alias("k")
-    same = (text_key == F.col("k.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    out = docs.alias("d").join(dropped, same, "left_anti")
+    same = (text_key == F.col("k.text_key")) & doc_id.cast("long").eqNullSafe(F.col("k.doc_id"))
+    out = docs.withColumnsRenamed(numbered).join(dropped, same, "left_anti")
     repeated = keys.where("kept and n > 1").select("doc_id", "text_key")
     if repeated.limit(1).count():  # rows that are equal in id and text: one of them stays
-        out = out.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
-    return out
+        out = out.withColumn("_text_key", text_key).dropDuplicates([numbered["doc_id"], "_text_key"])
+    return out.select(*[F.col(v).alias(c) for c, v in numbered.items()])

@@ -94,8 +94,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents, by content-defined chunks; the operator finds those within one document too, which are no repeats here."""
-    return chunk_dedup.repeated_passages(documents(spark, sf_dir), within=False)
+    """Passages that occur more than once, across documents or within one, by content-defined chunks."""
+    return chunk_dedup.repeated_passages(documents(spark, sf_dir))
 
 
 #: What separates words, and op11's white space at the ends of a text.

@@ -171,21 +171,25 @@ def redact(docs: DataFrame, owner: str, example_owners: int = EXAMPLE_OWNERS) ->
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key")).alias("doc"), F.col("doc_id").alias("repo"), F.col(owner).alias("owner"), text.alias("text"))
     found = secrets(keyed, F.col("doc"), F.col("repo"), F.col("owner"), example_owners).where(F.size("live") > 0)
     live = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.first("live").alias("_live"))
-    joined = docs.withColumn("_own_key", F.xxhash64(text)).join(live, (F.col("_own_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    numbered = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(numbered["text"])
+    own_key = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    joined = docs.withColumnsRenamed(numbered).withColumn("_own_key", own_key).join(live, (F.col("_own_key") == F.col("_key")) & F.col(numbered["doc_id"]).cast("long").eqNullSafe(F.col("_id")), "left")
     state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(acc, s):
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         fresh = F.struct(F.concat(acc["done"], before, F.lit(REDACTED)).alias("done"), s["end"].alias("at"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at")))
 
-    clean = F.aggregate("_live", state, step, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    new = F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean)
-    out = joined.withColumn("_new", new)
-    columns = [
-        F.col("_new").alias(c) if c == "text"
-        else F.when(F.col("_live").isNull(), F.col(c)).otherwise(F.char_length("_new").cast(dict(docs.dtypes)[c])).alias(c) if c == "n_chars"
-        else F.col(c)
-        for c in docs.columns
-    ]
-    return out.select(*columns)
+    clean = F.aggregate("_live", state, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    out = joined.withColumn("_new", F.when(F.col("_live").isNull(), text).otherwise(clean))
+    kinds = dict(docs.dtypes)
+    return out.select(
+        *[
+            F.col("_new").alias(c) if c == "text"
+            else F.when(F.col("_live").isNull(), F.col(v)).otherwise(F.char_length("_new").cast(kinds[c])).alias(c) if c == "n_chars"
+            else F.col(v).alias(c)
+            for c, v in numbered.items()
+        ]
+    )

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from logloom.llm import chunk_dedup
 from logloom.llm.queries import op10_substring_dedup
@@ -113,12 +114,8 @@ def test_repeats_within_a_text_and_among_rows_without_ids(spark):
     assert sorted(r.is_first for r in got if r.doc_id == 1) == [False, True] == sorted(r.is_first for r in got if r.doc_id is None)
 
 
-def test_passages_are_those_of_all_chunks(spark):
-    """Brute force on a small alphabet: chunks that occur twice, their runs of enough words, one keeper of each."""
-    rng = random.Random(13)
-    words = ["ab", "ba", "abba", "aab", "bbb", "a"]
-    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 160))) for i in range(12)}
-    texts |= {12: texts[3], 13: f"{texts[4]} {texts[5]}", 14: ""}
+def passages_by_brute_force(texts, min_words):
+    """(doc_id, start, end, is_first): chunks that occur twice, their runs of enough words, one keeper of each."""
     chunks = {k: chunk_dedup.chunks(t) for k, t in texts.items()}
     counts = Counter(x[0] for c in chunks.values() for x in c)
     runs, keepers = {}, {}
@@ -126,7 +123,7 @@ def test_passages_are_those_of_all_chunks(spark):
         flags = [counts[x[0]] > 1 for x in c]
         for flag, group in itertools.groupby(range(len(c)), key=flags.__getitem__):
             group = list(group)
-            if flag and sum(c[i][3] for i in group) >= 8:
+            if flag and sum(c[i][3] for i in group) >= min_words:
                 runs.setdefault(k, []).append(group)
                 for i in group:
                     keepers[c[i][0]] = min(keepers.get(c[i][0], (k, i)), (k, i))
@@ -136,9 +133,23 @@ def test_passages_are_those_of_all_chunks(spark):
             for mine, part in itertools.groupby(group, key=lambda i: keepers[chunks[k][i][0]] == (k, i)):
                 part = list(part)
                 expected.append((k, chunks[k][part[0]][1], chunks[k][part[-1]][2], mine))
+    return sorted(expected)
+
+
+def test_query_is_brute_force(spark, sf_dir, documents):
+    got = sorted((r.doc_id, r.start, r.end, r.is_first) for r in op10_substring_dedup(spark, sf_dir).collect())
+    assert got == passages_by_brute_force({d.doc_id: d.text for d in documents.collect()}, chunk_dedup.MIN_WORDS) and got
+
+
+def test_passages_are_those_of_all_chunks(spark):
+    """Brute force on a small alphabet: chunks that occur twice, their runs of enough words, one keeper of each."""
+    rng = random.Random(13)
+    words = ["ab", "ba", "abba", "aab", "bbb", "a"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 160))) for i in range(12)}
+    texts |= {12: texts[3], 13: f"{texts[4]} {texts[5]}", 14: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     got = [(r.doc_id, r.start, r.end, r.is_first) for r in chunk_dedup.repeated_passages(docs, 8).collect()]
-    assert sorted(got) == sorted(expected) and expected
+    assert sorted(got) == passages_by_brute_force(texts, 8) and got
 
 
 def test_query_covers_exact_copies(spark, sf_dir, documents):
@@ -164,3 +175,14 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     expected = sorted(map(repr, chunk_dedup.repeated_passages(docs).collect()))
     monkeypatch.setattr(chunk_dedup, "FILTER_BITS", 64)
     assert sorted(map(repr, chunk_dedup.repeated_passages(docs).collect())) == expected
+
+
+def test_clashing_names_and_large_ids(spark):
+    rng = random.Random(14)
+    prose = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(90))
+    top = 2**63 - 1
+    docs = spark.createDataFrame([(top, prose, "a"), (5, prose, "b"), (None, prose, "c")], "doc_id long, text string, _spans string").withColumn("start", F.lit(1)).withColumn("_id", F.lit(2))
+    got = chunk_dedup.repeated_passages(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.is_first, r.first_doc) for r in got.collect()) == [(False, 5, True, 5), (False, top, False, 5), (True, 0, False, 5)]
+    out = chunk_dedup.dedup_text(docs, got)
+    assert out.columns == docs.columns and {r.doc_id: len(r.text) > 0 for r in out.collect()} == {top: False, 5: True, None: True}

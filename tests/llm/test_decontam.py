@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -41,6 +42,54 @@ def test_matches_are_complete():
         assert {i: d for i, d, *_ in m.matches(text)} == expected
 
 
+OPENING = "Answer the following question about the history of the city and explain each step of your answer: "
+
+
+def openings(rng, n, words):
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    return [(i, decontam.fold(OPENING + " ".join(word() for _ in range(rng.randint(*words))) + " choose one of the answers below")) for i in range(n)]
+
+
+def test_hot_pieces_lose_nothing(monkeypatch):
+    """Items with one opening and one closing, pieces hot from the second item on: the matches are those of the plain recurrence."""
+    rng = random.Random(8)
+    monkeypatch.setattr(decontam, "HOT", 1)
+    items = tuple([*openings(rng, 12, (0, 3)), *((100 + i, x) for i, x in openings(rng, 12, (6, 40))), *((200 + i, decontam.fold(OPENING * 2 + str(i))) for i in range(5))])
+    m = decontam.Matcher(items)
+    for _ in range(60):
+        item = rng.choice(items)[1]
+        text = list(f"some words {OPENING} before {item} and behind it")
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice(["", "x", "xy"])
+        text = "".join(text)
+        expected = {i: d for i, t in items if (d := decontam.myers(t, decontam.fold(text))[0]) <= decontam.budget(len(t))}
+        assert {i: d for i, d, *_ in m.matches(text)} == expected
+
+
+def test_common_opening_is_quick():
+    rng = random.Random(9)
+    items = openings(rng, 10_000, (10, 30))
+    m = decontam.Matcher(tuple(items))
+    text = " ".join(f"{OPENING} {x}" for _, x in openings(rng, 450, (5, 20)))
+    assert len(text) > 100_000
+    began = time.process_time()
+    assert list(m.matches(text)) == []
+    assert {i for i, *_ in m.matches(text + items[77][1])} == {77}
+    assert time.process_time() - began < 10
+
+
+def test_query_with_a_common_opening(spark, tmp_path, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(decontam, "HOT", 2)
+    items = openings(rng, 40, (10, 30))
+    spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, f"before {OPENING} then {items[i % 40][1].replace('a', 'A', 3) if i % 3 else OPENING} behind") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id) for r in op2_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {(k, i) for k, text in docs for i, t in items if decontam.myers(t, decontam.fold(text))[0] <= decontam.budget(len(t))} and got
+
+
 def test_query_is_brute_force(spark, sf_dir, documents):
     """The query against Myers' distance of every item over every whole text, without pieces."""
     items = [(r.item_id, decontam.fold(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -34,6 +35,27 @@ def test_phrases_are_longest_matches():
             assert n == brute_phrases(letters(folded), code[: langid.SAMPLE_CHARS])
 
 
+def test_repetitive_texts_are_linear():
+    """A million characters of repeated words, alone and among prose; phrases are those of one walk over the whole text."""
+    p = langid.parser(tuple((k, tuple(v)) for k, v in SAMPLE.items()))
+    rng = random.Random(4)
+    odd = "".join(rng.choice("abdehlst ") for _ in range(37))
+    texts = ["the " * 250_000, "de la " * 166_000, (odd * 30_000)[:1_000_000], "the cat sat on the mat " * 300 + "le chat " * 40_000 + "the dog " * 500]
+    folded = [p.fold(t) for t in texts]
+    began = time.process_time()
+    got = p.phrases(folded)
+    assert time.process_time() - began < 2 * len(texts)
+    for row, (table, root, symbols) in enumerate(zip(p.tables, p.roots, p.symbols)):
+        arcs, roots = memoryview(table), memoryview(root)
+        for i, f in enumerate(folded):
+            state, n = 0, 1
+            for c in symbols[f].tolist():
+                state = arcs[state + c]
+                if state < 0:
+                    state, n = roots[c], n + 1
+            assert got[row, i] == n
+
+
 def test_large_scripts_and_many_languages():
     """Two languages that share a large script, and a hundred languages: none is dropped, letters stay apart."""
     rng = random.Random(6)

@@ -152,3 +152,5 @@ def test_odd(odd, empty):
     kept = neardup.one_of_each_class(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 2").count() == 0
     assert neardup.classes(empty).count() == 0 and neardup.one_of_each_class(empty).count() == 0
+    clash = odd.withColumnsRenamed({"row": "_text_key", "lang": "text_key", "source": "kept"})
+    assert neardup.one_of_each_class(clash).columns == clash.columns

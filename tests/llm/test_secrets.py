@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import hashlib
 import random
 import re
@@ -76,3 +77,6 @@ def test_ownership_and_redaction(spark, odd, empty):
     assert out[10].text == f"[redacted] and [redacted] {shared}" and out[10].n_chars == len(out[10].text)
     assert out[11].text == "again [redacted]" and out[0].text == f"key {shared} here" and out[0].n_chars == 5
     assert secret_scan.redact(odd, "source").count() == odd.count() and secret_scan.redact(empty, "source").count() == 0
+    clash = odd.withColumnsRenamed({"row": "_live", "n_chars": "_key", "lang": "_id"}).withColumns({"_new": F.lit("kept"), "_own_key": F.lit(3)})
+    out = secret_scan.redact(clash, "source")
+    assert out.columns == clash.columns and sorted(map(repr, out.collect())) == sorted(map(repr, clash.collect()))
