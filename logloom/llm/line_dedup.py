@@ -12,9 +12,10 @@ A run is a table in buckets of its digests, sorted within: merges and anti-joins
 bucket by bucket, without a shuffle of what is stored. A line that a third of all documents have is one row per task
 before the shuffle and no row at all once it is settled.
 
-The frequent digests then drop lines: a Bloom filter of them, of bounded size, passes
-most texts through at once; the digests of the others meet the frequent ones in a join
-whose hot keys are split, and the texts concerned are written again without the lines dropped.
+The frequent digests then drop lines. Those in the most documents, KNOWN at most, go to all
+tasks, so no hot line takes part in a join. A Bloom filter of the others, of bounded size, passes
+most texts through at once; the digests that it lets pass meet the frequent ones in a join, and
+the texts concerned are written again without the lines dropped.
 
 Defined results: null and empty texts have one empty line; every row is a
 document, rows with equal or null ids too; a key counts once per document; of a key
@@ -40,6 +41,8 @@ from logloom.plans.durable import scratch
 
 #: Code points of a key and documents that have it from which on a line is dropped.
 MIN_CHARS, MIN_DOCS = 1, 10
+#: Frequent digests that all tasks hold at most (16 bytes each).
+KNOWN = 50_000
 #: Batches that a table is dealt into where it comes as a whole.
 BATCHES = 4
 
@@ -129,24 +132,30 @@ class LineRuns:
             self.levels = [None] * (len(self.levels) - 1) + [reduce(self._merged, names)]
 
     def frequent(self) -> DataFrame:
-        """high, low of the digests found in ``min_docs`` documents or more."""
+        """high, low, n of the digests found in ``min_docs`` documents or more; n ends growing at the batch that settles it."""
         self.compact()
-        found = [run.where(F.col("n") >= self.min_docs).select("high", "low") for run in self.runs()]
-        return found[0] if found else self.spark.createDataFrame([], "high long, low long")
+        found = [run.where(F.col("n") >= self.min_docs) for run in self.runs()]
+        return found[0] if found else self.spark.createDataFrame([], "high long, low long, n long")
 
 
-def _judged(rows: DataFrame, kept: list[str], words: np.ndarray, bits: int, min_chars: int) -> DataFrame:
-    """``kept``, text, n_lines, and the digests (highs, lows) of the lines that the filter of frequent ones lets pass; empty arrays: nothing to drop."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+def _kept_lines(text: bytes | None, found: list[bytes | None], gone: set[bytes]) -> tuple[bytes | None, int]:
+    """The text without the lines whose digest is in ``gone``, and how many those are; a text without any stays as it is."""
+    n = sum(d in gone for d in found)
+    return (b"\n".join(line for line, d in zip((text or b"").split(b"\n"), found) if d not in gone), n) if n else (text, 0)
+
+
+def _judged(rows: DataFrame, kept: list[str], known: set[bytes], words: np.ndarray, bits: int, min_chars: int) -> DataFrame:
+    """``kept``, text without the known lines, n_lines, n_dropped, and the other digests (highs, lows) that the filter of frequent ones lets pass; empty arrays: nothing more to drop."""
+    shared = rows.sparkSession.sparkContext.broadcast((known, words))
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        held = shared.value.view(np.uint64)
+        known, held = shared.value[0], shared.value[1].view(np.uint64)
         for b in batches:
-            highs, lows, n_lines = [], [], []
+            texts, highs, lows, n_lines, n_dropped = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 found = digests(t, min_chars)
-                halves = _halves(list({d for d in found if d}))
+                halves = _halves([d for d in set(found) if d and d not in known])
                 passes = np.ones(len(halves), dtype=bool)
                 for i in range(HASHES):
                     at = places_in_filter(halves[:, 0], halves[:, 1], i, bits)
@@ -154,13 +163,16 @@ def _judged(rows: DataFrame, kept: list[str], words: np.ndarray, bits: int, min_
                 highs.append(halves[passes, 0])
                 lows.append(halves[passes, 1])
                 n_lines.append(len(found))
+                t, n = _kept_lines(t, found, known)
+                texts.append(t)
+                n_dropped.append(n)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in kept], b.column("text"), pa.array(n_lines, pa.int64()), pa.array(highs, longs), pa.array(lows, longs)],
-                names=[*kept, "text", "n_lines", "highs", "lows"],
+                [*[b.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(highs, longs), pa.array(lows, longs)],
+                names=[*kept, "text", "n_lines", "n_dropped", "highs", "lows"],
             )
 
     kinds = dict(rows.dtypes)
-    return arrow_map(rows.select(*kept, "text"), run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "text binary, n_lines long, highs array<long>, lows array<long>"]))
+    return arrow_map(rows.select(*kept, "text"), run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "text binary, n_lines long, n_dropped long, highs array<long>, lows array<long>"]))
 
 
 def _without(rows: DataFrame, kept: list[str], min_chars: int) -> DataFrame:
@@ -169,20 +181,14 @@ def _without(rows: DataFrame, kept: list[str], min_chars: int) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, dropped = [], []
-            for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
-                bad = {np.array([g["high"], g["low"]], dtype=np.int64).tobytes() for g in gone or []}
-                if bad:
-                    lines = (t or b"").split(b"\n")
-                    stay = [line for line, d in zip(lines, digests(t, min_chars)) if d not in bad]
-                    texts.append(b"\n".join(stay))
-                    dropped.append(len(lines) - len(stay))
-                else:
-                    texts.append(t)
-                    dropped.append(0)
+            for t, gone, n in zip(*(b.column(c).to_pylist() for c in ("text", "gone", "n_dropped"))):
+                t, more = _kept_lines(t, digests(t, min_chars), {np.array([g["high"], g["low"]], dtype=np.int64).tobytes() for g in gone or []})
+                texts.append(t)
+                dropped.append(n + more)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.binary()), b.column("n_lines"), pa.array(dropped, pa.int64())], names=[*kept, "text", "n_lines", "n_dropped"])
 
     kinds = dict(rows.dtypes)
-    return arrow_map(rows.select(*kept, "text", "n_lines", "gone"), run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "text binary, n_lines long, n_dropped long"]))
+    return arrow_map(rows.select(*kept, "text", "n_lines", "n_dropped", "gone"), run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "text binary, n_lines long, n_dropped long"]))
 
 
 def _drop(docs: DataFrame, frequent: DataFrame, kept: list[str], text: str, min_chars: int) -> DataFrame:
@@ -190,16 +196,20 @@ def _drop(docs: DataFrame, frequent: DataFrame, kept: list[str], text: str, min_
     spark = docs.sparkSession
     rows = docs.select(*kept, F.col(text).cast("string").cast("binary").alias("text"))
     path = scratch(spark, "line_dedup")
+    top = frequent.orderBy(F.col("n").desc(), "high", "low").limit(KNOWN).select("high", "low").collect()
+    known = {np.array([r["high"], r["low"]], dtype=np.int64).tobytes() for r in top}
     # Written: rows get numbers that stay the same whatever is computed again.
-    judged = _judged(rows, kept, *digest_filter(frequent), min_chars)
+    judged = _judged(rows, kept, known, *digest_filter(frequent), min_chars)
     judged.withColumn("row", F.when(F.size("highs") > 0, F.monotonically_increasing_id())).write.parquet(path)
     judged = spark.read.parquet(path)
+    fine = judged.where("row IS NULL").select(*kept, "text", "n_lines", "n_dropped")
+    if len(known) < KNOWN:  # all frequent digests are known: what passed the filter is not frequent
+        return judged.select(fine.columns)
     open_rows = judged.where("row IS NOT NULL")
     single = open_rows.select("row", F.explode(F.arrays_zip("highs", "lows")).alias("d")).select("row", F.col("d.highs").alias("high"), F.col("d.lows").alias("low"))
     gone = single.join(frequent, ["high", "low"]).groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("gone"))
     # A row's list is bounded by its own lines; the lists are the build side, so texts are not sorted.
     settled = open_rows.drop("highs", "lows").join(gone.hint("shuffle_hash"), "row", "left")
-    fine = judged.where("row IS NULL").select(*kept, "text", "n_lines", F.lit(0).cast("long").alias("n_dropped"))
     return fine.unionByName(_without(settled, kept, min_chars))
 
 

@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+import pytest
+
 from logloom.llm import line_dedup, queries
 from tests.llm.conftest import ODD
 from tests.oracle import assert_same, tables
@@ -55,11 +57,13 @@ def test_query_on_odd_rows(spark, odd, tmp_path):
     assert got == sorted(((*r[:3], hashlib.sha256(r[3].encode()).hexdigest()) for r in by_brute_force(rows)), key=repr)
 
 
-def test_full_filter(spark, odd, monkeypatch):
-    """A filter too small for its digests lets more lines pass, and results stay."""
+@pytest.mark.parametrize("known", [0, 2, 1000])
+def test_full_filter_and_few_known(spark, odd, monkeypatch, known):
+    """A filter too small for its digests lets more lines pass, digests that tasks do not hold are joined, and results stay."""
     from logloom.llm import chunk_dedup
 
     monkeypatch.setattr(chunk_dedup, "FILTER_BITS", 64)
+    monkeypatch.setattr(line_dedup, "KNOWN", known)
     docs = odd.unionByName(spark.createDataFrame(LINED, odd.schema))
     assert as_rows(line_dedup.dedup(docs, min_docs=2)) == by_brute_force([(r[0], r[1]) for r in [*ODD, *LINED]], 2)
 
