@@ -53,11 +53,14 @@ def flexible_time(text: Column) -> Column:
     Accepted are year-month-day with ``-`` or ``/``, month/day/year, each with or without a time, whose
     seconds and fraction may be missing; ``T`` or spaces between; an offset, which is turned to UTC, or AM/PM.
     """
-    t = F.regexp_replace(F.trim(text), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    plain = F.trim(text)
+    t = F.regexp_replace(plain, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
     t = F.regexp_replace(F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/", "$1-$2-"), r"(?<=:\d{2}),(?=\d)", ".")
     instant = F.to_utc_timestamp(F.regexp_replace(t, r"\s+(?=Z$|[+-])", "").try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
     half = F.try_to_timestamp(F.upper(F.regexp_replace(t, r"\s+(?=[AaPp][Mm]$)", " ")), F.lit("yyyy-M-d h:mm:ss a")).cast("timestamp_ntz")
-    return F.when(t.rlike(_STAMP + "$"), t.try_cast("timestamp_ntz")).when(t.rlike(_STAMP + _ZONE), instant).when(t.rlike(_STAMP + _HALF), half)
+    others = F.when(t.rlike(_STAMP + "$"), t.try_cast("timestamp_ntz")).when(t.rlike(_STAMP + _ZONE), instant).when(t.rlike(_STAMP + _HALF), half)
+    # Most texts are empty or in order as they are: those skip all else.
+    return F.when(plain.rlike(_STAMP + "$"), plain.try_cast("timestamp_ntz")).when(plain != "", others)
 
 
 def parse_time(text: Column) -> Column:
@@ -73,7 +76,8 @@ def line_time(line: Column) -> Column:
     """Time at the head of a text line: in brackets within 40 characters, else an ISO token, else two tokens, else a date."""
     bracket = F.regexp_extract(F.substring(line, 1, 40), r"\[([^\]]+)\]", 1)
     head = F.regexp_extract(line, r"^\s*(\d\S*T\S+|\d\S*\s+\d\d?:\S+?(?=,?(?:\s|$))|\d{4}-\d{2}-\d{2}(?=,?(?:\s|$)))", 1)
-    return F.coalesce(flexible_time(bracket), flexible_time(head))
+    in_brackets = F.when(F.contains(F.substring(line, 1, 40), F.lit("[")), flexible_time(bracket))
+    return F.coalesce(in_brackets, flexible_time(head))
 
 
 def parse_span(text: str) -> dt.timedelta:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +35,20 @@ def spread(table: DataFrame) -> DataFrame:
     """A small table, read from files as it is, dealt to all cores: one row group is one task otherwise. Large tables stay as they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before this one in a total order.
+
+    Rows are cut in ranges of the order; sums run within a range, and one number a range says what lies before it.
+    """
+    ranged = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    sums = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum(value).alias("n")).collect())
+    before, total = [], 0
+    for part, n in sums:
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_range int, _before long")
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(offsets), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
