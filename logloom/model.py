@@ -66,8 +66,8 @@ def level_to_int(name: str | None) -> int:
     return LEVEL_WORDS.get((name or "").strip().lower(), -1)
 
 
-def as_events(df: DataFrame) -> DataFrame:
-    """Canonical columns in order: missing ones get their default, NULL strings become ''."""
+def as_events(df: DataFrame, *more: str) -> DataFrame:
+    """Canonical columns in order, and ``more`` of the frame's own: missing ones get their default, NULL strings become ''."""
     have = dict(df.dtypes)
     defaults = {"row_id": F.lit(None), "log_time": F.lit(None), "level": F.lit(INFO), "fields": F.create_map(), "tags": F.array(), "routes": F.array()}
     columns = []
@@ -82,7 +82,7 @@ def as_events(df: DataFrame) -> DataFrame:
         elif f.name in ("fields", "tags", "routes"):
             value = F.coalesce(value, defaults[f.name].cast(kind))
         columns.append(value.alias(f.name))
-    return df.select(*columns)
+    return df.select(*columns, *more)
 
 
 def normalize_events(df: DataFrame) -> DataFrame:

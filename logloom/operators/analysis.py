@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logloom.functions.text import EXAMPLE_LENGTH, cut_text, template
@@ -168,3 +171,28 @@ def has_two_values(df: DataFrame, column: str) -> bool:
 def run_report(timings: dict[str, tuple[float, int]]):
     """step, seconds, records, per_second rows of a run's steps."""
     return [{"step": k, "seconds": s, "records": n, "per_second": n / s if s else None} for k, (s, n) in timings.items()]
+
+
+class RunReport:
+    """Seconds and records of the steps of a run. Records are counted while a step's own job runs, by Spark's observed metrics: no job counts them."""
+
+    def __init__(self):
+        self._seen: dict[str, Observation] = {}
+        self._seconds: dict[str, float] = {}
+
+    def observed(self, df: DataFrame, step: str) -> DataFrame:
+        """``df`` whose rows count as the step's records when the first action on it runs."""
+        self._seen[step] = Observation(step)
+        return df.observe(self._seen[step], F.count(F.lit(1)).alias("records"))
+
+    @contextmanager
+    def timed(self, step: str):
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self._seconds[step] = self._seconds.get(step, 0.0) + time.perf_counter() - began
+
+    def rows(self) -> list[dict]:
+        """One row for each step that was timed; records are 0 for a step whose rows were not observed."""
+        return run_report({step: (s, self._seen[step].get["records"] if step in self._seen else 0) for step, s in self._seconds.items()})

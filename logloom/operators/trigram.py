@@ -91,6 +91,7 @@ def save_trigrams(df: DataFrame, path: str, from_id: int | None = None, to_id: i
     index = build_trigrams(rows).withColumn("bucket", F.when(F.col("kind") == TEXT, F.pmod(F.pmod("key", F.lit(8191)), F.lit(BUCKETS))).otherwise(0).cast("int"))
     dealt = index.repartition("kind", "bucket", F.pmod(F.xxhash64("word"), F.lit(SALTS))).sortWithinPartitions("kind", "bucket", "key", "word")
     dealt.write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/ids={name}")
+    df.sparkSession.createDataFrame([(name,)], "ids string").coalesce(1).write.mode("append").parquet(f"{path}/_ranges/names")
 
 
 def load_trigrams(spark: SparkSession, path: str) -> DataFrame:
@@ -98,9 +99,8 @@ def load_trigrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def indexed_ranges(spark: SparkSession, path: str) -> list[str]:
-    """Ranges of ids (``all``, or ``low..high``) whose index is complete, by their success marks; only names are listed."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(path)
-    return sorted(r["ids"] for r in done.select(F.regexp_extract("path", r"/ids=([^/]+)/", 1).alias("ids")).distinct().toLocalIterator())
+    """Ranges of ids (``all``, or ``low..high``) whose index is complete: noted when it is written."""
+    return sorted(r["ids"] for r in spark.read.parquet(f"{path}/_ranges/names").distinct().collect())  # one row a range
 
 
 def _hits(index: DataFrame, term: str) -> DataFrame:

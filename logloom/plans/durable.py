@@ -48,7 +48,13 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str) -> Data
     for part, n in sums:
         before.append((part, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_range int, _before long")
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_range int, _lead long")
     inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     summed = ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(F.broadcast(offsets), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+    return summed.join(F.broadcast(offsets), "_range").withColumn(out, F.col(out) + F.col("_lead")).drop("_range", "_lead")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file, wherever Spark keeps it: a superseded load, a run's scratch."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +11,15 @@ from logloom import sinks, streaming
 from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
 from logloom.operators import analysis, packs, paging, rewrite, rules, trigram
-from logloom.plans.durable import scratch
+from logloom.plans.durable import remove, scratch
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
 from logloom.plans.search import search
 from logloom.plans.spec import FilterSpec, SortSpec
 from logloom.queries import CV, DL, EV, ORD, _T, _ids, _time_text, conversation_rows, document_lines, event_rows, order_rows, query, table
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
-from logloom.sources.folder import read_inputs, rebase_source, source_type
+from logloom.sources.folder import read_inputs, rebase_source, renumbered, source_type, union_sources
+from logloom.sources.incremental import compact, ingest_incremental, read_store
 from logloom.sources.jsonlogs import read_json_doc, read_json_lines
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, work_items_to_events
 from logloom.sources.text import read_text_logs
@@ -405,14 +408,59 @@ def saved_index(spark, sf_dir):
     return _ids(trigram.search_indexed(rows, trigram.load_trigrams(spark, path), "USER=42"))
 
 
-# Streams.
+# Stores and streams.
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
-    """Event lines, each twice, streamed into a store; the store and the finished query."""
+_TWICE = " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{tag}' AS tag, level, count(*) AS n FROM ev WHERE {where} GROUP BY level"
+    for step, tag, where in (("1 loaded", "a", "true"), ("2 other rules", "b", "true"), ("3 a file gone", "b", "task_name <> 'click'"), ("4 compacted", "b", "task_name <> 'click'"))
+)
+
+
+@query("ingest_twice", f"WITH {EV} {_TWICE}")
+def ingest_twice(spark, sf_dir):
+    """A folder with a file for each kind of event is loaded, loaded under other rules, loses a kind, and is compacted; the store after each step."""
+    folder, store = scratch(spark, "folder"), scratch(spark, "versions")
     e = event_rows(spark, sf_dir)
+    e.select("task_name", F.concat(F.when(F.col("level") == 1, "ERROR ").otherwise("INFO "), "message").alias("value")).repartition("task_name").write.partitionBy("task_name").text(folder)
+    seen = []
+
+    def state(step: str) -> None:
+        path = scratch(spark, "state")  # as the store was then
+        read_store(spark, store).groupBy(F.element_at("tags", 1).alias("tag"), "level").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+        seen.append(spark.read.parquet(path).withColumn("step", F.lit(step)))
+
+    for step, tag in (("1 loaded", "a"), ("2 other rules", "b"), ("3 a file gone", "b")):
+        if step.startswith("3"):
+            remove(spark, f"{folder}/task_name=click")
+        ingest_incremental(spark, folder, store, lambda s, p, tag=tag: read_text_logs(s, p, ids=True).withColumn("tags", F.array(F.lit(tag))), tag)
+        state(step)
+    compact(spark, store)
+    state("4 compacted")
+    return reduce(DataFrame.unionByName, seen)
+
+
+@query("step_records", f"WITH {EV} SELECT 'store' AS step, count(*) AS records FROM ev UNION ALL SELECT 'errors', count(*) FROM ev WHERE level = 1")
+def step_records(spark, sf_dir):
+    """Records of the steps of a run, counted by the steps' own jobs."""
+    report, path = analysis.RunReport(), scratch(spark, "steps")
+    with report.timed("store"):
+        sinks.save_events(report.observed(event_rows(spark, sf_dir), "store"), path)
+    with report.timed("errors"):
+        report.observed(sinks.load_events(spark, path).where("level = 1"), "errors").write.parquet(scratch(spark, "errors"))
+    return spark.createDataFrame([(r["step"], r["records"]) for r in report.rows()], "step string, records long")
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files with a line for each event, each twice."""
     line = F.concat(F.when(F.col("level") == 1, "ERROR ").otherwise("INFO "), "task_name")
-    path = _lines(e.select(line.alias("value")).withColumn("value", F.explode(F.array("value", "value"))), F.col("value"), "grown")
+    lines = event_rows(spark, sf_dir).select(line.alias("value")).withColumn("value", F.explode(F.array("value", "value")))
+    return _lines(lines, F.col("value"), "grown")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    """Event lines, each twice, streamed into a store; the store and the finished query."""
+    path = _event_lines(spark, sf_dir)
     store = scratch(spark, "store")
     q = streaming.ingest(streaming.stream_events(spark, path), store, scratch(spark, "progress"), enrich=lambda df: df.withColumn("tags", F.array(F.lit("seen"))))
     q.awaitTermination()
@@ -433,6 +481,31 @@ def stream_progress(spark, sf_dir):
     return stored.agg(F.count(F.lit(1)).alias("n")).withColumns({"rows": F.lit(seen["rows"]).cast("long"), "active": F.lit(seen["active"])})
 
 
+@query("stream_bounded", f"WITH {EV} SELECT least(2 * count(*), 777) AS n, least(2 * count(*), 777) AS ids, 0 AS low, least(2 * count(*), 777) - 1 AS high FROM ev")
+def stream_bounded(spark, sf_dir):
+    """A collection that ends at its 777th event."""
+    got = streaming.collect_bounded(streaming.stream_events(spark, _event_lines(spark, sf_dir), files_per_batch=1), scratch(spark, "store"), scratch(spark, "progress"), most=777)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+
+
+@query("ids_of_streams", f"WITH {EV} SELECT 5 * count(*) AS n, 5 * count(*) AS ids FROM ev")
+def ids_of_streams(spark, sf_dir):
+    """A streamed store with itself and with events that have ids of their own: as many ids as rows."""
+    stored, _ = _ingested(spark, sf_dir)
+    hashed = event_rows(spark, sf_dir).withColumn("row_id", F.xxhash64("row_id"))
+    return union_sources([stored, stored, renumbered(hashed)]).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"))
+
+
+@query("index_of_stream", f"WITH {EV} SELECT level, 2 * count(*) AS n FROM ev WHERE contains(task_name, 'chase') GROUP BY 1")
+def index_of_stream(spark, sf_dir):
+    """A streamed store is indexed, half of it under ids below 0, and searched."""
+    stored, _ = _ingested(spark, sf_dir)
+    half = F.when(F.col("row_id") % 2 == 0, F.col("row_id")).otherwise(-F.col("row_id") * 1_000_003)
+    rows, path = stored.withColumn("row_id", half), scratch(spark, "index")
+    trigram.save_trigrams(rows, path)
+    return trigram.search_indexed(rows, trigram.load_trigrams(spark, path), "CHASE").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_collected", f"WITH {CV} SELECT count(*) AS n FROM cv, (SELECT 1) WHERE trim(replace(replace(message, chr(10), ' '), chr(13), ' ')) <> ''")
 def stream_collected(spark, sf_dir):
     """A collection that ends when what is there is read."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.model import as_events
+from logloom.plans.durable import cut, running_total
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.jsonlogs import read_json_doc, read_json_lines
@@ -53,12 +54,26 @@ def rebase_source(df: DataFrame, root: str, label: str) -> DataFrame:
 def union_sources(parts: list[DataFrame]) -> DataFrame:
     """All events of several sources. Ids stay unique: the part's number stands in the bits above the ids that its rows have.
 
-    A part's own ids must be below 2 ** (63 - bits) for as many bits as number the parts; load-order ids and
-    those of ``monotonically_increasing_id`` are, up to a thousand parts. One part alone keeps its ids.
+    A part's own ids must be from 0 to 2 ** (63 - bits) - 1 for as many bits as number the parts, as those of text loads and
+    streamed stores are, or NULL. An id beyond fails the job: give that part new ids first (``renumbered``). One part alone keeps its ids.
     """
     bits = (len(parts) - 1).bit_length()
-    shifted = [as_events(p).withColumn("row_id", F.col("row_id").bitwiseOR(F.lit(i << (63 - bits)))) if i else as_events(p) for i, p in enumerate(parts)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted)
+    top = 1 << (63 - bits)
+
+    def shifted(part: DataFrame, i: int) -> DataFrame:
+        own = F.col("row_id")
+        beyond = F.raise_error(F.concat(F.lit(f"row_id of part {i} is not from 0 to {top - 1}: "), own.cast("string"))).cast("long")
+        return as_events(part).withColumn("row_id", F.when(own.isNull() | ((own >= 0) & (own < top)), own + F.lit(i * top)).otherwise(beyond))
+
+    out = [shifted(p, i) for i, p in enumerate(parts)] if bits else [as_events(parts[0])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def renumbered(part: DataFrame) -> DataFrame:
+    """The events with ids from 0 on, as they come: written once, and counted by task."""
+    rows = cut(as_events(part).withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    tasks = running_total(rows.groupBy("_task").agg(F.count(F.lit(1)).alias("n")), ["_task"], "n", "_before").drop("n")
+    return rows.join(F.broadcast(tasks), "_task").withColumn("row_id", F.col("_before") + F.col("_place")).select(rows.drop("_task", "_place").columns)
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

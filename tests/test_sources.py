@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom import streaming
@@ -13,12 +15,12 @@ from logloom.plans.search import any_contains
 from logloom.plans.spec import SortSpec
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
-from logloom.sources.folder import read_folder, read_inputs, rebase_source, source_type
-from logloom.sources.incremental import ingest_incremental, read_store
+from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
+from logloom.sources.incremental import compact, ingest_incremental, manifest, read_store
 from logloom.sources.jsonlogs import read_json_doc, read_json_lines
 from logloom.sources.synth import synthetic_logs
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, rows_to_events, work_items_to_events
-from logloom.sources.text import read_text_logs
+from logloom.sources.text import read_text_logs, text_lines
 from logloom.sources.trace import read_trace_text
 
 
@@ -171,6 +173,122 @@ def test_index_equals_scan(spark):
         assert sorted(r.row_id for r in trigram.search_indexed(df, tri, term).collect()) == sorted(r.row_id for r in df.where(any_contains(term)).collect())
 
 
+def test_index_takes_any_id(spark, tmp_path):
+    """Ids below 0, far apart and at both ends; columns that repeat; rows without an id; a short scan and times."""
+    rows = [(i * i * 7919 - 40_000, f"entry {i} of the log", f"App{i % 3}", dt.datetime(2024, 1, 1, 0, i % 60)) for i in range(300)]
+    rows += [(2**63 - 1, "last entry", "Top\u00c4", None), (-(2**63), "first entry", "Bottom", None), (None, "no id entry", "App1", None), (5, "naïve 😀 entry", "x", None)]
+    df = as_events(spark.createDataFrame(rows, "row_id long, message string, provider string, log_time timestamp_ntz")).withColumn("searchable", F.concat("message", F.lit(" (all)"))).repartition(3)
+    trigram.save_trigrams(df, str(tmp_path / "one"))
+    trigram.save_trigrams(df, str(tmp_path / "two"), None, 0)
+    trigram.save_trigrams(df, str(tmp_path / "two"), 0)
+    assert trigram.indexed_ranges(spark, str(tmp_path / "one")) == ["all"] and trigram.indexed_ranges(spark, str(tmp_path / "two")) == ["..0", "0.."]
+    for index in (trigram.load_trigrams(spark, str(tmp_path / "one")), trigram.load_trigrams(spark, str(tmp_path / "two"))):
+        for term in ("entry 29", "APP1", "topä", "bottom", "no id", "😀 e", "00:17", "2024-01-01", "(all)", "log (", "zzz", "17"):
+            assert sorted(map(repr, trigram.search_indexed(df, index, term).collect())) == sorted(map(repr, df.where(any_contains(term)).collect())), term
+    stats = trigram.index_stats(trigram.load_trigrams(spark, str(tmp_path / "one"))).first()
+    assert stats.rows == 303
+
+
+def test_text_ids_are_those_of_a_sort(spark, tmp_path):
+    logs = tmp_path / "in"
+    logs.mkdir()
+    for name, n in (("b.log", 3000), ("a.log", 1), ("c.log", 500), ("empty.log", 0)):
+        (logs / name).write_text("".join(f"{name} line {i} {'x' * (i % 50)}\n{chr(10) if i % 7 == 0 else ''}" for i in range(n)))
+    (logs / "bin.log").write_text("text\nwith \0 sign\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = text_lines(spark, str(logs))
+        got = read_text_logs(spark, str(logs), ids=True)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {(r.row_id, r.message) for r in got.collect()}
+        blocks = lines.select("path", "block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    order = [f"{name} line {i} {'x' * (i % 50)}" for name, n in (("a.log", 1), ("b.log", 3000), ("c.log", 500)) for i in range(n)]
+    assert found == set(enumerate(order)) and blocks > 5
+    assert "Sort " not in plan or "value" not in plan[plan.index("Sort ") : plan.index("Sort ") + 200]
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    logs, store = tmp_path / "in", str(tmp_path / "store")
+    logs.mkdir()
+    (logs / "a.log").write_text("one\ntwo\n")
+    (logs / "b.log").write_text("three\n")
+    load = lambda rules: ingest_incremental(spark, str(logs), store, lambda s, p: read_text_logs(s, p).withColumn("tags", F.array(F.lit(rules))), rules)
+    state = lambda rules=None: sorted((r.message, *r.tags) for r in read_store(spark, store, rules).collect())
+    assert state() == []
+    for rules in "abcd":
+        assert load(rules) == 2 and state() == [("one", rules), ("three", rules), ("two", rules)]
+    assert state("b") == [("one", "b"), ("three", "b"), ("two", "b")]
+    (logs / "b.log").unlink()
+    (logs / "a.log").write_text("one\nmore than before\n")
+    assert load("d") == 1 and state() == [("more than before", "d"), ("one", "d")] and load("d") == 0
+    compact(spark, store)
+    assert state() == [("more than before", "d"), ("one", "d")] and manifest(spark, store).count() == 1 and load("d") == 0
+    (logs / "b.log").write_text("again\n")
+    assert load("d") == 1 and len(state()) == 3
+
+
+def test_ids_of_parts_are_checked(spark):
+    df = as_events(spark.createDataFrame([(-5, "a"), (7, "b"), (7, "c")], "row_id long, message string"))
+    with pytest.raises(Exception, match="row_id of part 1"):
+        union_sources([df.limit(0), df]).collect()
+    out = union_sources([renumbered(df), renumbered(df), df.withColumn("row_id", F.lit(None).cast("long"))])
+    assert out.where("row_id is not null").select("row_id").distinct().count() == 6 and out.count() == 9
+    assert sorted(r.row_id for r in union_sources([df]).collect()) == [-5, 7, 7]
+
+
+def test_one_line_many_times_has_many_ids(spark, tmp_path):
+    logs = tmp_path / "in"
+    logs.mkdir()
+    (logs / "a.log").write_text("same line\n" * 200_000)
+    (logs / "b.log").write_text("same line\nother\n")
+    store, check = str(tmp_path / "store"), str(tmp_path / "check")
+    streaming.ingest(streaming.stream_events(spark, str(logs)), store, check).awaitTermination()
+    (logs / "c.log").write_text("late\n")
+    streaming.ingest(streaming.stream_events(spark, str(logs)), store, check).awaitTermination()
+    stored = spark.read.parquet(store)
+    assert stored.agg(F.count("row_id"), F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (200_003, 200_003, 0, 200_002)
+    assert stored.where("message = 'late'").first().row_id == 200_002 and streaming.held_rows(spark, store) == 200_003
+
+
+def test_collection_ends(spark, tmp_path):
+    """At the n-th event, and in time while a source never rests."""
+    source = spark.readStream.format("rate").option("rowsPerSecond", 1000).load()
+    steady = as_events(source.select(F.col("value").alias("row_id"), F.col("timestamp").cast("timestamp_ntz").alias("log_time"), F.lit("tick").alias("message")))
+    began = time.monotonic()
+    assert streaming.collect_bounded(steady, str(tmp_path / "a"), str(tmp_path / "ca"), seconds=6).count() >= 0
+    assert time.monotonic() - began < 20
+    assert streaming.collect_bounded(steady, str(tmp_path / "b"), str(tmp_path / "cb"), seconds=60, most=700).count() == 700
+    logs = tmp_path / "in"
+    logs.mkdir()
+    for i in range(5):
+        (logs / f"{i}.log").write_text(f"line of {i}\n" * 10)
+    got = streaming.collect_bounded(streaming.stream_events(spark, str(logs), 1), str(tmp_path / "c"), str(tmp_path / "cc"), most=23)
+    assert sorted(r.row_id for r in got.collect()) == list(range(23))
+
+
+def test_progress_of_many_batches(spark, tmp_path):
+    logs = tmp_path / "in"
+    logs.mkdir()
+    for i in range(130):
+        (logs / f"{i}.log").write_text("a line\n")
+    writer = streaming.stream_events(spark, str(logs), 1).drop("_block").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
+    streaming._totals(spark)
+    query = writer.start()
+    query.awaitTermination()
+    seen = streaming.progress(query)
+    assert (seen["rows"], seen["active"]) == (130, False) and seen["batches"] == 130 and len(query.recentProgress) <= 100
+
+
+def test_run_report(spark, tmp_path):
+    report = analysis.RunReport()
+    with report.timed("write"):
+        report.observed(synthetic_logs(spark, 500, 2), "write").write.parquet(str(tmp_path / "x"))
+    (row,) = report.rows()
+    assert row["step"] == "write" and row["records"] == 500 and row["seconds"] > 0
+
+
 def test_diagram_text(spark):
     rows = [(0, "open db"), (1, "call get x end"), (2, "call get x end"), (3, "close db"), (4, "close db")]
     df = as_events(spark.createDataFrame(rows, "row_id long, message string"))
