@@ -39,7 +39,7 @@ DISM_FIELDS = _pack(
     [
         _field("dism-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True, Source="DISM"),
         _field("dism-component", r"\bDISM\b", r"DISM\s+(?<comp>[A-Za-z][A-Za-z0-9 .]*?):", True, TaskName="{comp}"),
-        _field("dism-level", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
+        _field("dism-level", r",\s+(Info|Warning|Error|Verbose|Debug)\b", r",\s+(?<lvl>Info|Warning|Error|Verbose|Debug)\b", True),
         _field("dism-pid-tid", r"PID=\d+\s+TID=\d+", r"PID=(?<pid>\d+)\s+TID=(?<tid>\d+)", True, ProcessId="{pid}", ThreadId="{tid}"),
         _field("dism-bracket-pid-tid", r"^\[\d+\.\d+\]", r"^\[(?<pid>\d+)\.(?<tid>\d+)\]", True, ProcessId="{pid}", ThreadId="{tid}", Source="DISM"),
     ],
@@ -48,26 +48,26 @@ CBS_FIELDS = _pack(
     "CbsFields", "enrichment",
     [
         _field("cbs-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True, Source="CBS"),
-        _field("cbs-level", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
+        _field("cbs-level", r",\s+(Info|Warning|Error|Verbose|Debug)\b", r",\s+(?<lvl>Info|Warning|Error|Verbose|Debug)\b", True),
         _field("cbs-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+(?:CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})(?<comp>CBS|CSI|SXS|DPX|DWLD|WSP|SQM)\b", True, TaskName="{comp}"),
         _field("cbs-hresult", r"\[HRESULT = 0x[0-9A-Fa-f]+", r"\[HRESULT = (?<hr>0x[0-9A-Fa-f]+)", False, EventId="{hr}"),
     ],
 )
 SETUP_FIELDS = _pack(
-    "SetupFields", "enrichment",
+    "PantherFields", "enrichment",
     [
-        _field("setup-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(?:Info|Warning|Error|Verbose|Debug)\b", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True),
-        _field("setup-level", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(?:Info|Warning|Error|Verbose|Debug)\b", r",\s+(?:Info|Warning|Error|Verbose|Debug)\b", True),
-        _field("setup-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+[A-Z][A-Za-z0-9]{1,9}\s{2,}", r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})(?<comp>[A-Z][A-Za-z0-9]{1,9})(?=\s{2,})", True, TaskName="{comp}"),
-        _field("setup-result", r"Result = 0x[0-9A-Fa-f]+", r"Result = (?<hr>0x[0-9A-Fa-f]+)", False, EventId="{hr}"),
-        _field("setup-process", r"\[[A-Za-z0-9._-]+\.(?:exe|dll|sys)\]", r"\[(?<proc>[A-Za-z0-9._-]+\.(?:exe|dll|sys))\]\s?", True, TaskName="{proc}"),
+        _field("panther-line", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(Info|Warning|Error|Verbose|Debug)\b", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?", True),
+        _field("panther-level", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\s+(Info|Warning|Error|Verbose|Debug)\b", r",\s+(?<lvl>Info|Warning|Error|Verbose|Debug)\b", True),
+        _field("panther-component", r",\s+(?:Info|Warning|Error|Verbose|Debug)\s+[A-Z][A-Za-z0-9]{1,9}\s{2,}", r"(?<=,\s{1,4}(?:Info|Warning|Error|Verbose|Debug)\s{1,40})(?<comp>[A-Z][A-Za-z0-9]{1,9})(?=\s{2,})", True, TaskName="{comp}"),
+        _field("panther-result", r"Result = 0x[0-9A-Fa-f]+", r"Result = (?<hr>0x[0-9A-Fa-f]+)", False, EventId="{hr}"),
+        _field("panther-process", r"\[[A-Za-z0-9._-]+\.(?:exe|dll|sys)\]", r"\[(?<proc>[A-Za-z0-9._-]+\.(?:exe|dll|sys))\]\s?", True, TaskName="{proc}"),
     ],
 )
 UPDATE_FIELDS = _pack(
-    "UpdateMessageCleanup", "enrichment",
+    "WuMessageCleanup", "enrichment",
     [
-        _field("update-prefix", r"^.+? == (Info|Warning|Error|Verbose|Debug|Critical|Trace):", r"^.+? == (?:Info|Warning|Error|Verbose|Debug|Critical|Trace):\s*", True),
-        _field("update-trailing-pipe", r"\|\s*$", r"\s*\|\s*$", True),
+        _field("wu-task-level-prefix", r"^.+? == (Info|Warning|Error|Verbose|Debug|Critical|Trace):", r"^.+? == (?:Info|Warning|Error|Verbose|Debug|Critical|Trace):\s*", True),
+        _field("wu-trailing-pipe", r"\|\s*$", r"\s*\|\s*$", True),
     ],
 )
 PACKS = {

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from logloom.functions.parse import parse_span, rule_date, time_literal
 from logloom.functions.text import contains_ci, isin_ci
 from logloom.model import FIELD_ALIASES, STRING_COLUMNS, level_name
+from logloom.plans.ambiguity import ambiguous
 
 PURPOSES = {"filter", "enrichment", "output", "uml", "scope"}
 
@@ -158,9 +159,9 @@ def guarded(column: Column, pattern: str, hit: Column, other: Column) -> Column:
 
 
 def regex_or_contains(column: Column, pattern: str) -> Column:
-    """Regular expression, ignoring case; a substring if the pattern does not compile."""
+    """Regular expression, ignoring case; a substring if the pattern does not compile, or could take time without bound (see ``ambiguity``)."""
     p = "(?iu)" + java_groups(pattern)
-    if not compiles(p):
+    if ambiguous(pattern) or not compiles(p):
         return F.coalesce(contains_ci(column, pattern), F.lit(False))
     return F.coalesce(guarded(column, pattern, column.rlike(p), F.lit(False)), F.lit(False))
 

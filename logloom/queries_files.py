@@ -12,6 +12,7 @@ from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
 from logloom.operators import analysis, packs, paging, rewrite, rules, trigram
 from logloom.plans.durable import remove, scratch
+from logloom.plans.rules import regex_or_contains
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
 from logloom.plans.search import search
 from logloom.plans.spec import FilterSpec, SortSpec
@@ -20,7 +21,7 @@ from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.folder import read_inputs, rebase_source, renumbered, source_type, union_sources
 from logloom.sources.incremental import compact, ingest_incremental, read_store
-from logloom.sources.jsonlogs import read_json_doc, read_json_lines
+from logloom.sources.jsonlogs import read_json_array, read_json_doc, read_json_lines
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, work_items_to_events
 from logloom.sources.text import read_text_logs
 from logloom.sources.trace import read_trace_text
@@ -110,6 +111,31 @@ def read_json(spark, sf_dir):
     return _json_columns(read_json_doc(spark, path))
 
 
+@query("read_json_array", _JSON_EVENTS)
+def read_array(spark, sf_dir):
+    """One array over many byte ranges, read piece by piece."""
+    e, path = event_rows(spark, sf_dir), scratch(spark, "array")
+    text = F.concat(F.when(F.col("row_id") == e.agg(F.min("row_id")).first()[0], "[").otherwise(","), F.to_json(_record()))
+    last = e.agg(F.max("row_id")).first()[0]
+    e.select(F.concat(text, F.when(F.col("row_id") == last, "]").otherwise("")).alias("value"), "row_id").coalesce(1).sortWithinPartitions("row_id").select("value").write.text(path)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        read = read_json_array(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    return _json_columns(read)
+
+
+@query("slow_patterns", f"WITH {EV} SELECT 'plain' AS name, count(*) AS n FROM ev WHERE regexp_matches(message, 'user=[0-9]+2\\b')")
+def slow_patterns(spark, sf_dir):
+    """Rules with a plain pattern and with one that would never end on a long line; the second is looked for as it is written."""
+    e = event_rows(spark, sf_dir).withColumn("searchable", F.concat("message", F.lit(" "), F.repeat(F.lit("a"), 20_000)))
+    found = {"plain": r"user=\d+2\b", "loop": r"(\w+\s?)+#"}
+    counts = e.agg(*[F.count_if(regex_or_contains(F.col("searchable"), p)).alias(name) for name, p in found.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in found])).alias("x")).select("x.*").where("n > 0")
+
+
 @query("read_event_xml", f"WITH {EV} SELECT CAST(row_id AS VARCHAR) AS record_id, level, {_T} AS time, task_name, 'Data1: ' || username || ', kind: ' || task_name AS message, 'host' AS machine_name FROM ev")
 def read_xml(spark, sf_dir):
     """Event records of the event log's export."""

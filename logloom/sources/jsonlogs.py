@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.plans.durable import cut, running_total
 from logloom.sources.mapper import map_to_events
 
 _RECORD = "map<string,string>"
@@ -20,7 +22,7 @@ def read_json_doc(spark: SparkSession, path: str, overrides: dict[str, str] | No
     """Events of JSON documents: a top-level array, an object that holds an array, or one object.
 
     Files that are neither are read as JSON lines. Each file is one value, so
-    this reader is for documents, not for large logs.
+    this reader is for documents; ``read_json_array`` is for large ones.
     """
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     body = F.trim(F.regexp_replace("value", "^﻿", ""))
@@ -32,3 +34,58 @@ def read_json_doc(spark: SparkSession, path: str, overrides: dict[str, str] | No
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.from_json(x, _RECORD)), lambda r: r.isNotNull() & (F.size(r) > 0))
     rows = files.select(F.explode(F.coalesce(records, lines)).alias("record"), "path").where("record is not null")
     return map_to_events(rows, "record", F.col("path"), overrides)
+
+
+_IN_STRING = r'"(?:[^"\\]|\\.)*(?:"|$)'
+
+
+def _quotes(piece: Column) -> Column:
+    """Quotes of a piece that no backslash stands before."""
+    bare = F.regexp_replace(piece, r"(?s)\\.", "")
+    return F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"'), F.lit("")))
+
+
+def _count(text: Column, signs: str) -> Column:
+    return F.char_length(text) - F.char_length(F.translate(text, signs, ""))
+
+
+def _before(pieces: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over a file's pieces before this one: within its block, and one row a block for the blocks before."""
+    inside = W.partitionBy("path", "block").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    near = pieces.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    blocks = running_total(pieces.groupBy("path", "block").agg(F.sum(value).alias("_n")), ["path", "block"], "_n", "_all").drop("_n")
+    first = blocks.groupBy("path").agg(F.min(F.struct("block", "_all")).alias("_first"))
+    starts = blocks.join(first, "path").select("path", "block", (F.col("_all") - F.col("_first._all")).alias("_start"))
+    return near.join(starts, ["path", "block"]).withColumn(out, F.col(out) + F.col("_start")).drop("_start")
+
+
+def array_elements(spark: SparkSession, path) -> DataFrame:
+    """path, no, element: the elements of JSON files that are one array each, as text.
+
+    Spark cuts the files in byte ranges, and those at commas. Whether a piece begins within a string is the parity of the quotes
+    before it, its depth the sum of brackets outside strings before it: running sums over pieces, carried from range to range, so a file is read by as many
+    tasks as it has ranges. A piece at depth 1 outside strings begins an element.
+    """
+    read = spark.read.option("lineSep", ",").text(path)
+    pieces = read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    quoted = cut(_before(pieces.withColumn("quotes", _quotes(F.col("value"))), "quotes", "quotes_before"))
+    within = F.col("quotes_before") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(within, '"').otherwise(""), "value"), f"(?s){_IN_STRING}", "")
+    nested = quoted.withColumns({"within": within, "steps": _count(outside, "[{") - _count(outside, "]}")}).drop("quotes", "quotes_before")
+    deep = _before(nested, "steps", "depth")
+    opens = (F.col("depth") == 0) & ~F.col("within")  # the file's first piece
+    begins = cut(deep.withColumn("begins", F.when(opens | ((F.col("depth") == 1) & ~F.col("within")), 1).otherwise(0)))
+    numbered = _before(begins, "begins", "no").withColumn("no", F.col("no") + F.col("begins"))
+    whole = numbered.groupBy("path", "no").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["value"]), ",")
+    head = F.when(F.col("no") == 1, F.regexp_replace(text, r"^[\s\ufeff]*\[", "")).otherwise(text)
+    # What stands behind the last element's end is the array's own bracket.
+    ends = whole.groupBy("path").agg(F.max("no").alias("last"))
+    found = whole.join(ends, "path").withColumn("element", F.trim(F.when(F.col("no") == F.col("last"), F.regexp_replace(head, r"\]\s*$", "")).otherwise(head)))
+    return found.where("element <> ''").select("path", "no", "element")
+
+
+def read_json_array(spark: SparkSession, path, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Events of JSON files that are one array of objects each, of any size and on any number of lines; elements that are no objects are skipped."""
+    records = array_elements(spark, path).select(F.from_json("element", _RECORD).alias("record"), "path")
+    return map_to_events(records.where(F.col("record").isNotNull() & (F.size("record") > 0)), "record", F.col("path"), overrides)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +14,7 @@ from logloom import sinks
 from logloom.functions.parse import parse_span, rule_date
 from logloom.model import as_events
 from logloom.operators import packs, rewrite, rules
+from logloom.plans.ambiguity import ambiguous
 from logloom.plans.rules import compiles, java_groups, load_rules, regex_or_contains, required_sign, sections, validate_rules
 
 
@@ -170,3 +173,34 @@ def test_guard_changes_no_match(spark):
 @pytest.mark.parametrize("pattern", [r"(?<q>a)\k<q>", r"[\w&&[^_]]+x", r"\Qa@\E", "(?x) a # @", "a@?b", "a|@"])
 def test_no_sign_is_required(pattern):
     assert required_sign(pattern) is None
+
+
+SLOW = [r"^(a|a)+$", r"(a*)*b", r"(a+)+$", r"(\w+\s?)*x", r"^(\d+,?)+$", r"(.*)*z", r"(a|ab|b)+c", r"(?:x|[a-z])+!", r"([a-z]+)*\d", r"(?<x>a|b|ab)*c", r"((a{2}|a{3})+)$"]
+QUICK = [r"abc", r"a*b", r"\d+\.\d+", r"(ab)+c", r"(a|b)*c", r"^\s*(\w+)=(\w+)$", r"(?:\d{1,3}\.){3}\d{1,3}", r".*error.*", r"(\w+,)*\w+", r"[a|b|a]+", r"(\||a)+", r"(a|b\p{L}", r"(?<=,\s{1,4}(?:Info|Error)\s{1,40})(?<comp>CBS|CSI)\b"]
+
+
+def test_ambiguous_patterns():
+    assert [p for p in SLOW if not ambiguous(p)] == [] and [p for p in QUICK if ambiguous(p)] == []
+    shipped = [x for pack in packs.PACKS.values() for s in pack["sections"] for r in s["rules"] for x in (r.get("match"), r["action"].get("pattern")) if x]
+    assert shipped and not any(map(ambiguous, shipped))
+
+
+def test_slow_patterns_end(spark):
+    text = "a" * 100_000
+    df = as_events(spark.createDataFrame([(0, text), (1, "has (a*)*b in it"), (2, "ab")], "row_id long, searchable string")).cache()
+    df.count()
+    for pattern in SLOW:
+        began = time.perf_counter()
+        found = {r.row_id for r in df.where(regex_or_contains(F.col("searchable"), pattern)).select("row_id").collect()}
+        assert found == ({1} if pattern == "(a*)*b" else set()) and time.perf_counter() - began < 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.sampled_from(["a", "b", "[ab]", "c"]), lambda x: st.one_of(st.tuples(x, x).map("".join), st.tuples(x, x).map(lambda t: f"(?:{t[0]}|{t[1]})"), x.map(lambda t: f"(?:{t})+"), x.map(lambda t: f"(?:{t})?")), max_leaves=7))
+def test_patterns_that_are_not_ambiguous_do_not_explode(pattern):
+    """A pattern judged safe fails within few steps on words of its own letters; Python's matcher, which backtracks as well, is the clock."""
+    if not ambiguous(pattern):
+        for word in ("a" * 28, "ab" * 14, "abc" * 9, "b" * 28):
+            began = time.process_time()
+            re.fullmatch(pattern, word + "!")
+            assert time.process_time() - began < 1

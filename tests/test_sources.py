@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import time
 
 import pytest
@@ -17,7 +18,7 @@ from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
 from logloom.sources.incremental import compact, ingest_incremental, manifest, read_store
-from logloom.sources.jsonlogs import read_json_doc, read_json_lines
+from logloom.sources.jsonlogs import array_elements, read_json_array, read_json_doc, read_json_lines
 from logloom.sources.synth import synthetic_logs
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, rows_to_events, work_items_to_events
 from logloom.sources.text import read_text_logs, text_lines
@@ -303,3 +304,36 @@ def test_diagram_text(spark):
     assert sequence.diagram_text(df, d).splitlines() == ["sequenceDiagram", "    title T", '    actor A as "The app"', "    participant B", "    activate B", "    A-->>B: 'get |x'", "    A-->>B: 'get |x'", "    deactivate B"]
     text = sequence.diagram_text(df, d | {"dedupe": True, "maxElements": 2}, "plantuml")
     assert text.splitlines() == ["@startuml", "title T", 'actor "The app" as A', "participant B", "activate B", "A --> B :  get |x ×2", "note over A : diagram truncated at 2 elements", "@enduml"]
+
+
+def test_json_array_over_many_ranges(spark, tmp_path):
+    """Quotes, escapes, brackets and commas in strings, nesting, line breaks, empty arrays, a mark at the start, all across borders of ranges."""
+    rng = random.Random(1)
+
+    def value(depth=0):
+        kind = rng.random()
+        if kind < 0.5:
+            return "".join(rng.choice('ab,"\\[]{}:\n é') for _ in range(rng.randint(0, 12)))
+        if kind < 0.7 and depth < 3:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        if kind < 0.85 and depth < 3:
+            return {f"k{i}": value(depth + 1) for i in range(rng.randint(0, 3))}
+        return rng.choice([1, 2.5, None, True])
+
+    expected = {}
+    for n, (size, indent) in enumerate([(300, None), (200, 1), (0, None), (1, None), (40, None)]):
+        expected[f"{n}.json"] = data = [{"id": i, "msg": value()} for i in range(size)]
+        (tmp_path / f"{n}.json").write_text(("\ufeff" if n == 4 else "") + " " + json.dumps(data, ensure_ascii=n % 2 == 0, indent=indent) + " \n", encoding="utf-8")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.option("lineSep", ",").text(str(tmp_path)).rdd.getNumPartitions() > 30
+        found = {name: [] for name in expected}
+        for r in array_elements(spark, str(tmp_path)).orderBy("no").collect():
+            found[r.path.split("/")[-1]].append(json.loads(r.element))
+        events = read_json_array(spark, str(tmp_path / "0.json")).count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == expected and events == 300
