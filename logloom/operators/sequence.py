@@ -174,8 +174,8 @@ def resolve_placeholders(text: str, content: Column, matched: str) -> Column:
     return F.coalesce(F.concat(*parts), F.lit("")) if parts else F.lit("")
 
 
-def diagram_hits(df: DataFrame, definition: dict, content: str = "message") -> DataFrame:
-    """row_id, log_time, rule_no, rule, type, from, to, text, arrow, position of every rule that a row matches."""
+def diagram_hits(df: DataFrame, definition: dict, content: str = "message", group: list[str] = ()) -> DataFrame:
+    """group, row_id, log_time, rule_no, rule, type, from, to, text, arrow, position of every rule that a row matches."""
     hits = []
     text = F.coalesce(F.col(content), F.lit(""))
     for i, r in enumerate(definition.get("rules", [])):
@@ -194,17 +194,17 @@ def diagram_hits(df: DataFrame, definition: dict, content: str = "message") -> D
             )
         )
     if not hits:
-        return df.select("row_id", "log_time").limit(0)
-    return df.select("row_id", "log_time", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("row_id", "log_time", "h.*")
+        return df.select(*group, "row_id", "log_time").limit(0)
+    return df.select(*group, "row_id", "log_time", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*group, "row_id", "log_time", "h.*")
 
 
-def diagram_elements(df: DataFrame, definition: dict, content: str = "message") -> DataFrame:
-    """The elements a diagram shows. An activate needs a participant; a deactivate one that is active:
+def diagram_elements(df: DataFrame, definition: dict, content: str = "message", group: list[str] = ()) -> DataFrame:
+    """The elements a diagram, or one for each group, shows. An activate needs a participant; a deactivate one that is active:
     whose activate or deactivate before it is an activate.
     """
-    hits = diagram_hits(df, definition, content)
+    hits = diagram_hits(df, definition, content, group)
     switch = F.col("type").isin("activate", "deactivate")
-    switches = with_previous(ranged(hits.where(switch & (F.col("from_id") != "")), "log_time", "row_id"), ["from_id"], ["log_time", "row_id", "rule_no"], ["type"])
+    switches = with_previous(ranged(hits.where(switch & (F.col("from_id") != "")), "log_time", "row_id"), [*group, "from_id"], ["log_time", "row_id", "rule_no"], ["type"])
     shown = switches.where((F.col("type") == "activate") | (F.col("prev_type") == "activate"))
     return hits.where(~switch).unionByName(shown.select(hits.columns))
 
@@ -256,23 +256,21 @@ def plantuml_line() -> Column:
     )
 
 
-def dedupe_elements(elements: DataFrame) -> DataFrame:
+def dedupe_elements(elements: DataFrame, group: list[str] = ()) -> DataFrame:
     """Equal elements once, in the order of their first appearance, texts ending in ×N; adds ``n`` and ``first_row``."""
     at = F.struct("log_time", "row_id", "rule_no")
-    shape = ["type", "from_id", "to_id", "text", "arrow", "position"]
+    shape = [*group, "type", "from_id", "to_id", "text", "arrow", "position"]
     one = elements.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"))
     counted = F.when((F.col("n") > 1) & (F.col("text") != ""), F.concat("text", F.lit(" ×"), F.col("n").cast("string"))).otherwise(F.col("text"))
     return one.withColumn("text", counted).select("at.log_time", "at.row_id", "at.rule_no", *shape, "n")
 
 
-def diagram_text(df: DataFrame, definition: dict, syntax: str = "mermaid", content: str = "message") -> str:
-    """Markup of a diagram. ``maxElements`` bounds what comes to the driver; 0 takes 10 000."""
-    elements = diagram_elements(df, definition, content)
-    if definition.get("dedupe"):
-        elements = dedupe_elements(elements)
-    cap = int(definition.get("maxElements") or 0) or 10_000
-    mermaid = syntax == "mermaid"
-    rows = elements.select("log_time", "row_id", "rule_no", (mermaid_line() if mermaid else plantuml_line()).alias("line")).orderBy("log_time", "row_id", "rule_no").limit(cap + 1).collect()
+#: Elements of a diagram at most where its definition sets no bound; tasks that first share a group's elements.
+MOST_ELEMENTS, SHARES = 10_000, 16
+
+
+def _diagram_frame(definition: dict, mermaid: bool, cap: int) -> tuple[str, str, str]:
+    """Lines before the elements, the line in place of those beyond the bound, lines behind."""
     title, participants = definition.get("title"), definition.get("participants", [])
     head = ["sequenceDiagram"] + ([f"    title {title}"] if title else []) if mermaid else ["@startuml"] + ([f"title {title}"] if title else [])
     for p in participants:
@@ -283,8 +281,38 @@ def diagram_text(df: DataFrame, definition: dict, syntax: str = "mermaid", conte
         else:
             known = kind if kind in ("actor", "database", "queue", "entity", "boundary", "control", "collections") else "participant"
             head.append(f'{known} "{name}" as {p["id"]}' if name != p["id"] else f"{known} {p['id']}")
-    lines = [r["line"] for r in rows[:cap]]
-    if len(rows) > cap:
-        over, note = participants[0]["id"] if participants else "", f"diagram truncated at {cap} elements"
-        lines.append(f"    note over {over}: '{note}'" if mermaid else f"note over {over} : {note}")
-    return "\n".join(head + lines + ([] if mermaid else ["@enduml"])) + "\n"
+    over, note = participants[0]["id"] if participants else "", f"diagram truncated at {cap} elements"
+    more = f"    note over {over}: '{note}'" if mermaid else f"note over {over} : {note}"
+    return "".join(f"{x}\n" for x in head), f"{more}\n", "" if mermaid else "@enduml\n"
+
+
+def diagram_texts(df: DataFrame, definition: dict, group: list[str], syntax: str = "mermaid", content: str = "message") -> DataFrame:
+    """group, elements (shown at most), markup: one diagram for each group that has elements, put together on executors.
+
+    Of a group the first ``maxElements`` elements count (MOST_ELEMENTS if that is 0): each of SHARES tasks keeps so many
+    of its share, so a group of any size is bounded before its lines meet.
+    """
+    elements = diagram_elements(df, definition, content, group)
+    if definition.get("dedupe"):
+        elements = dedupe_elements(elements, group)
+    cap, mermaid = int(definition.get("maxElements") or 0) or MOST_ELEMENTS, syntax == "mermaid"
+    order = ["log_time", "row_id", "rule_no"]
+    lines = elements.select(*group, *order, (mermaid_line() if mermaid else plantuml_line()).alias("line")).withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(SHARES)))
+    for keys in ([*group, "_share"], group):
+        lines = lines.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_no") <= cap + 1)
+    shown = F.array_sort(F.collect_list(F.when(F.col("_no") <= cap, F.struct("_no", "line"))))
+    head, more, tail = _diagram_frame(definition, mermaid, cap)
+    out = lines.groupBy(*group).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("elements"), shown.alias("shown"), F.count_if(F.col("_no") > cap).alias("beyond"))
+    text = F.array_join(F.transform("shown", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return out.select(*group, "elements", F.concat(F.lit(head), text, F.when(F.col("beyond") > 0, more).otherwise(""), F.lit(tail)).alias("markup"))
+
+
+def diagram_text(df: DataFrame, definition: dict, syntax: str = "mermaid", content: str = "message") -> str:
+    """Markup of one diagram of all rows. ``maxElements`` bounds what comes to the driver; 0 takes MOST_ELEMENTS."""
+    elements = diagram_elements(df, definition, content)
+    if definition.get("dedupe"):
+        elements = dedupe_elements(elements)
+    cap, mermaid = int(definition.get("maxElements") or 0) or MOST_ELEMENTS, syntax == "mermaid"
+    rows = elements.select("log_time", "row_id", "rule_no", (mermaid_line() if mermaid else plantuml_line()).alias("line")).orderBy("log_time", "row_id", "rule_no").limit(cap + 1).collect()
+    head, more, tail = _diagram_frame(definition, mermaid, cap)
+    return head + "".join(f"{r['line']}\n" for r in rows[:cap]) + (more if len(rows) > cap else "") + tail

@@ -659,6 +659,26 @@ def diagram_elements(spark, sf_dir):
     return sequence.diagram_elements(event_rows(spark, sf_dir), DIAGRAM).select("row_id", "rule_no", "rule", "type", "from_id", "text")
 
 
+_LINES = f"""{EV}, h AS (SELECT username, row_id, log_time, 0 AS rule_no, 'activate' AS type, '    activate S' AS line FROM ev WHERE starts_with(message, 'signup')
+    UNION ALL SELECT username, row_id, log_time, 1, 'message', concat('    U->>S: ', chr(39), 'buys as ', username, chr(39)) FROM ev WHERE contains(message, 'purchase')
+    UNION ALL SELECT username, row_id, log_time, 2, 'note', concat('    note right of S: ', chr(39), 'failed', chr(39)) FROM ev WHERE contains(message, 'error') AND NOT contains(message, 'user=9')
+    UNION ALL SELECT username, row_id, log_time, 3, 'deactivate', '    deactivate S' FROM ev WHERE starts_with(message, 'error')),
+    sw AS (SELECT *, lag(type) OVER (PARTITION BY username ORDER BY log_time, row_id, rule_no) AS before FROM h WHERE type IN ('activate', 'deactivate')),
+    el AS (SELECT username, row_id, log_time, rule_no, line FROM h WHERE type NOT IN ('activate', 'deactivate') UNION ALL SELECT username, row_id, log_time, rule_no, line FROM sw WHERE type = 'activate' OR before = 'activate'),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY log_time, row_id, rule_no) AS place FROM el)"""
+
+
+@query(
+    "diagram_texts",
+    f"""WITH {_LINES} SELECT username, least(count(*), 6) AS elements, concat('sequenceDiagram', chr(10), '    title Shop', chr(10), '    actor U as "The user"', chr(10), '    participant S as Shop', chr(10),
+        string_agg(line || chr(10), '' ORDER BY place) FILTER (WHERE place <= 6),
+        CASE WHEN count(*) > 6 THEN concat('    note over U: ', chr(39), 'diagram truncated at 6 elements', chr(39), chr(10)) ELSE '' END) AS markup FROM numbered GROUP BY username""",
+)
+def diagram_texts(spark, sf_dir):
+    """A diagram for each user, six elements each at most."""
+    return sequence.diagram_texts(event_rows(spark, sf_dir), DIAGRAM | {"maxElements": 6}, ["username"])
+
+
 @query("diagram_usage", f"WITH {_HITS} SELECT rule_no, rule, count(*) AS hits FROM h GROUP BY 1, 2")
 def diagram_usage(spark, sf_dir):
     return sequence.diagram_usage(event_rows(spark, sf_dir), DIAGRAM)

@@ -19,7 +19,7 @@ from logloom.plans.spec import FilterSpec, SortSpec
 from logloom.queries import CV, DL, EV, ORD, _T, _ids, _time_text, conversation_rows, document_lines, event_rows, order_rows, query, table
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
-from logloom.sources.folder import read_inputs, rebase_source, renumbered, source_type, union_sources
+from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
 from logloom.sources.incremental import compact, ingest_incremental, read_store
 from logloom.sources.jsonlogs import read_json_array, read_json_doc, read_json_lines
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, work_items_to_events
@@ -72,6 +72,19 @@ def read_csv(spark, sf_dir):
     return e.select(F.col("event_id").cast("long").alias("id"), "message", "username", "level", F.date_format("log_time", "yyyy-MM-dd").alias("day"))
 
 
+@query("read_csv_headers", f"WITH {EV} SELECT row_id AS id, message, level, {_T} AS time, task_name FROM ev")
+def read_csv_headers(spark, sf_dir):
+    """Files with three different headers and delimiters in one folder, read as one."""
+    folder, e = scratch(spark, "tables"), event_rows(spark, sf_dir)
+    cells = {"id": F.col("row_id").cast("string"), "Timestamp": _time_text(), "Severity": F.when(F.col("level") == 1, "error").otherwise("info"), "Message": F.col("message"), "Task": F.col("task_name")}
+    shapes = [(",", list(cells)), (";", ["Message", "Task", "id", "Severity", "Timestamp"]), ("\t", ["Task", "Timestamp", "id", "Message", "Severity"])]
+    for i, (sep, names) in enumerate(shapes):
+        part = e.where(F.pmod("row_id", F.lit(3)) == i).select(*[cells[n].alias(n) for n in names])
+        part.repartition(3).write.option("quoteAll", True).csv(f"{folder}/{i}", header=True, sep=sep, escape='"')
+    out = read_folder(spark, folder)
+    return out.select(F.col("event_id").cast("long").alias("id"), "message", "level", _time_text().alias("time"), "task_name")
+
+
 @query("read_tsv_export", f"WITH {EV} SELECT username AS pid, CASE level WHEN 1 THEN 1 ELSE 3 END AS level, {_T} AS time, task_name FROM ev WHERE row_id % 10 <> 0")
 def read_tsv(spark, sf_dir):
     """A telemetry export; every tenth row has a field too many and is dropped."""

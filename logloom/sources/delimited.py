@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions.parse import parse_time, trace_level
 from logloom.model import as_events
-from logloom.sources.mapper import columns_to_events, mapping_for
+from logloom.plans.durable import cut
+from logloom.sources.mapper import columns_to_events, map_to_events, mapping_for
+from logloom.sources.text import text_lines
 
 DELIMITERS = ",;\t"
 #: Columns that a telemetry export must have.
@@ -45,6 +47,36 @@ def read_csv_logs(spark: SparkSession, path: str, delimiter: str | None = None,
     return columns_to_events(rows, names, F.col("_metadata.file_path"), overrides)
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """path, line, block, place of the first line of each file; ``lines`` as of ``text_lines``."""
+    first = lines.groupBy("path").agg(F.min_by(F.struct("value", "block", "place"), F.struct("block", "place")).alias("f"))
+    return first.select("path", F.col("f.value").alias("line"), F.col("f.block").alias("block"), F.col("f.place").alias("place"))
+
+
+def read_csv_files(spark: SparkSession, path, overrides: dict[str, str] | None = None, recursive: bool = False) -> DataFrame:
+    """Events of many CSV or TSV files, each with a header of its own.
+
+    Files are grouped by their header line: each different header, of which there are few, is one way to cut a line
+    (``from_csv``), and all files are one scan, whatever their number. Cells are those of ``read_csv_logs``; a line is a record.
+    """
+    lines = text_lines(spark, path, recursive)
+    heads = cut(first_lines(lines).withColumn("sign", F.xxhash64("line")))
+    kinds = sorted({(r["sign"], r["line"]) for r in heads.select("sign", "line").distinct().toLocalIterator()})
+    if not kinds:
+        return as_events(spark.createDataFrame([], "message string"))
+    record = F.lit(None).cast("map<string,string>")
+    options = {"mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    for sign, header in kinds:
+        sep = sniff(header)
+        names = headers(header, sep)
+        cells = F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in names), options | {"sep": sep})
+        pairs = F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(F.array(*[cells.getField(n) for n in names]), lambda c: F.coalesce(c, F.lit(""))))
+        record = F.when(F.col("sign") == sign, pairs).otherwise(record)
+    marks = heads.select(F.col("path").alias("_path"), "sign", F.col("block").alias("_block"), F.col("place").alias("_place"))
+    body = lines.join(marks, (F.col("path") == F.col("_path")) & ~((F.col("block") == F.col("_block")) & (F.col("place") == F.col("_place"))))
+    return map_to_events(body.select("path", record.alias("record")), "record", F.col("path"), overrides)
+
+
 def read_tsv_export(spark: SparkSession, path: str) -> DataFrame:
     """Telemetry export: tab-separated without quoting; rows with a wrong number of fields are dropped.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.model import as_events
 from logloom.plans.durable import cut, running_total
-from logloom.sources.delimited import read_csv_logs, read_tsv_export
+from logloom.sources.delimited import read_csv_files, read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.jsonlogs import read_json_doc, read_json_lines
 from logloom.sources.text import read_text_logs
@@ -84,18 +84,19 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 def read_folder(spark: SparkSession, path: str, depth: str = "deep", readers: dict | None = None) -> DataFrame:
     """Events of all files with a known extension; ``shallow`` takes the folder's own files alone.
 
-    Files of one kind are one read; formats with a header are one read for each file, as headers differ.
+    Files of one kind are one read; CSV and TSV files are one read together, grouped by their headers.
     """
     readers = readers or READERS
     files = list_files(spark, path, depth.lower() != "shallow").select("path", extension(F.col("path")).alias("kind")).where(F.col("kind").isin(list(readers)))
     by_kind: dict[str, list[str]] = {}
     for r in files.orderBy("path").toLocalIterator():
         by_kind.setdefault(r["kind"], []).append(r["path"])
-    parts = []
+    tables = [p for kind, paths in sorted(by_kind.items()) if readers[kind] is read_csv_logs for p in paths]
+    parts = [read_csv_files(spark, tables)] if tables else []
     for kind, paths in sorted(by_kind.items()):
-        if readers[kind] in (read_csv_logs, read_tsv_export):
+        if readers[kind] is read_tsv_export:
             parts += [readers[kind](spark, p) for p in paths]
-        else:
+        elif readers[kind] is not read_csv_logs:
             parts.append(readers[kind](spark, paths))
     return union_sources(parts) if parts else as_events(spark.createDataFrame([], "message string"))
 

@@ -14,7 +14,7 @@ from logloom.model import as_events
 from logloom.operators import analysis, paging, sequence, trigram
 from logloom.plans.search import any_contains
 from logloom.plans.spec import SortSpec
-from logloom.sources.delimited import read_csv_logs, read_tsv_export
+from logloom.sources.delimited import read_csv_files, read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
 from logloom.sources.incremental import compact, ingest_incremental, manifest, read_store
@@ -337,3 +337,33 @@ def test_json_array_over_many_ranges(spark, tmp_path):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert found == expected and events == 300
+
+
+def test_csv_files_by_header(spark, tmp_path):
+    for i in range(40):
+        texts = [f'time,level,message\n2024-01-01 00:00:{i:02},error,"m, {i}"\n', f"Msg;pid\nm, {i};7\nshort\n", f"\n\na\t\tmsg\nx\ty\tm, {i}\n"]
+        (tmp_path / f"{i}.csv").write_text(texts[i % 3])
+    columns = ["log_time", "level", "message", "process_id", "searchable", "source"]
+    got = read_csv_files(spark, str(tmp_path)).select(columns).collect()
+    one_by_one = [tuple(r) for i in range(40) for r in read_csv_logs(spark, str(tmp_path / f"{i}.csv")).select(columns).collect()]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, one_by_one)) and len(one_by_one) == 53
+    few = tmp_path / "few"
+    few.mkdir()
+    for i in range(3):
+        (few / f"{i}.csv").write_text((tmp_path / f"{i}.csv").read_text())
+    size = lambda path: read_folder(spark, str(path), "shallow")._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(tmp_path) == size(few)
+    assert read_csv_files(spark, str(few / "0.csv")).first().fields == {"time": "2024-01-01 00:00:00", "level": "error", "message": "m, 0"}
+
+
+def test_diagrams_of_groups(spark):
+    rows = [(i, f"call get x{i % 4} end", "ab"[i % 2]) for i in range(30)] + [(100, "open", "c"), (101, "close", "c"), (102, "close", "c"), (103, "none", "d")]
+    df = as_events(spark.createDataFrame(rows, "row_id long, message string, provider string")).repartition(4)
+    d = {
+        "title": "T", "participants": [{"id": "A"}, {"id": "B"}],
+        "rules": [{"match": "^open", "action": {"type": "activate", "from": "B"}}, {"match": "call", "action": {"type": "message", "from": "A", "to": "B", "text": "{extract:get (\\w+)}"}}, {"match": "^close", "action": {"type": "deactivate", "from": "B"}}],
+    }
+    for more in ({}, {"maxElements": 4}, {"dedupe": True}, {"dedupe": True, "maxElements": 1}):
+        for syntax in ("mermaid", "plantuml"):
+            got = {r.provider: r.markup for r in sequence.diagram_texts(df, d | more, ["provider"], syntax).collect()}
+            assert got == {p: sequence.diagram_text(df.where(F.col("provider") == p), d | more, syntax) for p in "abc"}
