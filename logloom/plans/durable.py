@@ -54,6 +54,19 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str) -> Data
     return summed.join(F.broadcast(offsets), "_range").withColumn(out, F.col(out) + F.col("_lead")).drop("_range", "_lead")
 
 
+def clear(spark: SparkSession, names: list[str] | None = None) -> None:
+    """Removes what the library has left in the shared folder: scratch tables of some names, and without names all that is in the folder, checkpoints too.
+
+    For the end of a job that has a folder of its own: what reads a table or checkpoint there cannot be computed again after.
+    """
+    folder = shared_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for f in files.listStatus(path) if files.exists(path) else []:
+        if names is None or f.getPath().getName().rsplit("-", 1)[0] in names:
+            files.delete(f.getPath(), True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder or file, wherever Spark keeps it: a superseded load, a run's scratch."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,11 +12,12 @@ from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
 from logloom.operators import analysis, packs, paging, rewrite, rules, trigram
 from logloom.plans.durable import remove, scratch
-from logloom.plans.rules import regex_or_contains
+from logloom.plans.rules import regex_or_contains, rule_matches
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
 from logloom.plans.search import search
 from logloom.plans.spec import FilterSpec, SortSpec
 from logloom.queries import CV, DL, EV, ORD, _T, _ids, _time_text, conversation_rows, document_lines, event_rows, order_rows, query, table
+from logloom.sources.datasource import register
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
@@ -384,6 +385,55 @@ def servicing_fields(spark, sf_dir):
     return rules.extract(rows, packs.DISM_FIELDS).select("row_id", "provider", "task_name", "process_id", "thread_id")
 
 
+@query(
+    "servicing_packs",
+    f"""WITH {EV} SELECT row_id, 'cbs' AS pack, 'CBS' AS provider, 'CBS' AS task_name, '0x' || username AS event_id, 'Exec: Failed user ' || username || ' [HRESULT = 0x' || username || ' - E_FAIL]' AS message FROM ev
+    UNION ALL SELECT row_id, 'setup', 'events', 'setup.exe', '0x' || username, 'Migration of user ' || username || ' done. Result = 0x' || username FROM ev
+    UNION ALL SELECT row_id, 'update', 'events', task_name, '', 'scan for user ' || username FROM ev""",
+)
+def servicing_packs(spark, sf_dir):
+    """The packs of component servicing, setup and update logs over lines of their shapes."""
+    e, who = event_rows(spark, sf_dir), F.col("username")
+    head = F.lit("2024-05-06 07:08:09, ")
+    shapes = {
+        "cbs": (packs.CBS_FIELDS, F.concat(head, F.lit("Error                 CBS    Exec: Failed user "), who, F.lit(" [HRESULT = 0x"), who, F.lit(" - E_FAIL]"))),
+        "setup": (packs.SETUP_FIELDS, F.concat(head, F.lit("Info                  MIG    [setup.exe] Migration of user "), who, F.lit(" done. Result = 0x"), who)),
+        "update": (packs.UPDATE_FIELDS, F.concat(F.lit("Agent == Info:  scan for user "), who, F.lit(" | "))),
+    }
+    out = [rules.extract(e.withColumns({"message": line, "searchable": line}), pack).select("row_id", F.lit(name).alias("pack"), "provider", "task_name", "event_id", "message") for name, (pack, line) in shapes.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("relative_dates", "SELECT 'within a week' AS rule, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY UNION ALL SELECT 'before two days', count(*) FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY UNION ALL SELECT 'after 36 hours', count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR")
+def relative_dates(spark, sf_dir):
+    """Rules whose dates are spans back from a time, here the newest event's."""
+    e = event_rows(spark, sf_dir)
+    now = e.agg(F.max("log_time")).first()[0]
+    ranges = {"within a week": {"withinLast": "7d"}, "before two days": {"before": "-2d"}, "after 36 hours": {"after": "-36h"}}
+    counts = e.agg(*[F.count_if(rule_matches({"dateRange": r}, now=now)).alias(name) for name, r in ranges.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name in ranges])).alias("x")).select("x.*")
+
+
+@query("write_results_tables", f"WITH {EV} SELECT f.format, task_name AS task, CASE level WHEN 1 THEN 'Error' ELSE 'Info' END AS level, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars FROM ev, (VALUES ('csv'), ('json')) AS f(format) GROUP BY 1, 2, 3")
+def write_results_tables(spark, sf_dir):
+    """The fixed eight columns as CSV and as JSON, read back."""
+    e, parts = event_rows(spark, sf_dir), []
+    for fmt in ("csv", "json"):
+        path = scratch(spark, fmt)
+        sinks.write_results(e, path, fmt)
+        back = spark.read.csv(path, header=True, escape='"') if fmt == "csv" else spark.read.json(path)
+        parts.append(back.groupBy(F.lit(fmt).alias("format"), F.col("taskname").alias("task"), "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("message")).alias("chars")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("source_rows", "SELECT CASE WHEN i % 20 = 0 THEN 1 WHEN i % 7 = 0 THEN 2 WHEN i % 13 = 0 THEN 4 ELSE 3 END AS level, count(*) AS n, min(i) AS low, max(i) AS high FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i) WHERE i >= 100 GROUP BY 1")
+def source_rows(spark, sf_dir):
+    """Rows of the synthetic source, as many as there are events, from the hundredth on."""
+    register(spark)
+    rows = spark.read.format("synthetic_logs").option("rows", event_rows(spark, sf_dir).count()).load()
+    return rows.where("row_id >= 100").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+
+
 @query("row_by_id", f"WITH {EV} SELECT row_id, message FROM ev WHERE row_id = (SELECT max(row_id) FROM ev)")
 def row_by_id(spark, sf_dir):
     rows = event_rows(spark, sf_dir)
