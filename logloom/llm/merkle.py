@@ -27,11 +27,10 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm.common import arrow_map, cut
-from logloom.plans.durable import scratch
+from logloom.plans.durable import running_total, scratch
 
 #: Nodes that become one; levels that a slot array climbs; its slots.
 FAN, LEVELS = 8, 3
@@ -86,20 +85,6 @@ def _siblings(tree: list[list[str]], i: int) -> list[tuple[str, str]]:
     return out
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over the rows before this one in a total order, cut: sums within ranges, and one row a range for what lies before."""
-    ranged = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
-    sums = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum(value).alias("n")).collect())
-    before, total = [], 0
-    for part, n in sums:
-        before.append((part, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_range int, _before long")
-    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    summed = ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(F.broadcast(offsets), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
-
-
 def _bit(doc_id: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), doc_id.bitwiseAND(F.lit(63)).cast("int"))
 

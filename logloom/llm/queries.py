@@ -156,7 +156,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def merkle_sql(levels: int = 7, group_levels: int = 2) -> str:
+    """op13 as SQL, level by level: enough for 8 ** ``levels`` documents of a language and 8 ** ``group_levels`` languages."""
+    az = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"]
+    part = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({v} AS VARCHAR))), ':', CAST({v} AS VARCHAR)) END"
+    leaf = lambda text: f"sha256(concat({', '.join(part(c, text if c == 'text' else c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}))"
+    bits = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda acc, b: {bits}), 4294967295)"
+    steps = [
+        f"docs AS (SELECT *, coalesce('+' || lang, '') AS grp, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(f'translate(text, {az[0]!r}, {az[1]!r})')} ELSE {leaf('text')} END AS shown FROM documents)",
+        "p0 AS (SELECT doc_id, grp, leaf, shown AS now, '' AS proof, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs)",
+        "n0 AS (SELECT grp, i, leaf AS node FROM p0)",
+    ]
+
+    def level(nodes: str, proofs: str, k: int, tree: str, keep: str) -> list[str]:
+        """Nodes and proofs one level up; a tree of one node stays as it is."""
+        left, right = "array_to_string(s.nodes[:p.i % 8], '')", "array_to_string(s.nodes[p.i % 8 + 2:], '')"
+        return [
+            f"{nodes}s{k} AS (SELECT {tree}, i // 8 AS run, list(node ORDER BY i) AS nodes, any_value(many) AS many FROM (SELECT *, count(*) OVER (PARTITION BY {tree}) > 1 AS many FROM {nodes}{k}) GROUP BY 1, 2)",
+            f"{nodes}{k + 1} AS (SELECT {tree}, run AS i, CASE WHEN many THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node FROM {nodes}s{k})",
+            f"{proofs}{k + 1} AS (SELECT {keep}, CASE WHEN s.many THEN sha256(concat({left}, p.now, {right})) ELSE p.now END AS now, CASE WHEN s.many THEN concat(p.proof, {left}, {right}) ELSE p.proof END AS proof,"
+            f" p.i // 8 AS i FROM {proofs}{k} p JOIN {nodes}s{k} s ON s.{tree} = p.{tree} AND s.run = p.i // 8)",
+        ]
+
+    for k in range(levels):
+        steps += level("n", "p", k, "grp", "p.doc_id, p.grp, p.leaf")
+    steps += [
+        f"g0 AS (SELECT 0 AS tree, grp, node, row_number() OVER (ORDER BY encode(grp)) - 1 AS i FROM n{levels})",
+        f"q0 AS (SELECT p.doc_id, 0 AS tree, p.leaf, g.node AS subroot, p.now, p.proof, g.i FROM p{levels} p JOIN g0 g USING (grp))",
+    ]
+    for k in range(group_levels):
+        steps += level("g", "q", k, "tree", "p.doc_id, p.tree, p.leaf, p.subroot")
+    last = f"SELECT q.doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = node AS verified FROM q{group_levels} q, g{group_levels}"
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
 ORACLE: dict[str, str] = {
+    "op13_merkle_manifest": merkle_sql(),
     "op12_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM d),

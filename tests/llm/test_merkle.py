@@ -6,6 +6,7 @@ import pytest
 
 from logloom.llm import merkle, queries
 from tests.llm.conftest import ODD, SCHEMA
+from tests.oracle import assert_same, tables
 
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -64,6 +65,10 @@ def test_query_is_brute_force(spark, sf_dir):
     assert {r[-1] for r in got} == {True, False}
 
 
+def test_oracle(spark, sf_dir):
+    assert_same(tables(sf_dir), queries.ORACLE["op13_merkle_manifest"], queries.op13_merkle_manifest(spark, sf_dir))
+
+
 MANY = [(i * i * 37 - 90_000, f"Text {i}", "en" if i % 7 else None, "s", i, "x") for i in range(1500)]
 TIES = [(7, f"Tie {i % 40}", "en", "s", 1, "x") for i in range(700)] + [(None, "N", "en", "s", 1, "x")] * 600 + [(-1, "A", "é", None, None, "x"), (2**63 - 1, "B", "z", "s", 1, "x"), (-(2**63), "C", "z", "s", 1, "x")]
 
