@@ -51,4 +51,4 @@ def test_run_writes_each_stage(spark, sf_dir, monkeypatch):
 
 def test_entry():
     q = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in queries.QUERIES} and set(queries.QUERIES) <= set(q) and "pipeline" in q
+    assert {f"op{n}_" for n in range(1, 14)} == {x[: x.index("_") + 1] for x in queries.QUERIES} and set(queries.QUERIES) <= set(q) and "pipeline" in q
