@@ -194,7 +194,7 @@ def diagram_hits(df: DataFrame, definition: dict, content: str = "message", grou
             )
         )
     if not hits:
-        return df.select(*group, "row_id", "log_time").limit(0)
+        return df.limit(0).select(*group, "row_id", "log_time", F.lit(0).alias("rule_no"), *[F.lit("").alias(c) for c in ("rule", "type", "from_id", "to_id", "text", "arrow", "position")])
     return df.select(*group, "row_id", "log_time", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*group, "row_id", "log_time", "h.*")
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from logloom import sinks, streaming
 from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
-from logloom.operators import analysis, packs, paging, rewrite, rules, trigram
+from logloom.operators import analysis, packs, paging, rewrite, rules, sequence, trigram
 from logloom.plans.durable import remove, scratch
 from logloom.plans.rules import regex_or_contains, rule_matches
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
 from logloom.plans.search import search
 from logloom.plans.spec import FilterSpec, SortSpec
-from logloom.queries import CV, DL, EV, ORD, _T, _ids, _time_text, conversation_rows, document_lines, event_rows, order_rows, query, table
+from logloom.queries import CV, DL, EV, EXTRACT_RULES, ORD, _T, _ids, _time_text, conversation_rows, document_lines, event_rows, order_rows, query, table
 from logloom.sources.datasource import register
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
@@ -404,6 +404,117 @@ def servicing_packs(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
+def _told(e: DataFrame, lines: dict) -> DataFrame:
+    """Events that tell another line for some of their types; the others keep their message."""
+    line = F.col("message")
+    for kind, text in lines.items():
+        line = F.when(F.col("task_name") == kind, text).otherwise(line)
+    return e.withColumn("message", line).withColumn("searchable", F.col("message"))
+
+
+@query(
+    "process_diagrams",
+    f"""WITH {EV}, h AS (SELECT username, row_id, log_time, 0 AS rule_no, 'note' AS type, '    note left of Client: ' || chr(39) || 'pid=' || username || chr(39) AS line FROM ev WHERE task_name = 'purchase'
+    UNION ALL SELECT username, row_id, log_time, 1, 'message', '    Client->>Broker: ' || chr(39) || 'request (req=' || row_id || ')' || chr(39) FROM ev WHERE task_name = 'view'
+    UNION ALL SELECT username, row_id, log_time, 2, 'activate', '    activate Broker' FROM ev WHERE task_name = 'signup'
+    UNION ALL SELECT username, row_id, log_time, 5, 'message', '    Store->>Worker: ' || chr(39) || 'persisted job ' || row_id || chr(39) FROM ev WHERE task_name = 'click'
+    UNION ALL SELECT username, row_id, log_time, 7, 'message', '    Broker->>Client: ' || chr(39) || 'response' || chr(39) FROM ev WHERE task_name = 'error'
+    UNION ALL SELECT username, row_id, log_time, 8, 'deactivate', '    deactivate Broker' FROM ev WHERE task_name = 'error'),
+    sw AS (SELECT *, lag(type) OVER (PARTITION BY username ORDER BY log_time, row_id, rule_no) AS before FROM h WHERE type IN ('activate', 'deactivate')),
+    el AS (SELECT username, row_id, log_time, rule_no, line FROM h WHERE type NOT IN ('activate', 'deactivate') UNION ALL SELECT username, row_id, log_time, rule_no, line FROM sw WHERE type = 'activate' OR before = 'activate')
+    SELECT username, count(*) AS elements, concat('sequenceDiagram', chr(10), '    title Process interaction sequence', chr(10), '    participant Client', chr(10), '    participant Broker', chr(10), '    participant Worker', chr(10),
+        '    participant Store', chr(10), string_agg(line || chr(10), '' ORDER BY log_time, row_id, rule_no)) AS markup FROM el GROUP BY username""",
+)
+def process_diagrams(spark, sf_dir):
+    """The pack of requests between processes over lines of its shapes, a diagram for each user."""
+    e, row, who = event_rows(spark, sf_dir), F.col("row_id").cast("string"), F.col("username")
+    lines = {
+        "purchase": F.concat(F.lit("Client process started pid="), who), "view": F.concat(F.lit("Client sending request to Broker req="), row), "signup": F.lit("Broker received request"),
+        "click": F.concat(F.lit("Store persisted job "), row), "error": F.lit("Broker responding to Client"),
+    }
+    return sequence.diagram_texts(_told(e, lines), packs.PROCESS_INTERACTION_UML, ["username"])
+
+
+_DISM = f"""{EV}, h AS (SELECT row_id, log_time, 1 AS rule_no, 'note' AS type, '    note over API: ' AS head, 'OS 10.0.' || row_id % 500 || ' (amd64)' AS text FROM ev WHERE task_name = 'purchase'
+    UNION ALL SELECT row_id, log_time, 2, 'activate', '    activate API', '' FROM ev WHERE task_name = 'signup'
+    UNION ALL SELECT row_id, log_time, 3, 'message', '    API->>Mgr: ', 'load local image session' FROM ev WHERE task_name = 'view'
+    UNION ALL SELECT row_id, log_time, 6, 'message', '    Store-->>Prov: ', CASE WHEN row_id % 2 = 0 THEN 'WimManager' ELSE 'VHDManager' END || ': not for this image' FROM ev WHERE task_name = 'click'
+    UNION ALL SELECT row_id, log_time, 8, 'message', '    Mgr-->>API: ', 'shutdown session' FROM ev WHERE task_name = 'error'
+    UNION ALL SELECT row_id, log_time, 9, 'deactivate', '    deactivate API', '' FROM ev WHERE task_name = 'error'),
+    sw AS (SELECT *, lag(type) OVER (ORDER BY log_time, row_id, rule_no) AS before FROM h WHERE type IN ('activate', 'deactivate')),
+    el AS (SELECT * FROM h WHERE type NOT IN ('activate', 'deactivate') UNION ALL SELECT row_id, log_time, rule_no, type, head, text FROM sw WHERE type = 'activate' OR before = 'activate'),
+    one AS (SELECT head, text, count(*) AS n, min((log_time, row_id, rule_no)) AS first_at FROM el GROUP BY 1, 2),
+    shown AS (SELECT CASE WHEN text = '' THEN head ELSE head || chr(39) || text || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END || chr(39) END AS line, row_number() OVER (ORDER BY first_at) AS place FROM one)"""
+
+
+@query(
+    "dism_diagram",
+    f"""WITH {_DISM} SELECT CAST(unnest(range(6)) AS INTEGER) AS line_no, unnest(['sequenceDiagram', '    title DISM session interaction', '    participant API as DismApi', '    participant Mgr as "DISM Manager"',
+        '    participant Store as "Provider Store"', '    participant Prov as "Imaging Providers"']) AS line
+    UNION ALL SELECT CAST(place + 5 AS INTEGER), line FROM shown WHERE place <= 200
+    UNION ALL SELECT 206, '    note over API: ' || chr(39) || 'diagram truncated at 200 elements' || chr(39) WHERE (SELECT count(*) FROM shown) > 200""",
+)
+def dism_diagram(spark, sf_dir):
+    """The output pack of servicing sessions: its diagram of all events, equal elements once, written and read back by line."""
+    e, row = event_rows(spark, sf_dir), F.col("row_id")
+    lines = {
+        "purchase": F.concat(F.lit("Host machine information: OS Version=10.0."), (row % 500).cast("string"), F.lit(", Running architecture=amd64")), "signup": F.lit("Created g_internalDismSession"),
+        "view": F.lit("Successfully loaded the ImageSession"), "click": F.concat(F.lit("The provider "), F.when(row % 2 == 0, "WimManager").otherwise("VHDManager"), F.lit(" does not support CreateDismImage on C:\\")),
+        "error": F.lit("DismShutdownInternal"),
+    }
+    paths = sinks.run_output_rules(_told(e, lines), packs.DISM_INTERACTION["sections"], scratch(spark, "diagram"))
+    # Two hundred elements at most.
+    whole = spark.read.text(paths[0], wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
+    return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
+@query(
+    "pack_reports",
+    f"""WITH {EV} SELECT 'crash' AS report, 'time=' || {_T} || ' | source=events | machine= | message=Faulting application name: app' || username || '.exe' AS line FROM ev WHERE task_name = 'error'
+    UNION ALL SELECT 'power', {_T} || '|events|The system uptime is ' || username || ' seconds.' FROM ev WHERE task_name = 'purchase'""",
+)
+def pack_reports(spark, sf_dir):
+    """The output packs of crashes (text) and of a machine's power (CSV), written and read back."""
+    who = F.col("username")
+    lines = {"error": F.concat(F.lit("Faulting application name: app"), who, F.lit(".exe")), "purchase": F.concat(F.lit("The system uptime is "), who, F.lit(" seconds."))}
+    both = packs.CRASH_REPORT["sections"] + packs.POWER_TIMELINE["sections"]
+    crash, power = sinks.run_output_rules(_told(event_rows(spark, sf_dir), lines), both, scratch(spark, "reports"))
+    rows = spark.read.schema("time string, source string, message string").csv(power, header=True)
+    return spark.read.text(crash).select(F.lit("crash").alias("report"), F.col("value").alias("line")).unionByName(rows.select(F.lit("power").alias("report"), F.concat_ws("|", "time", "source", "message").alias("line")))
+
+
+@query(
+    "auto_packs",
+    f"""WITH {EV} SELECT 0 AS no, 'noise-filter.rules.json' AS rule_file UNION ALL SELECT 3, 'pii-filter.rules.json' UNION ALL SELECT 4, 'pii-redact.rules.json'
+    UNION ALL SELECT unnest([5, 6]), unnest(['dism-interaction.rules.json', 'dism-fields.rules.json']) WHERE EXISTS (SELECT 1 FROM ev WHERE task_name = 'click')
+    UNION ALL SELECT 9, 'panther-fields.rules.json' WHERE EXISTS (SELECT 1 FROM ev WHERE task_name = 'view' AND username = '7')
+    UNION ALL SELECT unnest([10, 11]), unnest(['crash-filter.rules.json', 'crash-report.rules.json']) WHERE EXISTS (SELECT 1 FROM ev WHERE task_name = 'error')
+    UNION ALL SELECT unnest([12, 13]), unnest(['machine-power-filter.rules.json', 'machine-power-timeline.rules.json']) WHERE EXISTS (SELECT 1 FROM ev WHERE task_name = 'none such')""",
+)
+def auto_packs(spark, sf_dir):
+    """Which packs apply by themselves to events whose sources and providers depend on their rows."""
+    kind = F.col("task_name")
+    source = F.when(kind == "click", "/logs/dism.log").when((kind == "view") & (F.col("username") == "7"), "/logs/setupact.log").otherwise("/logs/app.log")
+    provider = F.when(kind == "error", "application error").when(kind == "none such", "EventLog").otherwise("app")
+    return rules.auto_rules(event_rows(spark, sf_dir).withColumns({"source": source, "provider": provider}), packs.AUTO_PACKS)
+
+
+@query("preview_extract", f"WITH {EV} SELECT row_id, message AS before, trim(regexp_replace(regexp_replace(regexp_replace(message, 'user=[0-9]+', ''), '\\{{\"k\": [0-9]+\\}}', ''), '\\s{{2,}}', ' ', 'g')) AS after, 'u' || username AS thread_id FROM ev ORDER BY row_id LIMIT 500")
+def preview_extract(spark, sf_dir):
+    """What extraction makes of the first 500 events, beside what they were."""
+    return rules.preview_extract(event_rows(spark, sf_dir).orderBy("row_id"), EXTRACT_RULES, 500).select("row_id", "before", "after", "thread_id")
+
+
+@query("quiet_actions", f"WITH {EV} SELECT row_id, message, CAST(task_name = 'error' AS INTEGER) AS tags FROM ev")
+def quiet_actions(spark, sf_dir):
+    """Actions that only a desktop shows (message, notification) leave rows as they are, beside a tag that counts."""
+    own = {"sections": [{"purpose": "enrichment", "rules": [
+        {"name": "tell", "match": ".", "actions": [{"type": "message", "text": "seen"}, {"type": "notification", "title": "t"}]},
+        {"name": "fault", "match": "^error", "actions": [{"type": "notification"}, {"type": "tag", "tag": "fault"}]},
+    ]}]}
+    return rules.enrich(event_rows(spark, sf_dir), own).select("row_id", "message", F.size("tags").alias("tags"))
+
+
 @query("relative_dates", "SELECT 'within a week' AS rule, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY UNION ALL SELECT 'before two days', count(*) FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY UNION ALL SELECT 'after 36 hours', count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR")
 def relative_dates(spark, sf_dir):
     """Rules whose dates are spans back from a time, here the newest event's."""

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import html_escape, xml_name
 from logloom.model import FIELD_ALIASES, STRING_COLUMNS, level_name
+from logloom.operators.packs import DIAGRAMS
 from logloom.operators.rules import has_tag
+from logloom.operators.sequence import diagram_texts
 from logloom.plans.rules import actions, enabled, regex_or_contains
 
 DEFAULT_FIELDS = ["timestamp", "level", "source", "message"]
@@ -99,11 +103,41 @@ def output_rows(df: DataFrame, rule: dict, action: dict) -> DataFrame:
     return out.where(has_tag(action["tag"])) if action.get("tag") else out
 
 
+def diagram_definition(rules_file: str | None, beside: str | None = None) -> dict:
+    """The definition a diagram action names: a file as given or in the folder of the rule file ``beside``, else the pack of that name.
+
+    A definition that is nowhere, or cannot be read, is an empty one: its diagrams have a first line alone.
+    """
+    named = (rules_file or "").strip().replace("\\", "/")
+    for path in [Path(named), *([Path(beside).parent / named, Path(beside).parent / Path(named).name] if beside else [])] if named else []:
+        if path.is_file():
+            try:
+                got = json.loads(path.read_text(encoding="utf-8-sig"))
+            except (OSError, ValueError):
+                return {}
+            return got if isinstance(got, dict) else {}
+    return DIAGRAMS.get(named.rsplit("/", 1)[-1], {})
+
+
+def write_diagram(df: DataFrame, path: str, definition: dict, syntax: str = "mermaid") -> None:
+    """Markup of one diagram over the searchable texts of all rows, put together on executors, as one text file."""
+    named = "plantuml" if syntax.lower() in ("plantuml", "plant") else "mermaid"
+    markup = diagram_texts(df, definition, [], named, "searchable")
+    markup.select(F.regexp_replace("markup", r"\n\z", "").alias("value")).write.mode("overwrite").text(path)
+
+
 def run_output_rules(df: DataFrame, sections: list[dict], output: str = "output") -> list[str]:
-    """Writes what every output rule selects, and returns the paths."""
+    """Writes what every output rule selects and the diagrams of ``uml`` actions, and returns the paths.
+
+    A diagram is made of all rows, whatever its rule's match: its definition has matches of its own.
+    """
     paths = []
     for s in sections:
         for r in enabled(s):
+            for a in actions(r, "uml"):
+                path = expand_path(a.get("path") or f"{{output}}/{r.get('name', 'diagram')}.mmd", output=output)
+                write_diagram(df, path, diagram_definition(a.get("rulesFile"), s.get("_file")), str(a.get("syntax") or "mermaid"))
+                paths.append(path)
             for a in actions(r, "output"):
                 rows, path, fmt = output_rows(df, r, a), expand_path(a.get("path") or f"{{output}}/{r.get('name', 'results')}", output=output), str(a.get("format") or "csv").lower()
                 if fmt == "csv":

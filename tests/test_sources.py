@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
-from logloom import streaming
+from logloom import sinks, streaming
 from logloom.functions.parse import flexible_time, line_time, parse_time
 from logloom.model import as_events
 from logloom.operators import analysis, paging, sequence, trigram
@@ -393,3 +393,21 @@ def test_synthetic_source(spark, tmp_path):
             time.sleep(0.1)
         query.stop()
         assert spark.read.parquet(out).agg(F.count("row_id"), F.count_distinct("row_id"), F.max("row_id")).first()[:] == (rows, rows, rows - 1)
+
+
+def test_diagram_actions(spark, tmp_path):
+    """A diagram action takes the definition beside its rule file, a pack's by its name, or none; its rule's match picks no rows."""
+    df = as_events(spark.createDataFrame([(1, "Client sending request to Broker req=7"), (2, "ping;"), (3, None)], "row_id long, searchable string"))
+    (tmp_path / "own.json").write_text(json.dumps({"title": "O", "participants": [{"id": "A"}], "rules": [{"match": "ping", "useRegex": False, "action": {"type": "note", "from": "A", "text": "p{afterMatch}"}}]}))
+    (tmp_path / "bad.json").write_text("[1")
+
+    def drawn(action):
+        section = {"purpose": "output", "_file": str(tmp_path / "x.rules.json"), "rules": [{"name": "d", "match": "nothing", "action": {"type": "UML"} | action}]}
+        (path,) = sinks.run_output_rules(df, [section], str(tmp_path / "out"))
+        return [r.value for r in spark.read.text(path).collect()]
+
+    assert drawn({"rulesFile": "own.json", "syntax": "plant"}) == ["@startuml", "title O", "participant A", "note over A : p;", "@enduml"]
+    assert drawn({"rulesFile": "rules\\own.json"}) == ["sequenceDiagram", "    title O", "    participant A", "    note over A: 'p#59;'"]
+    assert drawn({"rulesFile": "CommonRules/process-interaction-uml.rules.json"})[-1] == "    Client->>Broker: 'request (req=7)'"
+    for nowhere in ({"rulesFile": "bad.json"}, {"rulesFile": "gone.json"}):
+        assert drawn(nowhere) == ["sequenceDiagram"]
