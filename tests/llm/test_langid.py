@@ -1,4 +1,5 @@
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -95,6 +96,42 @@ def test_held_out_accuracy(spark, sf_dir):
     assert hits[True] >= 0.96 * len(held)
 
 
+def plain(text):
+    """Lower-case letters of a text, one blank for what lies between them."""
+    return re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text or "")).lstrip(" ")
+
+
+def test_query_is_brute_force(spark, sf_dir):
+    """Languages and scores of the query's rows by growing phrases in the texts of the sample themselves, without automata."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 5]
+    sample = langid.fit_sample(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    codes, rates = {}, {}
+    for lang, texts in sorted(sample.items()):
+        folded, total, head, tail = [plain(t) for t in texts], 0, [], []
+        for f in folded:
+            (head if total < langid.SAMPLE_CHARS else tail).append(f)
+            total += len(f)
+        codes[lang] = "".join(head)[: langid.SAMPLE_CHARS]
+        assert tail and len(set(codes[lang])) <= langid.OWN_LETTERS
+        rates[lang] = sum(brute_phrases(f, codes[lang]) for f in tail) / sum(map(len, tail))
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, sf).collect()}
+    tried = 0
+    for d in docs:
+        text = plain(d.text)
+        if d.doc_id % 12 or len(text) > 5000:
+            continue
+        tried += 1
+        cost = sorted((brute_phrases(text, codes[lang]) / max(1, len(text)) / rates[lang], lang) for lang in codes)
+        r = got[d.doc_id]
+        if text.strip():
+            assert r.lang_pred == cost[0][1] and abs(r.score - 1 / (1 + cost[0][0] / cost[1][0])) < 1e-9
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert tried >= 50
+
+
 def test_long_texts_are_sampled(spark):
     """A language of long texts only, and one whose first letters come late, have a sample like any other."""
     fr = "le chat est sur la table et le chien dans la maison "

@@ -1,7 +1,10 @@
 import itertools
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from logloom.llm import toxicity
@@ -52,7 +55,7 @@ def test_grammar():
 
 
 def clause_weight(symbols, x):
-    """What a clause weighs, from its words' roles and places, without machines; every insult weighs ``x``."""
+    """What a clause weighs, from its words' roles and places, without machines; an insult at place i weighs ``x[i]``."""
     T = toxicity
     within = lambda mark, i, reach: any(symbols[j] == mark for j in range(max(0, i - reach), i))
     factor = lambda i: (T.NEGATED if within("N", i, T.REACH) else 1) * (T.REPORTED if within("R", i, T.REPORT_REACH) else 1)
@@ -60,7 +63,7 @@ def clause_weight(symbols, x):
     insults = [i for i, s in enumerate(symbols) if s == "I"]
     weight = 0.0
     for i in insults:
-        weight += factor(i) * x
+        weight += factor(i) * x[i]
         behind = any(t < i for t in targets)
         followed = any(t > i and not any(i < j < t for j in insults) for t in targets)
         weight += T.WITH_TARGET * factor(i) * (behind or followed)
@@ -98,7 +101,55 @@ def test_composition():
     clauses += [tuple(rng.choice("ITYNRWWWWW") for _ in range(40)) for _ in range(500)]
     for c in clauses:
         weight, singly = run(c, 2.0)
-        assert abs(weight - singly) < 1e-9 and abs(weight - clause_weight(c, 2.0)) < 1e-9, c
+        assert abs(weight - singly) < 1e-9 and abs(weight - clause_weight(c, [2.0] * len(c))) < 1e-9, c
+
+
+def brute_lexicon(rows):
+    """The lexicon of (text, toxic) rows, counted in plain Python."""
+    seen = defaultdict(set)
+    for text, toxic in rows:
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        for before, word in zip([None, *words], words):
+            seen[word, before].add(toxic)
+    per_word = defaultdict(Counter)
+    for (word, _), sides in seen.items():
+        per_word[word].update(sides)
+    pos, neg = sum(c[1] for c in per_word.values()), sum(c[0] for c in per_word.values())
+    base, entries = (pos + 1) / (pos + neg + 2), defaultdict(Counter)
+    for word, c in per_word.items():
+        for entry in [word, *(word[:k] + "*" for k in toxicity.STEM if len(word) > k)]:
+            entries[entry].update(c)
+    found = {}
+    for entry, c in entries.items():
+        share = (c[1] + 0.1) / (c[1] + c[0] + 0.2)
+        surprise = c[1] * math.log(share / base) + c[0] * math.log((1 - share) / (1 - base))
+        if c[1] >= toxicity.MIN_PLACES and share >= toxicity.MIN_SHARE and surprise >= math.log(5 * len(per_word)) + toxicity.MARGIN:
+            found[entry] = min(toxicity.MAX_WEIGHT, toxicity.ODDS_WEIGHT * math.log(share / (1 - share)))
+    # A stem that begins another entry stands for it.
+    stems = [e[:-1] for e in found if e.endswith("*")]
+    return {e: x for e, x in found.items() if not any(e.rstrip("*").startswith(s) and e != s + "*" for s in stems)}
+
+
+def test_query_is_brute_force(spark, sf_dir):
+    """Every score of the query, from a lexicon counted in plain Python and a plain reading of all clauses."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    lexicon = brute_lexicon([(docs[i], toxic) for i, toxic in labels if i in docs and zlib.crc32(str(i).encode()) % 4 != 2])
+    assert lexicon
+
+    def insult(word):
+        return max((x for e, x in lexicon.items() if (word.startswith(e[:-1]) if e.endswith("*") else word == e)), default=0.0)
+
+    own = dict.fromkeys(toxicity.TARGETS, "Y") | dict.fromkeys(toxicity.THREATS, "T") | dict.fromkeys(toxicity.NEGATIONS, "N") | dict.fromkeys(toxicity.REPORTS, "R")
+    known = {}
+    for r in op8_toxicity(spark, sf).collect():
+        total = toxicity.BIAS
+        for clause in regex.split(r"[.!?;:\n]+", (docs[r.doc_id] or "").lower()):
+            words = regex.findall(r"[^\W\d_]+", clause)
+            x = [known[w] if w in known else known.setdefault(w, insult(w)) for w in words]
+            total += clause_weight(["I" if v else own.get(w, "W") for w, v in zip(words, x)], x)
+        assert abs(r.score - 1 / (1 + math.exp(-min(total, 30)))) < 1e-3, (r, total)
 
 
 def test_odd(odd, empty):
