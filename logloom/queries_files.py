@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom import sinks, streaming
 from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
-from logloom.operators import analysis, packs, paging, rewrite, rules, sequence, trigram
+from logloom.operators import analysis, packs, paging, processors, rewrite, rules, sequence, trigram
 from logloom.plans.durable import remove, scratch
 from logloom.plans.rules import regex_or_contains, rule_matches
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
@@ -505,6 +505,27 @@ def preview_extract(spark, sf_dir):
     return rules.preview_extract(event_rows(spark, sf_dir).orderBy("row_id"), EXTRACT_RULES, 500).select("row_id", "before", "after", "thread_id")
 
 
+_SAID = f"""{EV}, t AS (SELECT unnest(['keyed', CASE WHEN task_name = 'purchase' THEN 'buy' END, CASE WHEN level = 1 THEN 'fault' END]) AS tag FROM ev),
+    n AS (SELECT tag, count(*) AS n FROM t WHERE tag IS NOT NULL GROUP BY 1),
+    total AS (SELECT sum(n) + 2 * (SELECT count(*) FROM ev) + (SELECT count(*) FROM ev WHERE task_name = 'purchase') AS total FROM n),
+    said AS (SELECT 'rule tags' AS processor, 0 AS no, 'Found ' || CAST(total AS BIGINT) || ' results' AS value FROM total UNION ALL SELECT 'rule tags', 1, 'Tags found:'
+    UNION ALL SELECT 'rule tags', CAST(1 + row_number() OVER (ORDER BY n DESC, tag) AS INTEGER), '  ' || tag || ': ' || n FROM n
+    UNION ALL SELECT 'count', 0, 'There were: ' || count(*) || ' results.' FROM ev)"""
+
+
+@query("processed", f"WITH {_SAID} SELECT * FROM said UNION ALL SELECT 'sales', 0, 'There were: ' || count(*) || ' results.' FROM ev WHERE task_name = 'purchase'")
+def processed(spark, sf_dir):
+    """Processors of all events and of the rows that rules route to one, written as text and read back in order."""
+    e, path = event_rows(spark, sf_dir), scratch(spark, "processed")
+    lines = processors.process(e, ["count", "rule tags"], {"rule tags": processors.tag_report(EXTRACT_RULES)})
+    # ``count`` is a processor too, but no rule routes to it.
+    sales = processors.process_routes(rules.route(e, EXTRACT_RULES), {"sales": processors.count_lines}).where("processor = 'sales'")
+    processors.write_processed(lines.unionByName(sales), path)
+    # A few lines a processor.
+    whole = spark.read.text(path, wholetext=True).select("processor", F.regexp_replace("value", r"\n\z", "").alias("value"))
+    return whole.select("processor", F.posexplode(F.split("value", "\n")).alias("no", "value"))
+
+
 @query("quiet_actions", f"WITH {EV} SELECT row_id, message, CAST(task_name = 'error' AS INTEGER) AS tags FROM ev")
 def quiet_actions(spark, sf_dir):
     """Actions that only a desktop shows (message, notification) leave rows as they are, beside a tag that counts."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logloom import sinks
 from logloom.functions.parse import parse_span, rule_date
 from logloom.model import as_events
-from logloom.operators import packs, rewrite, rules
+from logloom.operators import packs, processors, rewrite, rules
 from logloom.plans.ambiguity import ambiguous
 from logloom.plans.rules import compiles, java_groups, load_rules, regex_or_contains, required_sign, sections, validate_rules
 
@@ -204,3 +204,19 @@ def test_patterns_that_are_not_ambiguous_do_not_explode(pattern):
             began = time.process_time()
             re.fullmatch(pattern, word + "!")
             assert time.process_time() - began < 1
+
+
+def test_processors(spark):
+    """Registered names are free once, unknown ones fail, routed rows reach their processor, no rows still make lines."""
+    df = as_events(spark.createDataFrame([(1, "a x"), (2, "b x"), (3, None)], "row_id long, searchable string"))
+    own = {"sections": [{"purpose": "enrichment", "rules": [{"match": "x", "actions": [{"type": "tag", "tag": "T"}, {"type": "tag"}]}, {"match": "^b", "action": {"type": "route", "processor": "count"}}, {"match": "a", "action": {"type": "route", "processor": "nowhere"}}]}]}
+    said = lambda out: [(r.processor, r.no, r.value) for r in out.orderBy("processor", "no").collect()]
+    report = {"tags": processors.tag_report(own)}
+    assert said(processors.process(df, ["tags", "count", "tags"], report)) == [("count", 0, "There were: 3 results."), ("tags", 0, "Found 6 results"), ("tags", 1, "Tags found:"), ("tags", 2, "  T: 2")]
+    assert said(processors.process(df.limit(0), ["tags", "count"], report)) == [("count", 0, "There were: 0 results."), ("tags", 0, "Found 0 results")]
+    assert said(processors.process_routes(rules.route(df, own))) == [("count", 0, "There were: 1 results.")]
+    assert processors.process(df, []).count() == 0
+    with pytest.raises(ValueError, match="no such"):
+        processors.process(df, ["nowhere"])
+    with pytest.raises(ValueError, match="already"):
+        processors.processor("count")(processors.count_lines)
