@@ -20,7 +20,7 @@ from logloom.queries import CV, DL, EV, EXTRACT_RULES, ORD, _T, _ids, _time_text
 from logloom.sources.datasource import register
 from logloom.sources.delimited import read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
-from logloom.sources.folder import read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
+from logloom.sources.folder import filter_source_types, read_folder, read_inputs, rebase_source, renumbered, source_type, union_sources
 from logloom.sources.incremental import compact, ingest_incremental, read_store
 from logloom.sources.jsonlogs import read_json_array, read_json_doc, read_json_lines
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, work_items_to_events
@@ -264,6 +264,15 @@ def write_xml(spark, sf_dir):
     return spark.read.format("xml").option("rowTag", "Result").schema("timestamp string, level string, task string, message string").load(path)
 
 
+@query("xml_names", f"WITH {EV} SELECT row_id, task_name AS task_name_, username AS _2nd_user FROM ev")
+def xml_names(spark, sf_dir):
+    """Columns whose names are no element names, written as XML under names that are."""
+    rows = event_rows(spark, sf_dir).select(F.col("row_id").cast("string").alias("row id"), F.col("task_name").alias("task-name!"), F.col("username").alias("2nd user"))
+    path = scratch(spark, "out")
+    sinks.write_rows_xml(rows, path)
+    return spark.read.format("xml").option("rowTag", "Result").option("attributePrefix", "@").schema("row_id long, task_name_ string, _2nd_user string").load(path)
+
+
 @query("write_txt", f"WITH {EV} SELECT 'task=' || task_name || ' | message=' || message AS value FROM ev")
 def write_txt(spark, sf_dir):
     path = scratch(spark, "out")
@@ -404,6 +413,16 @@ def servicing_packs(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
+_KINDS = "CASE row_id % 5 WHEN 0 THEN '/d/a.ETL.001' WHEN 1 THEN '/d/b.log' WHEN 2 THEN 'c:/d/c.csv' WHEN 3 THEN '/d/none' ELSE '/d/e.jsonl' END"
+
+
+@query("source_types_off", f"WITH {EV} SELECT row_id, {_KINDS} AS source FROM ev WHERE row_id % 5 IN (0, 3, 4)")
+def source_types_off(spark, sf_dir):
+    """Text and CSV switched off among sources of five kinds."""
+    rows = event_rows(spark, sf_dir).withColumn("source", F.expr(_KINDS))
+    return filter_source_types(rows, ["ETL", "JSON", "Other"]).select("row_id", "source")
+
+
 def _told(e: DataFrame, lines: dict) -> DataFrame:
     """Events that tell another line for some of their types; the others keep their message."""
     line = F.col("message")

@@ -47,8 +47,12 @@ def write_json(df: DataFrame, path: str, fields: list[str] | None = None) -> Non
 
 
 def write_xml(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
-    out = select_fields(df, fields)
-    out.toDF(*[xml_name(c) for c in out.columns]).write.mode("overwrite").format("xml").option("rootTag", "Results").option("rowTag", "Result").save(path)
+    write_rows_xml(select_fields(df, fields), path)
+
+
+def write_rows_xml(rows: DataFrame, path: str) -> None:
+    """Rows of any columns as XML; their names become element names. No column is an attribute or an element's text, whatever its name."""
+    rows.toDF(*[xml_name(c) for c in rows.columns]).write.mode("overwrite").format("xml").option("rootTag", "Results").option("rowTag", "Result").option("attributePrefix", "@").option("valueTag", "@text").save(path)
 
 
 def write_txt(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
