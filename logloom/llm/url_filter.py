@@ -13,8 +13,8 @@ Everything is DataFrame functions. The size of every level is known before it
 is built (``BITS_PER_KEY`` bits for each of its counted keys). The universe is
 dealt by a hash of the key into shards of about ``SHARD_KEYS`` filter keys, each with a cascade
 of its own: the plan never holds more than one shard's levels. A list of one shard is
-judged in one pass; each further shard is one more pass over the pages, written into the
-shared folder, so a list of any length needs no join.
+judged in one pass. For more, hosts, paths and rules are taken once and dealt by shard into the
+shared folder, and each shard's pages are judged from there: two passes for a list of any length, and no join.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 no rule, and is allowed; repeated rows give repeated results; an empty list
@@ -168,18 +168,22 @@ def judge(pages: DataFrame, rules: list[Rule], listed: Column, shard_keys: int =
     size = universe.agg(F.count_if("listed").alias("held"), F.count(F.lit(1)).alias("n")).first()
     shards = max(1, -(-int(size["held"] + FALSE_SHARE * size["n"]) // shard_keys))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    shard = lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+    ruled = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
     def judged(rows: DataFrame, cascade: Cascade) -> DataFrame:
         return rows.withColumn("listed", cascade.contains(F.col("host"))).select(
-            "page_id", "host", "path", rule.alias("rule"),
-            F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
+            "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed"
         )
 
     if shards == 1:
-        return judged(parts, build(universe))
+        return judged(ruled, build(universe))
+    # Pages and keys are dealt once; a shard's step reads its own folder of each. Spark splits the shard of a hot host.
+    own = lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
     path = scratch(spark, "url_filter")
+    for name, rows, key in (("pages", ruled, "host"), ("keys", universe, "key")):
+        rows.withColumn("shard", own(F.col(key))).hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{path}/{name}")
+    dealt = spark.read.schema(ruled.schema.add("shard", "long")).parquet(f"{path}/pages")
+    keys = spark.read.schema(universe.schema.add("shard", "long")).parquet(f"{path}/keys")
     for i in range(shards):
-        cascade = build(universe.where(shard(F.col("key")) == i))
-        judged(parts.where(shard(F.col("host")) == i), cascade).write.parquet(f"{path}/shard={i}")
-    return spark.read.parquet(path).drop("shard")
+        judged(dealt.where(F.col("shard") == i), build(keys.where(F.col("shard") == i))).write.parquet(f"{path}/judged/shard={i}")
+    return spark.read.parquet(f"{path}/judged").drop("shard")

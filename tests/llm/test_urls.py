@@ -54,6 +54,17 @@ def test_shards_change_nothing(spark, sf_dir):
     assert not any("Join" in x for x in (one._jdf.queryExecution().optimizedPlan().toString(), many._jdf.queryExecution().optimizedPlan().toString()))
 
 
+def test_many_shards_and_a_hot_host(spark, monkeypatch):
+    """Over many shards a host with a third of the pages, and null urls, come back whole."""
+    steps, built = [], url_filter.Cascade.contains
+    monkeypatch.setattr(url_filter.Cascade, "contains", lambda self, key: steps.append(self) or built(self, key))
+    hot = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://hot.org/a").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".net/es/"))).alias("url"))
+    got = url_filter.judge(hot, queries.URL_RULES, F.count(F.lit(1)) > 1, shard_keys=20)
+    expected = url_filter.judge(hot, queries.URL_RULES, F.count(F.lit(1)) > 1)
+    assert len(steps) > 3 and got.columns == expected.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())) and got.count() == 3000
+
+
 def test_native(spark, sf_dir):
     plan = queries.op9_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
