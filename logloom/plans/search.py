@@ -173,8 +173,8 @@ def any_contains(term: str, level_and_index: bool = False) -> Column:
     return out
 
 
-def search(df: DataFrame, text: str) -> DataFrame:
-    """Rows that a search box's text finds: structured if it looks so, else a plain term; all rows for no text."""
+def search(df: DataFrame, text: str, plain: bool = False) -> DataFrame:
+    """Rows that a search box's text finds: structured if it looks so, else a plain term; all rows for no text. A ``plain`` text is one term, whatever operators are in it."""
     if not (text or "").strip():
         return df
-    return df.where(where_query(text) if looks_structured(text) else any_contains(text))
+    return df.where(where_query(text) if not plain and looks_structured(text) else any_contains(text))

@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import logloom.queries_files  # noqa: F401
 from logloom.model import as_events, level_to_int, normalize_events
 from logloom.plans.scope import Scope, apply_scope, build_scope, scope_from_selection, validate_scope
 from logloom.plans.search import looks_structured, search, where_query
 from logloom.plans.spec import FilterSpec, apply_filters, preset
+from logloom.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +81,15 @@ def test_detection():
     assert not looks_structured("plain words") and not looks_structured("") and not looks_structured("'open")
 
 
+def test_plain_text_with_an_operator(spark, tmp_path):
+    events = as_events(spark.createDataFrame([(0, "user=42", "42"), (1, "USER=420", "420"), (2, "user=142", "142"), (3, "none", "42")], "row_id long, message string, username string"))
+    assert ids(search(events, "User=42", plain=True)) == [0, 1]
+    assert ids(search(events, "User=42")) == [0, 3]
+    rows = [(i, dt.datetime(2024, 1, 1), u, t, 0.0, "{}") for i, (u, t) in enumerate([(42, "view"), (42, "click"), (420, "click"), (1042, "click")])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.way: r.n for r in QUERIES["search_plain_and_structured"](spark, str(tmp_path)).collect()} == {"plain": 3, "structured": 1}
+
+
 def test_spec(events):
     assert ids(apply_filters(events, FilterSpec(providers=frozenset({"NET"}), provider="disk"))) == [2, 3]
     assert ids(apply_filters(events, FilterSpec(provider="ne", level="Info"))) == [2]
