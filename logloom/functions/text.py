@@ -22,8 +22,10 @@ TEMPLATE_LENGTH, EXAMPLE_LENGTH = 200, 300
 
 
 def contains_ci(column: Column, term: str) -> Column:
-    """Case-insensitive literal substring."""
-    return F.lower(column).contains(term.lower())
+    """Case-insensitive literal substring. Signs and digits have no case: a text without the term's longest run of them is not lowered."""
+    found = F.lower(column).contains(term.lower())
+    run = max(re.findall(r"[!-@\[-`{-~]+", term), key=len, default="")
+    return column.contains(run) & found if run else found
 
 
 def equals_ci(column: Column, value: str) -> Column:

@@ -158,9 +158,25 @@ def guarded(column: Column, pattern: str, hit: Column, other: Column) -> Column:
     return hit if sign is None else F.when(column.contains(sign), hit).otherwise(other)
 
 
+#: A pattern's opening letters up to its first sign.
+_OPENING = re.compile(r"([A-Za-z0-9]+)([=@:/-])(?![?*{+])")
+
+
+def from_sign(pattern: str) -> str:
+    """A pattern that opens with letters and a sign that every match holds, tried at the text's signs only: the same texts match.
+
+    Letters of either case are compared at each place of a text; a sign is found by a plain loop. Signs that no
+    match goes through are passed over, and one more sign is then a match's.
+    """
+    m = _OPENING.match(pattern)
+    if not m or required_sign(pattern) != m[2]:
+        return pattern
+    return rf"\A[^{m[2]}]*+(?:{m[2]}(?!(?<={m[0]}){pattern[m.end() :]})[^{m[2]}]*+)*+{m[2]}"
+
+
 def regex_or_contains(column: Column, pattern: str) -> Column:
     """Regular expression, ignoring case; a substring if the pattern does not compile, or could take time without bound (see ``ambiguity``)."""
-    p = "(?iu)" + java_groups(pattern)
+    p = "(?iu)" + java_groups(from_sign(pattern))
     if ambiguous(pattern) or not compiles(p):
         return F.coalesce(contains_ci(column, pattern), F.lit(False))
     return F.coalesce(guarded(column, pattern, column.rlike(p), F.lit(False)), F.lit(False))

@@ -11,7 +11,7 @@ from logloom import sinks, streaming
 from logloom.functions.text import csv_escape, mermaid_escape
 from logloom.model import NOT_SUPPORTED, as_events, normalize_events
 from logloom.operators import analysis, packs, paging, processors, rewrite, rules, sequence, trigram
-from logloom.plans.durable import remove, scratch
+from logloom.plans.durable import remove, scratch, spread
 from logloom.plans.rules import regex_or_contains, rule_matches
 from logloom.plans.scope import apply_scope, build_scope, scope_from_selection
 from logloom.plans.search import search
@@ -144,7 +144,7 @@ def read_array(spark, sf_dir):
 @query("slow_patterns", f"WITH {EV} SELECT 'plain' AS name, count(*) AS n FROM ev WHERE regexp_matches(message, 'user=[0-9]+2\\b')")
 def slow_patterns(spark, sf_dir):
     """Rules with a plain pattern and with one that would never end on a long line; the second is looked for as it is written."""
-    e = event_rows(spark, sf_dir).withColumn("searchable", F.concat("message", F.lit(" "), F.repeat(F.lit("a"), 20_000)))
+    e = spread(event_rows(spark, sf_dir)).withColumn("searchable", F.concat("message", F.lit(" "), F.repeat(F.lit("a"), 20_000)))
     found = {"plain": r"user=\d+2\b", "loop": r"(\w+\s?)+#"}
     counts = e.agg(*[F.count_if(regex_or_contains(F.col("searchable"), p)).alias(name) for name, p in found.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in found])).alias("x")).select("x.*").where("n > 0")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from logloom import sinks
 from logloom.functions.parse import parse_span, rule_date
+from logloom.functions.text import contains_ci
 from logloom.model import as_events
 from logloom.operators import packs, processors, rewrite, rules
 from logloom.plans.ambiguity import ambiguous
-from logloom.plans.rules import compiles, java_groups, load_rules, regex_or_contains, required_sign, sections, validate_rules
+from logloom.plans.rules import compiles, from_sign, java_groups, load_rules, regex_or_contains, required_sign, sections, validate_rules
 
 
 def make(spark, messages, **more):
@@ -220,3 +221,22 @@ def test_processors(spark):
         processors.process(df, ["nowhere"])
     with pytest.raises(ValueError, match="already"):
         processors.processor("count")(processors.count_lines)
+
+
+def test_patterns_from_their_sign(spark):
+    """A pattern that opens with letters and a sign finds what it found, and is not tried at every letter."""
+    texts = ["", "user=12", "USER=12 x", "x=1 user=2", "user=1x user=32", "user=", "=user", "a=b\nuSer=72\n", "superuser=2", "user=2=", "use=r2", "user==2", "=" * 20_000 + "user=12"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (r"user=\d+2\b", r"user=\d*2\b", r"(user)=2", r"user=2|x", r"user=?2", r"user={1}2", r"user=(?<k>\d)\k<k>", r"us.r=2", r"user=(2|3)+$", "user="):
+        got = [r[0] for r in df.select(regex_or_contains(F.col("t"), p)).collect()]
+        assert got == [r[0] for r in df.select(F.col("t").rlike("(?iu)" + p)).collect()], p
+    assert from_sign(r"user=\d+2\b") != r"user=\d+2\b" and from_sign("user=2|x") == "user=2|x" and from_sign("user=?2") == "user=?2"
+
+
+def test_substrings_without_case(spark):
+    terms = ["ab1.", "B", "1.-", "K", "i"]
+    texts = ["AB1.x", "ab1", "xB", "1.-", "", None, "K", "İ", "k"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for term in terms:
+        got = [r[0] for r in df.select(F.coalesce(contains_ci(F.col("t"), term), F.lit(False))).collect()]
+        assert got == [r[0] for r in df.select(F.coalesce(F.contains(F.lower("t"), F.lit(term.lower())), F.lit(False))).collect()], term
