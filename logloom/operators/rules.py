@@ -116,6 +116,30 @@ def _group_value(column: Column, pattern: str, group: str) -> Column:
     return F.regexp_extract(column, java_groups(pattern), number)
 
 
+def lookbehind_last(pattern: str) -> str:
+    """A pattern that opens with a look-behind, with what follows it looked for first: a look-behind of many lengths is then tried at few places.
+
+    Both look from one place, so their order makes no difference; a pattern with back-references stays as it is.
+    """
+    if not re.match(r"\(\?<[=!]", pattern) or re.search(r"\\[1-9kQE]|\(\?[^:=!<P]", pattern):
+        return pattern
+    depth, head = 0, ""
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[()|]", pattern, re.DOTALL):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if m[0] == "|" and not depth:
+            return pattern
+        if not depth and m[0] == ")" and not head:
+            head = pattern[: m.end()]
+    rest = pattern[len(head) :]
+    if rest[:1] in ("", "?", "*", "+", "{"):
+        return pattern
+    plain, at = [], 0
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P?<[A-Za-z_]\w*>|\((?!\?)|\|", rest, re.DOTALL):
+        plain += [rest[at : m.start()], "(?:" if m[0].startswith("(") else m[0]]
+        at = m.end()
+    return f"(?={''.join(plain)}{rest[at:]}){head}{rest}"
+
+
 def resolve_template(template: str, column: Column, pattern: str) -> Column:
     """A target's template: ``{group}`` stands for a named group's text; trimmed."""
     names = _groups(pattern)
@@ -148,6 +172,8 @@ def extract(df: DataFrame, rules: dict, purposes: set[str] | None = None) -> Dat
     All rules read the original row; of several that write one column the last that has a value wins.
     Spans are stripped only where the rule reads the message itself.
     """
+    gates: dict[str, Column] = {}
+    found: dict[str, Column] = {}
     values: dict[str, Column] = {}
     spans: list[Column] = []
     for s in rules.get("sections", []):
@@ -159,19 +185,29 @@ def extract(df: DataFrame, rules: dict, purposes: set[str] | None = None) -> Dat
                 if not pattern or not compiles(java_groups(pattern)):
                     continue
                 column = field_column(r.get("field"), "message")
-                on = gated(s, r, "message") & F.coalesce(column.rlike(java_groups(pattern)), F.lit(False))
+                looked, on = lookbehind_last(pattern), f"_on{len(gates)}"
+                gates[on] = gated(s, r, "message") & F.coalesce(column.rlike(java_groups(looked)), F.lit(False))
                 for target, template in (a.get("set") or {}).items():
                     name = TARGETS.get(re.sub(r"[^a-z]", "", target.lower()))
                     if name:
-                        value = resolve_template(template, column, pattern)
-                        values[name] = F.when(on & (value != ""), value).otherwise(values.get(name, F.col(name)))
+                        got = f"_value{len(found)}"
+                        found[got] = F.when(F.col(on), resolve_template(template, column, looked))
+                        values[name] = F.when(F.col(got) != "", F.col(got)).otherwise(values.get(name, F.col(name)))
                 if a.get("strip") and str(r.get("field") or "message").lower() in ("message", "msg"):
-                    start = F.regexp_instr(column, F.lit(java_groups(pattern)))
-                    length = F.char_length(F.regexp_extract(column, java_groups(pattern), 0))
-                    spans.append(F.when(on & (start > 0) & (length > 0), F.struct(start.alias("start"), (start + length).alias("end"))))
+                    start = F.regexp_instr(column, F.lit(java_groups(looked)))
+                    got = f"_span{len(found)}"
+                    found[got] = F.when(F.col(on), F.struct(start.alias("start"), F.char_length(F.regexp_extract(column, java_groups(looked), 0)).alias("length")))
+                    start, length = F.col(f"{got}.start"), F.col(f"{got}.length")
+                    spans.append(F.when((start > 0) & (length > 0), F.struct(start.alias("start"), (start + length).alias("end"))))
+    steps = [gates, found]
     if spans:
-        values["message"] = strip_spans(F.col("message"), F.array_compact(F.array(*spans)))
-    return df.withColumns(values) if values else df
+        steps.append({"_spans": F.array_compact(F.array(*spans))})
+        values["message"] = strip_spans(F.col("message"), F.col("_spans"))
+    if not values:
+        return df
+    # Each regular expression is in a projection of its own rows: it runs once, however often its result is used.
+    out = reduce(lambda d, columns: d.withColumns(columns), steps, df).withColumns(values)
+    return out.drop(*[c for columns in steps for c in columns])
 
 
 def preview_extract(df: DataFrame, rules: dict, n: int = 20) -> DataFrame:

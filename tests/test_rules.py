@@ -240,3 +240,28 @@ def test_substrings_without_case(spark):
     for term in terms:
         got = [r[0] for r in df.select(F.coalesce(contains_ci(F.col("t"), term), F.lit(False))).collect()]
         assert got == [r[0] for r in df.select(F.coalesce(F.contains(F.lower("t"), F.lit(term.lower())), F.lit(False))).collect()], term
+
+
+def test_lookbehinds_last(spark):
+    """What follows a look-behind is looked for first; groups and matches stay."""
+    texts = ["", ", Error   CBS x", ", Info CBS CSI", "CBS", ",  Warning  SXS", ", Error MIG    [a.exe] MIG", "xa1", "ya1 xb2", None]
+    patterns = [r"(?<=,\s{1,4}(?:Info|Warning|Error)\s{1,40})(?<comp>CBS|CSI|SXS)\b", r"(?<=,\s{1,4}(?:Info|Error)\s{1,40})(?<comp>[A-Z][A-Za-z0-9]{1,9})(?=\s{2,})", r"(?<=x)(?<comp>a|b)(\d)", r"(?<!x)(?<comp>[ab(])\d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        looked = rules.lookbehind_last(p)
+        assert looked != p
+        for group in (0, 1):
+            one, two = ([r[0] for r in df.select(F.regexp_extract("t", java_groups(x), group)).collect()] for x in (p, looked))
+            assert one == two, p
+    for p in (r"(?<=x)a|b", r"(?<=x)(a)\1", r"(?<k>a)", r"(?<=x)?a", "a(?<=a)"):
+        assert rules.lookbehind_last(p) == p
+
+
+def test_extract_runs_each_pattern_once(spark):
+    """The gate's and the pattern's test, the field, and place and length of the span: no copies of them in the plan."""
+    df = make(spark, ["2024-05-06 07:08:09, Error                 CBS    Exec: Failed [HRESULT = 0x7 - E_FAIL]"])
+    done = rules.extract(df, packs.CBS_FIELDS)
+    r = done.first()
+    assert (r.provider, r.task_name, r.event_id, r.message) == ("CBS", "CBS", "0x7", "Exec: Failed [HRESULT = 0x7 - E_FAIL]") and done.columns == df.columns
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") + plan.count("regexp_instr") < 12, plan
