@@ -49,10 +49,12 @@ def build_trigrams(df: DataFrame) -> DataFrame:
     """The index of all rows with an id. Texts are cut into code points once, so long texts cost linear time."""
     rows = df.where(F.col("row_id").isNotNull())
     text = F.lower(F.concat_ws(_BREAK, F.col("message"), F.when(~F.col("searchable").eqNullSafe(F.col("message")), F.col("searchable"))))
-    points = rows.select("row_id", F.transform(F.split(text, ""), F.ascii).alias("points")).where(F.size("points") >= MIN_TERM)
+    points = rows.where(F.char_length(text) >= MIN_TERM).select("row_id", F.transform(F.split(text, ""), F.ascii).alias("points"))
     at = lambda i: F.get("points", i).cast("long")
-    code = lambda i: at(i) * (1 << 2 * _BITS) + at(i + 1) * (1 << _BITS) + at(i + 2)
-    pieces = points.select("row_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("points") - MIN_TERM), code))).alias("key"))
+    i = F.col("i")
+    # One row a place, compiled; a trigram that repeats in a text sets the same bit again.
+    places = points.select("row_id", "points", F.explode(F.sequence(F.lit(0), F.size("points") - MIN_TERM)).alias("i"))
+    pieces = places.select("row_id", (at(i) * (1 << 2 * _BITS) + at(i + 1) * (1 << _BITS) + at(i + 2)).alias("key"))
     mask = (1 << _BITS) - 1
     whole = pieces.where(reduce(lambda a, b: a & b, [F.shiftright("key", k * _BITS).bitwiseAND(F.lit(mask)) != ord(_BREAK) for k in range(3)]))
     postings = lambda x: x.groupBy("key", word_of(F.col("row_id")).alias("word")).agg(F.bit_or(bit_of(F.col("row_id"))).alias("bits"))

@@ -128,3 +128,14 @@ def test_text(spark):
     assert list(r) == ['"a,""b"""', "Ann", "a#59;b #lt;c#gt;", "y.tar", "id {hex} {str} {n}"]
     files = spark.createDataFrame([("C:\\logs\\App.LOG",), ("/var/logs/app.txt",)], "p string")
     assert files.where(F.col("p").rlike(text.glob_to_regex("*/logs/*.log"))).count() == 1
+
+
+def test_places_of_trigrams_are_rows(spark):
+    """Every trigram of every text is in the index, a repeated one once; places are compiled rows, no lambda over a sequence."""
+    texts = ["abcabcabc", "", "ab", "abc", "x\U0001f600yz\U0001f600yz", None, "Ünïcode ünïcode"]
+    df = as_events(spark.createDataFrame(list(enumerate(texts)), "row_id long, message string"))
+    index = trigram.build_trigrams(df)
+    got = {(r.key, r.word * 64 + b) for r in index.where(F.col("kind") == trigram.TEXT).collect() for b in range(64) if r.bits >> b & 1}
+    assert got == {(trigram._code(t.lower()[i : i + 3]), n) for n, t in enumerate(texts) if t for i in range(len(t) - 2)}
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "explode(sequence(" in plan
