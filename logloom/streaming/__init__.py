@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def ingest(events: DataFrame, store: str, checkpoint: str, enrich=None, availabl
     _totals(spark)
 
     def batch(df: DataFrame, no: int) -> None:
-        df = df.persist()
+        df = df.persist(StorageLevel.DISK_ONLY)  # read twice; rows of a large batch do not fill a task's memory
         try:
             first = held_rows(spark, store, no)
             rows, n = number_batch(df, first) if numbered else (df, df.count())

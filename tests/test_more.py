@@ -139,3 +139,18 @@ def test_places_of_trigrams_are_rows(spark):
     assert got == {(trigram._code(t.lower()[i : i + 3]), n) for n, t in enumerate(texts) if t for i in range(len(t) - 2)}
     plan = index._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and "explode(sequence(" in plan
+
+
+def test_batches_are_held_on_disk(spark, tmp_path):
+    """A batch is read twice; between, it is on disk and not in the memory of its tasks."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
+    levels = []
+
+    def look(rows):
+        levels.extend(r.getStorageLevel().useMemory() for r in spark.sparkContext._jsc.getPersistentRDDs().values())
+        return rows
+
+    spark.catalog.clearCache()
+    streaming.ingest(streaming.stream_events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "progress"), enrich=look).awaitTermination()
+    assert levels and not any(levels) and spark.read.parquet(str(tmp_path / "store")).count() == 2
