@@ -27,8 +27,8 @@ from logloom.sources.tables import issues_to_events, legacy_entries_to_events, w
 from logloom.sources.text import read_text_logs
 from logloom.sources.trace import read_trace_text
 
-#: Events of a JSON or XML document in the round trips.
-DOCUMENT = 1000
+#: Events of a JSON or XML document in the round trips, and of a JSON array that is read by ranges.
+DOCUMENT, ARRAY = 1000, 100_000
 
 
 def _lines(df: DataFrame, value, name: str) -> str:
@@ -127,11 +127,12 @@ def read_json(spark, sf_dir):
 
 @query("read_json_array", _JSON_EVENTS)
 def read_array(spark, sf_dir):
-    """One array over many byte ranges, read piece by piece."""
-    e, path = event_rows(spark, sf_dir), scratch(spark, "array")
-    text = F.concat(F.when(F.col("row_id") == e.agg(F.min("row_id")).first()[0], "[").otherwise(","), F.to_json(_record()))
-    last = e.agg(F.max("row_id")).first()[0]
-    e.select(F.concat(text, F.when(F.col("row_id") == last, "]").otherwise("")).alias("value"), "row_id").coalesce(1).sortWithinPartitions("row_id").select("value").write.text(path)
+    """Arrays of many byte ranges each, read range by range."""
+    e, path = event_rows(spark, sf_dir).withColumn("array", F.expr(f"row_id div {ARRAY}")), scratch(spark, "array")
+    ends = e.groupBy("array").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    sign = lambda at, yes, no: F.when(F.col("row_id") == F.col(at), yes).otherwise(no)
+    lines = e.join(F.broadcast(ends), "array").select("array", "row_id", F.concat(sign("first", "[", ","), F.to_json(_record()), sign("last", "]", "")).alias("value"))
+    lines.repartition("array").sortWithinPartitions("array", "row_id").drop("row_id").write.partitionBy("array").text(path)
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     try:

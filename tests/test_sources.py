@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
-from logloom import sinks, streaming
+from logloom import queries_files, sinks, streaming
 from logloom.functions.parse import flexible_time, line_time, parse_time
 from logloom.model import as_events
 from logloom.operators import analysis, paging, sequence, trigram
@@ -341,6 +341,23 @@ def test_json_array_over_many_ranges(spark, tmp_path):
     assert found == expected and events == 300
 
 
+def test_json_array_pieces_stay_in_their_ranges(spark, tmp_path, sf_dir, monkeypatch):
+    """Pieces are neither sorted nor shuffled, small ranges share tasks, a table is more than one array."""
+    data = [{"id": i, "msg": ["a,b", '\\",', {"x": [i]}]} for i in range(3000)] + ["x" * 50_000, "end"]
+    (tmp_path / "a.json").write_text(json.dumps(data))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        found = array_elements(spark, str(tmp_path / "a.json"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert [json.loads(r.element) for r in found.orderBy("no").collect()] == data and [r.no for r in found.orderBy("no").collect()] == list(range(1, len(data) + 1))
+    monkeypatch.setattr(queries_files, "ARRAY", 300)
+    assert sorted(r.id for r in queries_files.read_array(spark, sf_dir).collect()) == list(range(spark.read.parquet(f"{sf_dir}/events.parquet").count()))
+
+
 def test_csv_files_by_header(spark, tmp_path):
     for i in range(40):
         texts = [f'time,level,message\n2024-01-01 00:00:{i:02},error,"m, {i}"\n', f"Msg;pid\nm, {i};7\nshort\n", f"\n\na\t\tmsg\nx\ty\tm, {i}\n"]
