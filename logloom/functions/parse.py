@@ -77,7 +77,8 @@ def line_time(line: Column) -> Column:
     bracket = F.regexp_extract(F.substring(line, 1, 40), r"\[([^\]]+)\]", 1)
     head = F.regexp_extract(line, r"^\s*(\d\S*T\S+|\d\S*\s+\d\d?:\S+?(?=,?(?:\s|$))|\d{4}-\d{2}-\d{2}(?=,?(?:\s|$)))", 1)
     in_brackets = F.when(F.contains(F.substring(line, 1, 40), F.lit("[")), flexible_time(bracket))
-    return F.coalesce(in_brackets, flexible_time(head))
+    # Most lines begin with no digit, and then have no head to read.
+    return F.coalesce(in_brackets, F.when(line.rlike(r"^\s*\d"), flexible_time(head)))
 
 
 def parse_span(text: str) -> dt.timedelta:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.model import as_events
-from logloom.plans.durable import cut, running_total
+from logloom.plans.durable import running_total, scratch
 from logloom.sources.delimited import read_csv_files, read_csv_logs, read_tsv_export
 from logloom.sources.eventxml import read_event_xml
 from logloom.sources.jsonlogs import read_json_doc, read_json_lines
@@ -70,8 +70,10 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def renumbered(part: DataFrame) -> DataFrame:
-    """The events with ids from 0 on, as they come: written once, and counted by task."""
-    rows = cut(as_events(part).withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    """The events with ids from 0 on, as they come: written once, as Parquet, so that a reader of few columns reads no others, and counted by task."""
+    spark, path = part.sparkSession, scratch(part.sparkSession, "renumbered")
+    as_events(part).withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
+    rows = spark.read.parquet(path)
     tasks = running_total(rows.groupBy("_task").agg(F.count(F.lit(1)).alias("n")), ["_task"], "n", "_before").drop("n")
     return rows.join(F.broadcast(tasks), "_task").withColumn("row_id", F.col("_before") + F.col("_place")).select(rows.drop("_task", "_place").columns)
 

@@ -59,7 +59,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     The files are read twice, once to count the lines of each block; no line is sorted or shuffled for its id.
     """
     blocks = block_table(lines).withColumnRenamed("place", "_first")
-    found = lines.join(blocks, ["path", "block"])
+    found = lines.join(F.broadcast(blocks), ["path", "block"])
     return found.withColumn("row_id", F.col("before") + F.col("place") - F.col("_first")).drop("block", "place", "_first", "before")
 
 

@@ -45,7 +45,7 @@ def number_batch(batch: DataFrame, first: int) -> tuple[DataFrame, int]:
     blocks = places.groupBy(F.col("source").alias("_path"), F.col("_block").alias("_of")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n"))
     blocks = running_total(blocks, ["_path", "_of"], "n", "_before")
     n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = places.join(blocks.drop("n"), (F.col("source") == F.col("_path")) & (F.col("_block") == F.col("_of")))
+    found = places.join(F.broadcast(blocks.drop("n")), (F.col("source") == F.col("_path")) & (F.col("_block") == F.col("_of")))
     return found.withColumn("row_id", F.col("_before") + F.col("_place") - F.col("_first") + first).select([c for c in batch.columns if c != "_block"]), n
 
 

@@ -23,7 +23,7 @@ from logloom.sources.incremental import compact, ingest_incremental, manifest, r
 from logloom.sources.jsonlogs import array_elements, read_json_array, read_json_doc, read_json_lines
 from logloom.sources.synth import synthetic_logs
 from logloom.sources.tables import issues_to_events, legacy_entries_to_events, rows_to_events, work_items_to_events
-from logloom.sources.text import read_text_logs, text_lines
+from logloom.sources.text import number_lines, read_text_logs, text_lines
 from logloom.sources.trace import read_trace_text
 
 
@@ -358,6 +358,25 @@ def test_json_array_pieces_stay_in_their_ranges(spark, tmp_path, sf_dir, monkeyp
     assert sorted(r.id for r in queries_files.read_array(spark, sf_dir).collect()) == list(range(spark.read.parquet(f"{sf_dir}/events.parquet").count()))
 
 
+def test_ids_move_no_events(spark, tmp_path):
+    """Ids of streams and text loads come from a broadcast table of blocks, whatever the planner knows of sizes; new ids are read without the events' texts."""
+    (tmp_path / "a.log").write_text("one\ntwo\n\nthree\n")
+    lines = text_lines(spark, str(tmp_path))
+    batch = as_events(lines.select(F.col("path").alias("source"), F.col("value").alias("message"), F.col("block").alias("_block")), "_block")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = streaming.number_batch(batch, 5)
+        numbered = [rows, number_lines(lines)]
+        assert all("SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString() for x in numbered)
+        assert n == 3 and [sorted(r.row_id for r in x.collect()) for x in numbered] == [[5, 6, 7], [0, 1, 2]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    new = renumbered(rows.withColumn("row_id", -F.col("row_id")))
+    assert "message" not in new.select("row_id")._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.row_id, r.message) for r in new.collect()) == [(0, "one"), (1, "two"), (2, "three")] and new.columns == as_events(rows).columns
+
+
 def test_csv_files_by_header(spark, tmp_path):
     for i in range(40):
         texts = [f'time,level,message\n2024-01-01 00:00:{i:02},error,"m, {i}"\n', f"Msg;pid\nm, {i};7\nshort\n", f"\n\na\t\tmsg\nx\ty\tm, {i}\n"]
