@@ -86,6 +86,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of the components of ``labels`` joined by the links ``more`` (a, b): components of labels alone, as many links as tiles have found, none at all mostly."""
+    if not more.limit(1).count():
+        return labels
+    one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+    ends = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    over = cut(components(ends).select(F.col("node").alias("label"), F.col("label").alias("least")))
+    alone = over.select(F.col("label").alias("node"), F.col("least").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return labels.join(over, "label", "left").select("node", F.coalesce("least", "label").alias("label")).unionByName(alone)
+
+
 def _steps(texts: list[str | None]) -> Iterator[tuple[list, int]]:
     """Bags of runs of texts with a bounded number of shingles together, and the place of the first."""
     part, size, first = [], 0, 0
@@ -276,7 +287,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = labelled.where(F.col("n") > TILE).groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     mains = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("m")).select("band", F.col("m.label").alias("main"), F.col("m.size").alias("n_main"))
     more = cut(tile_links(labelled.join(open_bands.join(mains, "band", "left"), "band"), bags, threshold))
-    labels = components(links.unionByName(more))
+    labels = merged(labels, more)
     labelled = nodes.join(labels, "node", "left").select("digest", "node", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     found = labelled.groupBy("label").agg(best.alias("best"), F.sum("n").alias("class_size"))

@@ -154,3 +154,15 @@ def test_odd(odd, empty):
     assert neardup.classes(empty).count() == 0 and neardup.one_of_each_class(empty).count() == 0
     clash = odd.withColumnsRenamed({"row": "_text_key", "lang": "text_key", "source": "kept"})
     assert neardup.one_of_each_class(clash).columns == clash.columns
+
+
+def test_merged_components(spark, monkeypatch):
+    """Links of tiles join components, nodes of none and each other; without one nothing is computed again."""
+    links = [(5, 9), (9, 12), (20, 21), (30, 31)]
+    more = [(12, 21), (40, 31), (51, 50)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    labels = neardup.components(frame(links)).cache()
+    got = sorted(map(tuple, neardup.merged(labels, frame(more)).collect()))
+    assert got == sorted(map(tuple, neardup.components(frame(links + more)).collect()))
+    monkeypatch.setattr(neardup, "components", None)
+    assert neardup.merged(labels, frame(more).limit(0)) is labels
